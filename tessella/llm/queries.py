@@ -12,8 +12,77 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, records, simhash
-from tessella.llm.common import read_table, scratch_path
+from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, pii, quality, records, simhash, toxicity
+from tessella.llm.common import crc_bucket, read_table, scratch_path
+
+
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document."""
+    return hmm.score(read_table(spark, sf_dir, "documents"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(read_table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"].isin(list(pii.BASE)))
+    named = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind))
+    return found.select(
+        "row.doc_id",
+        *[number(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(named(base), 256).alias("base_sha256"),
+        named(F.col("spans")).alias("spans"),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the classifier chain."""
+    docs = read_table(spark, sf_dir, "documents")
+    chain = toxicity.train(docs, read_table(spark, sf_dir, "labels"), toxicity.categories_of_labels())
+    scored = toxicity.score(docs, chain, ["doc_id"])
+    return scored.select("row.doc_id", "res.*", (F.col("res.p_toxic") >= toxicity.THRESHOLD).alias("toxic"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = read_table(spark, sf_dir, "documents")
+    labels = read_table(spark, sf_dir, "labels").filter(crc_bucket("doc_id") != 0)
+    scored = quality.score(docs, quality.train(docs, labels), ["doc_id"])
+    return scored.select(
+        "row.doc_id",
+        F.coalesce(crc_bucket(F.col("row.doc_id")) == 0, F.lit(False)).alias("held_out"),
+        "res.score",
+        (F.col("res.score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    found = fm_index.find_contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), ["doc_id"]
+    )
+    ids = F.array_sort(F.transform("res.item_ids", lambda i: i.cast("string")))
+    return found.select(
+        "row.doc_id",
+        "res.n_words",
+        fm_index.hit_words().alias("n_hit"),
+        F.size("res.item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+        fm_index.contaminated().alias("contaminated"),
+    )
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = html_main.extract(read_table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("row.page_id", "row.url", "res.text", F.length("res.text").cast("long").alias("n_chars"))
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of embeddings."""
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
 
 
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,10 +118,25 @@ def digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline at the top of the repository."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm": op1_hmm,
+    "op2_pii": op2_pii,
+    "op3_toxicity": op3_toxicity,
+    "op4_quality": op4_quality,
     "op5_token_records": op5_token_records,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash": op7_simhash,
+    "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_embedding_dedup": op10_embedding_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {}

@@ -185,3 +185,28 @@ def near_duplicates(
     return join_unique(signed, final, "fp", "n", signed.count(), ["component_id"]).select(
         "doc_id", "fp", "component_id"
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the row with the least id.
+
+    Rows with a null id cannot be named as a copy and stay. An id that several
+    rows have is told apart by its rows' fingerprints, and of rows equal in both
+    one stays.
+    """
+    found = cut(near_duplicates(docs, id_col, text_col))
+    best = found.filter("doc_id = component_id").select("doc_id", "fp").distinct()
+    again = cut(found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    key = F.col(f"`{id_col}`")
+    nameless = docs.filter(key.isNull())
+    if again.isEmpty():
+        kept = docs.join(best.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+        return kept.unionByName(nameless).select(docs.columns)
+    repeated = again.select(F.col("doc_id").alias(id_col))
+    kept = docs.join(
+        best.join(again, "doc_id", "left_anti").select(F.col("doc_id").alias(id_col)), id_col, "left_semi"
+    )
+    rows = fingerprints(docs.join(repeated, id_col, "left_semi"), docs.columns, text_col)
+    told = rows.select(F.col(f"row.`{id_col}`").alias("doc_id"), F.col("res.fp").alias("fp"), "row")
+    single = told.join(best, ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id", "fp"]).select("row.*")
+    return kept.unionByName(single).unionByName(nameless).select(docs.columns)
