@@ -189,7 +189,7 @@ def _packages(spark, d):
     return _specifiers(spark, d).select("p_partkey", X.package_name("s").alias("package"), X.classify_specifier("s", ["economy"]).alias("class"))
 
 
-@query("sf20_sf29_small", """SELECT o_orderkey, lower(regexp_extract(o_orderpriority,'^[^\\s]+')) AS language, greatest(0.0, least(1.0, o_totalprice/200000.0-0.5)) AS clamped FROM orders""")
+@query("sf20_sf29_small", """SELECT o_orderkey, lower(regexp_extract(o_orderpriority,'^[^\\s]+')) AS language, greatest(0e0, least(1e0, o_totalprice/2e5-5e-1)) AS clamped FROM orders""")
 def _small(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.language_from_info("o_orderpriority").alias("language"), X.clamp(F.col("o_totalprice") / 200000.0 - 0.5).alias("clamped"))
 
@@ -344,7 +344,7 @@ def _search_rows(spark, d):
     return pages.search_rows(t, ["page_id", "title", "url", "category"], "html")
 
 
-@query("pr47_pr48_feeds", rf"""SELECT page_id, 'https://site.test/'||page_id AS url, 'weekly' AS change_frequency, CASE WHEN regexp_extract(url,'//([^/?#]*)',1) LIKE 'blog%' THEN 0.8 WHEN page_id=0 THEN 1.0 ELSE 0.6 END AS priority, {_H1} AS title FROM pages""")
+@query("pr47_pr48_feeds", rf"""SELECT page_id, 'https://site.test/'||page_id AS url, 'weekly' AS change_frequency, CASE WHEN regexp_extract(url,'//([^/?#]*)',1) LIKE 'blog%' THEN 8e-1 WHEN page_id=0 THEN 1e0 ELSE 6e-1 END AS priority, {_H1} AS title FROM pages""")
 def _feeds(spark, d):
     t = table(spark, d, "pages").select(
         "page_id", F.concat(F.lit("/"), "page_id").alias("slug"), F.regexp_extract("html", r"<h1>([\s\S]*?)</h1>", 1).alias("title"),
