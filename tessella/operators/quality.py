@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text as X
 
@@ -156,7 +157,7 @@ def inconsistent_terms(docs: DataFrame, key: str, text: str, terms: list[str]) -
     return words.withColumn("canonical", canonical).filter(F.col("canonical").isNotNull() & (F.col("word") != F.lower("word")) & ~F.col("word").isin(*terms))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def balanced_braces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Whether brackets match outside strings and line comments."""
     def balanced(text: str | None) -> bool:
