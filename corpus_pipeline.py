@@ -48,19 +48,16 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data; ``n_chars`` follows a changed text."""
-    found = pii.find_pii(docs, docs.columns)
-    text = pii.masked(F.col("row.text"), F.col("spans"))
-    changed = F.size("spans") > 0
-    return found.select(
-        *[
-            text.alias(c)
-            if c == "text"
-            else F.when(changed, F.length(text).cast("long")).otherwise(F.col("row.n_chars")).alias(c)
-            if c == "n_chars"
-            else F.col(f"row.`{c}`").alias(c)
-            for c in docs.columns
-        ]
+    found = pii.find_pii(docs, docs.columns).select(
+        "row", pii.masked(F.col("row.text"), F.col("spans")).alias("masked"), (F.size("spans") > 0).alias("changed")
     )
+    fresh = {
+        "text": F.col("masked"),
+        "n_chars": F.when(F.col("changed"), F.length("masked").cast("long")).otherwise(F.col("row.n_chars")),
+    }
+    # read out under names of its own first: a column of docs may be called like one of these
+    named = found.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(f"_{k}") for k, c in enumerate(docs.columns)])
+    return named.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
