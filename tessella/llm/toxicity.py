@@ -35,6 +35,8 @@ from tessella.llm.common import cut, map_texts
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 20
 FEATURES = 4_096
+#: A kept slot's count lies so many standard deviations from what chance would give.
+STRENGTH = 4.0
 FOLDS = 3
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,7 +97,7 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit_logistic(x: SparseRows, y: np.ndarray, used: np.ndarray, ridge: float = 1.0, rounds: int = 120) -> np.ndarray:
+def fit_logistic(x: SparseRows, y: np.ndarray, used: np.ndarray, ridge: float = 1.0, rounds: int = 200, rate: float = 0.2) -> np.ndarray:
     """Ridge-penalised logistic weights of the ``used`` rows, by Adam on the full gradient."""
     weights = np.zeros(x.width + x.dense.shape[1])
     first, second = np.zeros_like(weights), np.zeros_like(weights)
@@ -105,7 +107,7 @@ def fit_logistic(x: SparseRows, y: np.ndarray, used: np.ndarray, ridge: float =
         slope = x.back(error) / n + ridge * weights / n
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
-        weights -= 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+        weights -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return weights
 
 
@@ -215,7 +217,7 @@ def train(
             continue
         expected = F.col(f"n{k}") * F.lit(p / n)
         strength = F.abs(F.col(f"p{k}") - expected) / F.sqrt(expected * (1 - p / n))
-        best = sums.filter(F.col(f"n{k}") >= 5).orderBy(strength.desc(), "slot").limit(features // len(names))
+        best = sums.filter((F.col(f"n{k}") >= 5) & (strength >= STRENGTH)).orderBy(strength.desc(), "slot").limit(features // len(names))
         kept.update(r.slot for r in best.select("slot").collect())
     chain = Chain(names, np.array(sorted(kept), dtype=np.int32), [])
     slots = chain.slots
