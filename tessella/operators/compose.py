@@ -31,10 +31,10 @@ def semantic_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     pairs = new.alias("n").join(gone.withColumnRenamed("text", "was"), [key, "level", "n"], "full")
     kind = F.when(F.col("was").isNull(), "heading-added").when(F.col("text").isNull(), "section-removed").otherwise("heading-renamed")
     headings = pairs.select(key, kind.alias("change"), F.coalesce("was", "text").alias("subject"))
-    digest = lambda df: df.select(key, "kind", "text", X.hash16(F.concat_ws("|", "kind", "level", "text")).alias("d"))
+    digest = lambda df: df.select(key, "kind", "text", X.hash16(F.concat_ws("|", "kind", "level", "text")).alias("_digest"))
     x, y = digest(before), digest(after)
-    added = y.join(x, [key, "d"], "left_anti").select(key, F.when(F.col("kind") == "code", "example-updated").otherwise("content-added").alias("change"), F.col("text").alias("subject"))
-    removed = x.join(y, [key, "d"], "left_anti").select(key, F.lit("content-removed").alias("change"), F.col("text").alias("subject"))
+    added = y.join(x, [key, "_digest"], "left_anti").select(key, F.when(F.col("kind") == "code", "example-updated").otherwise("content-added").alias("change"), F.col("text").alias("subject"))
+    removed = x.join(y, [key, "_digest"], "left_anti").select(key, F.lit("content-removed").alias("change"), F.col("text").alias("subject"))
     return headings.unionByName(added).unionByName(removed)
 
 

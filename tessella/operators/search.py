@@ -23,8 +23,9 @@ def inverted_index(docs: DataFrame, key: str, fields: dict[str, str]) -> DataFra
     """``term``, key, ``field``, ``tf``, ``length`` for each field (name to column)."""
     out = None
     for field, column in fields.items():
-        t = tokens(column)
-        rows = docs.select(key, F.lit(field).alias("field"), F.size(t).alias("length"), F.explode(t).alias("term"))
+        # the tokens are a column of their own: beside a generator they would be computed for each term again
+        split = docs.select(key, F.lit(field).alias("field"), tokens(column).alias("_tokens"))
+        rows = split.select(key, "field", F.size("_tokens").alias("length"), F.explode("_tokens").alias("term"))
         counted = rows.groupBy("term", key, "field", "length").agg(F.count("*").alias("tf"))
         out = counted if out is None else out.unionByName(counted)
     return out
