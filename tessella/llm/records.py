@@ -27,9 +27,11 @@ record and reads back as an empty table.
 
 from __future__ import annotations
 
+import array
 import functools
 import re
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -44,10 +46,14 @@ MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBI")
 _TAIL = struct.Struct("<I")
-#: A piece ends where a non-space meets white space; U+001C..U+001F are no space to the tokenizer.
-_PIECE = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-#: Pieces remembered by one worker; the memory starts anew beyond it.
-REMEMBERED = 400_000
+_SPACE = r"[^\S\x1c-\x1f]"  # U+001C..U+001F are no space to the tokenizer
+#: White space and a run of letters and digits, or white space and a run of other characters.
+#: A run of others that ends with an apostrophe takes the letters after it along, as in 's.
+_PIECE = re.compile(
+    rf"{_SPACE}*[^\W_]+|{_SPACE}*(?:_|[^\w\s]|[\x1c-\x1f])+(?:(?<=')[^\W_]+)?|{_SPACE}+"
+)
+#: Pieces that one generation of a worker's memory holds.
+REMEMBERED = 300_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -59,8 +65,9 @@ def masked_crc(data: bytes) -> int:
 class PieceEncoder:
     """The tokenizers library behind a bounded memory of the pieces seen.
 
-    No token spans a boundary between a non-space and a white-space character,
-    so a text's ids are those of its pieces in turn. Pieces that the memory lacks
+    No token spans the end of a piece, so a text's ids are those of its pieces in
+    turn. The memory has two generations: when the young one is full it becomes
+    the old one, from which pieces that are met again return. Pieces that it lacks
     go to the library in one batch; long pieces are never remembered.
     """
 
@@ -69,32 +76,42 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        new = list(pieces)
-        found = {
-            piece: np.array(e.ids, dtype=self.dtype).tobytes()
-            for piece, e in zip(
-                new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
-            )
-        }
-        if len(self.known) + len(found) > REMEMBERED:
-            self.known.clear()
-        short = {p: x for p, x in found.items() if len(p) <= 64}
-        if len(short) <= REMEMBERED:
-            self.known.update(short)
-        return found
-
-    def encode(self, text: str) -> bytes:
-        """Ids of one text, packed."""
-        pieces = _PIECE.findall(text)
-        packed = list(map(self.known.get, pieces))
-        if None in packed:
-            found = self._learn({p for p, x in zip(pieces, packed, strict=True) if x is None})
-            packed = [found[p] if x is None else x for p, x in zip(pieces, packed, strict=True)]
-        return b"".join(packed)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed in ``width`` bytes each, little-endian."""
+        pieces = [_PIECE.findall(t) for t in texts]
+        packed = [list(map(self.young.get, p)) for p in pieces]
+        missing: set[str] = set()
+        for own, ids in zip(pieces, packed, strict=True):
+            if None in ids:
+                for k, found in enumerate(ids):
+                    if found is None:
+                        found = self.old.get(own[k])
+                        if found is None:
+                            missing.add(own[k])
+                        else:
+                            self.young[own[k]] = ids[k] = found
+        learnt = self._encode(list(missing)) if missing else {}
+        out = []
+        for own, ids in zip(pieces, packed, strict=True):
+            if None in ids:
+                ids = [learnt[p] if x is None else x for p, x in zip(own, ids, strict=True)]
+            out.append(b"".join(ids))
+        self.young.update((p, x) for p, x in learnt.items() if len(p) <= 64)
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        return out
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        kind = {array.array(c).itemsize: c for c in "HIL"}[self.width]
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        packed = (array.array(kind, e.ids) for e in found)
+        if sys.byteorder == "big":
+            packed = (x for x in packed if x.byteswap() is None)
+        return {p: x.tobytes() for p, x in zip(pieces, packed, strict=True)}
 
 
 @functools.lru_cache(maxsize=2)
@@ -153,11 +170,10 @@ def write_records(
 
     def run(batches):
         encoder = load_encoder(tokenizer_file)
-        width = np.dtype(encoder.dtype).itemsize
-        end = int(end_id).to_bytes(width, "little")
+        end = int(end_id).to_bytes(encoder.width, "little")
         for batch in batches:
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            out = [frame(i, encoder.encode(t) + end, width) for i, t in rows]
+            ids = encoder.encode_many(batch.column(1).to_pylist())
+            out = [frame(i, x + end, encoder.width) for i, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
             # a frame's last byte is the line end that the text writer adds
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[:-1] for x in out], pa.binary())], names=["value"]
