@@ -79,6 +79,18 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """All of ``rows`` if they are at most ``most``, else those whose ``key`` hashes low, at most about ``most``.
+
+    The same rows whatever their order; chosen by a threshold on the hash, without a sort.
+    """
+    n = rows.count()
+    if n <= most:
+        return rows
+    share = (most - 3 * most**0.5) / n
+    return rows.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def map_texts(
     docs: DataFrame,
     carry: list[str],
