@@ -10,8 +10,8 @@ Features are the presence of each word and, for words over five letters, of its
 first five letters, hashed to 2**20 slots. Of these, the slots that separate some
 category best (signed root of chi-square over the training rows) are kept.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash
-of their id; every document is scored.
+Training takes at most about ``TRAIN_ROWS`` labelled rows, chosen by the hash of
+their id; every document is scored.
 
 Defined cases: a null text counts as empty and gets the probabilities of the
 constant term; labels that are null are skipped, repeated ones of an id merged to
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, map_texts
+from tessella.llm.common import bounded_sample, cut, map_texts
 
 TRAIN_ROWS = 20_000
 SLOTS = 1 << 20
@@ -41,7 +41,7 @@ FOLDS = 3
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose slots a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class SlotHasher:
@@ -171,11 +171,8 @@ def train(
     """Fits a chain; ``categories`` gives each label, in chain order, as an expression over ``labels``."""
     names = list(categories)
     merged = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id"))
-    sample = cut(
-        merged.agg(*[F.max(e.cast("double")).alias(f"y{k}") for k, e in enumerate(categories.values())])
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(train_rows)
-    )
+    labelled = cut(merged.agg(*[F.max(e.cast("double")).alias(f"y{k}") for k, e in enumerate(categories.values())]))
+    sample = bounded_sample(labelled, "id", train_rows)
     texts = (
         docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
         .join(F.broadcast(sample), "id")  # train_rows rows at most
