@@ -7,8 +7,8 @@ of the ridge scores are summed in each partition, one sum for each fold; leaving
 out a fold's sum gives the weights that score that fold. Those out-of-fold scores
 calibrate: pool-adjacent-violators, joined linearly between the pools' centres.
 
-Training takes at most ``TRAIN_ROWS`` labelled rows, those with the smallest hash
-of their id; every document is scored, whole.
+Training takes at most about ``TRAIN_ROWS`` labelled rows, chosen by the hash of
+their id; every document is scored, whole.
 
 Defined cases: a null text counts as empty, which has a vector like any other;
 null labels are skipped, repeated ones of an id averaged; with fewer than ten
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import cut, map_texts
+from tessella.llm.common import bounded_sample, cut, map_texts
 
 TRAIN_ROWS = 40_000
 COSINES = 192
@@ -138,13 +138,12 @@ def train(
     train_rows: int = TRAIN_ROWS,
 ) -> Model:
     """Fits the model to ``labels`` (which must hold training rows only)."""
-    sample = cut(
+    labelled = cut(
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
         .groupBy(F.col(id_col).cast("long").alias("id"))
         .agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-        .orderBy(F.xxhash64("id"), "id")
-        .limit(train_rows)
     )
+    sample = bounded_sample(labelled, "id", train_rows)
     texts = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")
     ).join(F.broadcast(sample), "id")  # train_rows rows at most
