@@ -8,6 +8,13 @@ second, bounded step. Equal vectors are merged first, so a common vector fills n
 window. Pairs with a cosine (double precision) of at least the threshold are
 links; the passes' links are united, and their components found.
 
+How many vectors stand between two near neighbours in an order grows with the
+table, so the number of passes is not fixed. About ``PROBES`` vectors of the table
+are each given a planted neighbour at the threshold, the farthest that a link may
+be, in a random direction. The planted vectors are ordered and compared like all
+others, but their links are kept apart. Passes go on until ``RECALL`` of the
+planted pairs were seen; where single passes see too few, the window grows too.
+
 A window is bounded, so in a component with more members than it spans some links
 are still unseen. They are counted exactly: a component's vectors are dealt out in
 blocks, each block is compared with each block of its component as matrices, and
@@ -31,8 +38,14 @@ from tessella.llm.common import cut
 from tessella.llm.components import connected_components
 
 THRESHOLD = 0.9
+#: Passes of the first round, and the window they begin with; more follow as the probes demand.
 PASSES = 8
 WINDOW = 48
+#: Share of the planted pairs to be seen, and about how many are planted.
+RECALL = 0.95
+PROBES = 1000
+#: Where this many passes in all would not do, the window is widened instead.
+MANY_PASSES = 48
 HASHES = 24
 BLOCK = 1024
 SEED = 1469
@@ -119,24 +132,35 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
     return packed, named
 
 
-def pass_links(nodes: DataFrame, number: int, threshold: float, window: int) -> DataFrame:
-    """Links (a, b) that one pass over ``nodes`` (node, raw) finds."""
+def pass_links(nodes: DataFrame, numbers: range, threshold: float, window: int, size: int | None = None) -> DataFrame:
+    """Links (a, b) that some passes over ``nodes`` (node, raw), ``size`` in number, find.
+
+    The passes are sorted as one table, pass after pass. A window reaches into the
+    next range only, so ranges are made fewer where they would be shorter than two
+    windows.
+    """
+    ranges = None if size is None else max(1, size * len(numbers) // (2 * window))
+    few = ranges is not None and ranges < int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches):
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            keys: list[bytes] = [b""] * len(raw)
+            units = []
             for size in {len(r) for r in raw}:
                 at = [k for k, r in enumerate(raw) if len(r) == size]
-                for k, key in zip(at, keys_of(unit([raw[k] for k in at]), number), strict=True):
-                    keys[k] = size.to_bytes(4, "big") + key
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["node", "raw", "sort"]
-            )
+                units.append((size, at, unit([raw[k] for k in at])))
+            for number in numbers:
+                keys: list[bytes] = [b""] * len(raw)
+                for size, at, x in units:
+                    for k, key in zip(at, keys_of(x, number), strict=True):
+                        keys[k] = number.to_bytes(4, "big") + size.to_bytes(4, "big") + key
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["node", "raw", "sort"]
+                )
 
     ordered = (
         nodes.select("node", "raw").mapInArrow(keyed, "node long, raw binary, sort binary")
-        .repartitionByRange(F.col("sort"), F.col("node")).sortWithinPartitions("sort", "node")
+        .repartitionByRange(*([ranges] if few else []), F.col("sort"), F.col("node")).sortWithinPartitions("sort", "node")
     )
 
     def compare(batches):
@@ -144,22 +168,28 @@ def pass_links(nodes: DataFrame, number: int, threshold: float, window: int) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ids: list[int] = []
-        raw: list[bytes] = []
-        first: list[tuple[int, bytes]] = []
+        rows: list[tuple[int, bytes, int]] = []
+        first: list[tuple[int, bytes, int]] = []
         for batch in batches:
-            new = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            turns = [int.from_bytes(k[:4], "big") for k in batch.column(2).to_pylist()]
+            new = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), turns, strict=True))
             first += new[: max(0, window - len(first))]
-            held = len(ids)
-            ids += [n for n, _ in new]
-            raw += [r for _, r in new]
-            yield _links(ids, raw, held, threshold, window)
-            ids, raw = ids[-window:], raw[-window:]
-        rows = [(part, 1, k, n, r) for k, (n, r) in enumerate(first)]
-        rows += [(part + 1, 0, k, n, r) for k, (n, r) in enumerate(zip(ids, raw, strict=True))]
-        yield _edge_batch(rows)
-
-    found = ordered.mapInArrow(compare, "a long, b long, border int, side int, at int, node long, raw binary")
+            held = len(rows)
+            rows += new
+            start = 0
+            while start < len(rows):  # a pass at a time
+                end = start
+                while end < len(rows) and rows[end][2] == rows[start][2]:
+                    end += 1
+                if end > held:
+                    yield _links([r[0] for r in rows[start:end]], [r[1] for r in rows[start:end]], max(0, held - start), threshold, window)
+                start = end
+            rows = rows[-window:]
+        out = [(part, 1, k, turn, n, r) for k, (n, r, turn) in enumerate(first)]
+        out += [(part + 1, 0, k, turn, n, r) for k, (n, r, turn) in enumerate(rows)]
+        yield _edge_batch(out)
+
+    found = ordered.mapInArrow(compare, "a long, b long, border int, side int, at int, turn int, node long, raw binary")
     found = cut(found)
     across = found.filter("border is not null").groupBy("border").applyInArrow(
         lambda table: _across(table, threshold, window), "a long, b long"
@@ -189,34 +219,92 @@ def _links(ids: list[int], raw: list[bytes], held: int, threshold: float, window
     b = np.concatenate(b_all) if b_all else np.zeros(0, dtype=np.int64)
     n = len(a)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]],
-        names=["a", "b", "border", "side", "at", "node", "raw"],
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]],
+        names=["a", "b", "border", "side", "at", "turn", "node", "raw"],
     )
 
 
 def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
     return pa.RecordBatch.from_arrays(
         [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]],
-        names=["a", "b", "border", "side", "at", "node", "raw"],
+        names=["a", "b", "border", "side", "at", "turn", "node", "raw"],
     )
 
 
 def _across(table: pa.Table, threshold: float, window: int) -> pa.Table:
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "at", "node", "raw")), strict=True))
-    size = len(rows[0][3]) if rows else 0
-    # the range before may end with vectors of another length: only those like the first row of the later one
-    later = [r for r in rows if r[0] == 1]
-    size = len(later[0][3]) if later else size
-    rows = [r for r in rows if len(r[3]) == size]
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "at", "turn", "node", "raw")), strict=True))
+    # the range before may end with vectors of another pass or length: only those like the first row of the later one
+    like = next(((r[2], len(r[4])) for r in rows if r[0] == 1), None)
+    rows = [r for r in rows if (r[2], len(r[4])) == like]
     border = sum(r[0] == 0 for r in rows)
     if not 0 < border < len(rows):
         return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    a, b = window_links(np.array([r[2] for r in rows], dtype=np.int64), unit([r[3] for r in rows]), threshold, window, border)
+    a, b = window_links(np.array([r[3] for r in rows], dtype=np.int64), unit([r[4] for r in rows]), threshold, window, border)
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def planted(raw: bytes, node: int, threshold: float) -> bytes | None:
+    """A vector whose cosine with the given one is just the threshold, None where one dimension leaves no room."""
+    x = unit([raw])[0]
+    if len(x) < 2 or threshold >= 1:
+        return None
+    side = np.random.default_rng([SEED, node & ((1 << 63) - 1)]).normal(size=len(x))
+    side -= (side @ x) * x
+    # a hair above, or rounding would lose half of them
+    c = min(1.0, threshold + 1e-6)
+    return (c * x + np.sqrt(1 - c * c) * side / np.linalg.norm(side)).tobytes()
+
+
+def probes(nodes: DataFrame, threshold: float, wanted: int = PROBES) -> DataFrame:
+    """(node, raw) of planted neighbours of about ``wanted`` nodes; a probe's name is its node's with the last bit set."""
+    share = min(1.0, wanted / max(1, nodes.count()))
+    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 32)) < int(share * (1 << 32))).select("node", "raw")
+
+    def plant(batches):
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            made = [(k | 1, planted(r, k, threshold)) for k, r in zip(names, batch.column(1).to_pylist(), strict=True)]
+            made = [m for m in made if m[1] is not None]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["node", "raw"]
+            )
+
+    return cut(chosen.mapInArrow(plant, "node long, raw binary"))
+
+
+def all_links(nodes: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, recall: float = RECALL) -> tuple[DataFrame, float]:
+    """Links (a, b) of as many passes over ``nodes`` as the probes demand, and the share of probes seen.
+
+    The names of ``nodes`` have the last bit clear.
+    """
+    extra = probes(nodes, threshold)
+    there = extra.count()
+    size = nodes.count() + there
+    compared = nodes.select("node", "raw").unionByName(extra)
+    links, seen, done, run = None, set(), 0, passes
+    while True:
+        found = cut(pass_links(compared, range(done, done + run), threshold, window, size))
+        before = len(seen)
+        # a thousand names or so
+        seen |= {r.node for r in found.filter(F.col("a").bitwiseXOR(F.col("b")) == 1).select(F.col("a").bitwiseAND(F.lit(-2)).alias("node")).distinct().collect()}
+        real = found.filter((F.col("a").bitwiseOR(F.col("b"))).bitwiseAND(F.lit(1)) == 0)
+        links = real if links is None else links.unionByName(real)
+        done += run
+        if len(seen) >= recall * there:
+            return links, len(seen) / there if there else 1.0
+        # the share of those not seen before that one pass of this round saw
+        left = there - before
+        rate = 1 - (1 - min(len(seen) - before, left - 0.5) / left) ** (1 / run)
+        need = np.log((1 - recall) * there / (there - len(seen))) / np.log(1 - rate) if rate > 0 else np.inf
+        if done + need > MANY_PASSES:
+            window *= 4  # in the end a window holds the whole table, so this ends
+            run = passes
+        else:
+            run = max(1, int(np.ceil(need)))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -230,11 +318,9 @@ def near_duplicates(
     packed, named = distinct_vectors(vectors, id_col, vector_col)
     named = cut(named)
     # a node is named by its digest; should two vectors share one, they get names of their own
-    nodes = cut(named.select(F.xxhash64("key", "raw").alias("node"), "key", "raw", "n", "least"))
-    links = None
-    for number in range(passes):
-        found = pass_links(nodes, number, threshold, window)
-        links = found if links is None else links.unionByName(found)
+    # the last bit is clear: with it set, the name is that of the node's probe
+    nodes = cut(named.select(F.xxhash64("key", "raw").bitwiseAND(F.lit(-2)).alias("node"), "key", "raw", "n", "least"))
+    links, _ = all_links(nodes, threshold, passes, window)
     component = cut(connected_components(links, "a", "b"))
 
     members = component.join(nodes.select("node", "raw", "n", "least"), "node")

@@ -155,6 +155,20 @@ def test_embeddings(spark, block):
     assert all(r.kept == (r.vec_id == r.component_id) for r in found.values())
 
 
+def test_embedding_recall_holds_on_a_larger_table(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(1000, 64))
+    side -= (side * x[:1000]).sum(1, keepdims=True) * x[:1000]
+    near = 0.901 * x[:1000] + np.sqrt(1 - 0.901**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.concatenate([x, near])
+    true = sum(int((x[k : k + 1000] @ x.T >= 0.9).sum()) for k in range(0, len(x), 1000)) - len(x)
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(4)
+    found = embedding_dedup.near_duplicates(df).agg(F.sum("n_links")).first()[0]
+    assert 0.93 * true <= found <= true
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(a) + 1) for a in range(0, 300) if a % 50] + [(int(a), int(b)) for a, b in rng.integers(1000, 1100, (30, 2))] + [(7, 7), (None, 3), (5, 4), (5, 4)]
