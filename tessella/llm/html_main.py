@@ -4,10 +4,11 @@ A page is parsed to a tree that tolerates what browsers tolerate: missing end
 tags, stray ones, raw script text, unknown entities. Elements that are never
 main text by their tag, role, class or id are dropped. Then every element's
 subtree is hashed (tags and text), and Spark counts, for each host, on how many
-differing pages a subtree occurs. Subtrees that recur on many of them are the
-site's template and are deleted. Copies of one page count once, and inside the
-article only link lists and boxes are eligible, never headings and paragraphs:
-prose that many pages share is text, not template.
+differing pages a subtree occurs. Subtrees on ``MIN_PAGES`` of them are the site's
+template and are deleted, however many pages the host has. Copies of one page
+count once. Inside the article only block-level boxes without prose in them and
+link lists are eligible, never headings and paragraphs, and nowhere an inline
+element of prose: prose that many pages share is text, not template.
 
 The text is that of the article (or ``main``, or what is left of the body), a
 line for each block in page order, white space inside a block turned into one
@@ -31,9 +32,8 @@ from pyspark.sql import types as T
 
 from tessella.llm.common import bound_batches, cut, map_texts
 
-#: A template subtree is on this many differing pages of its host, and on this share of them.
+#: A template subtree is on this many differing pages of its host.
 MIN_PAGES = 10
-MIN_SHARE = 0.1
 #: Template rows (host, subtree) that may be broadcast; beyond it they are joined by host.
 BROADCAST_ROWS = 200_000
 
@@ -56,6 +56,8 @@ BLOCK = frozenset(
     "thead tr ul".split()
 )
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote table li td th dd dt figcaption".split())
+#: Block-level elements that inside an article may be a list of links or a box.
+BOX = frozenset("address center details div dl figure nav ol section table ul".split())
 #: Words of a class, an id or a role that mark an element as no main text.
 MARKED = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice "
@@ -225,26 +227,41 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, int, int]]:
 
 
 def eligible(root: Node, hashes: dict[int, tuple[int, int, int]]) -> list[Node]:
-    """Elements that may be template: outside the article any, inside it boxes and link lists."""
+    """Elements that may be template: outside the article any but prose, inside it boxes and link lists.
+
+    What stands inside prose is part of it: inside the article nothing there is
+    eligible, outside it no inline element.
+    """
     roots = content_roots(root)
     out = []
-    pending = [(r, r.tag in ("article", "main")) for r in roots]
+    pending = [(r, r.tag in ("article", "main"), False) for r in roots]
     while pending:
-        node, inside = pending.pop()
+        node, inside, prose = pending.pop()
         for child in node.children:
-            if isinstance(child, Node):
-                _, size, linked = hashes[id(child)]
-                if size and (linked * 2 >= size or not (inside or child.tag in PROSE or _holds_prose(child))):
-                    out.append(child)
-                pending.append((child, inside))
+            if not isinstance(child, Node):
+                continue
+            _, size, linked = hashes[id(child)]
+            if inside:
+                # items of prose with a link each are no list of links
+                fit = child.tag in BOX and (linked * 4 >= size * 3 or not _holds_prose(child, PROSE))
+                deeper = child.tag not in PROSE
+            else:
+                fit = linked * 2 >= size or not (child.tag in PROSE or _holds_prose(child))
+                fit, deeper = fit and (child.tag in BLOCK or not prose), True
+            if size and fit:
+                out.append(child)
+            if deeper:
+                pending.append((child, inside, prose or child.tag in PROSE))
     return out
 
 
-def _holds_prose(node: Node) -> bool:
+def _holds_prose(node: Node, tags: frozenset[str] = frozenset()) -> bool:
+    """Whether an element is or holds an article, main or body, or holds an element of some tags."""
+    top = node
     pending = [node]
     while pending:
         node = pending.pop()
-        if node.tag in ("article", "main", "body"):
+        if node.tag in ("article", "main", "body") or node is not top and node.tag in tags:
             return True
         pending += [c for c in node.children if isinstance(c, Node)]
     return False
@@ -311,7 +328,7 @@ def _with_host(pages: DataFrame, url_col: str, html_col: str, carry: list[str])
     )
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
     """``host``, ``hash`` of every template subtree.
 
     A page is known here by the hash of its pruned body, so copies count once.
@@ -333,14 +350,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
         return work
 
     seen = map_texts(from_pages, ["host"], "html", result, make).select("row.host", "res.body", "res.hashes")
-    # one row for the page itself, hash null, counts the host's pages in the same pass
-    marks = seen.select(
-        "host", "body", F.explode(F.concat(F.array(F.lit(None).cast("long")), "hashes")).alias("hash")
-    ).distinct()
-    counts = cut(marks.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("hash").isNull() | (F.col("n") >= min_pages)))
-    whole = counts.filter("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.filter("hash is not null")
-    return often.join(whole, "host").filter(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+    marks = seen.select("host", "body", F.explode("hashes").alias("hash")).distinct()
+    return marks.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
 
 
 def extract(

@@ -282,6 +282,22 @@ def test_site_template_goes_and_shared_prose_stays(spark):
     assert joined == found
 
 
+def test_boxes_inside_articles_go_and_linked_words_stay(spark):
+    box = "<div class='x1'>Get our app</div><ul><li><a href='/a'>More</a></li><li><a href='/b'>Most</a></li></ul>"
+    # the box stands on 12 of 200 pages only
+    pages = [
+        (k, f"http://h.test/{k}", f"<article><h1>T {k}</h1><p>About <a href='/p'>Python</a> {k}.</p>{box if k < 12 else ''}"
+            f"<ul><li>See <a href='/p'>Python</a> too</li></ul><table><tr><td><a href='/p'>Python</a></td><td>{k}</td></tr></table><div><p>Shared words.</p></div></article>")
+        for k in range(200)
+    ]
+    pages += [(1000 + k, f"http://i.test/{k}", f"<body><p>About <a href='/p'>Python</a> and <b>more</b> {k}.</p></body>") for k in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_main.extract(df, ["page_id"]).select("row.page_id", "res.text").collect()}
+    for k in range(200):
+        assert found[k] == f"T {k}\nAbout Python {k}.\nSee Python too\nPython\n{k}\nShared words."
+    assert found[1003] == "About Python and more 3."
+
+
 def test_pages_equal_their_articles(spark):
     import html
 
