@@ -85,6 +85,19 @@ def _planner(spark, d):
     return planning.planner_relations(pages.unionByName(start))
 
 
+@query("gr26_planner_orders", """WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS s FROM lineitem), p AS (SELECT DISTINCT k, k::VARCHAR AS slug FROM s)
+ SELECT 'getting-started' AS src, slug AS dst, 'prerequisite' AS kind FROM p WHERE k%2=0 UNION SELECT a.k::VARCHAR, b.k::VARCHAR, 'related' FROM s a JOIN s b ON a.s=b.s AND a.k::VARCHAR<b.k::VARCHAR
+ UNION SELECT * FROM (SELECT lag(slug) OVER (PARTITION BY k//100 ORDER BY k) AS src, slug, 'next-step' FROM p WHERE k%5=0) WHERE src IS NOT NULL UNION SELECT (k//100*100)::VARCHAR, slug, 'extends' FROM p WHERE k%5=0 AND k//100*100 IN (SELECT k FROM p)""")
+def _planner_orders(spark, d):
+    o = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("symbols"))
+    pages = o.select(
+        F.col("k").cast("string").alias("slug"), F.col("k").alias("ordinal"), F.when(F.col("k") % 2 == 0, F.array(F.lit("api"))).otherwise(F.array(F.lit("x"))).alias("kinds"), "symbols",
+        F.when(F.col("k") % 5 == 0, (F.floor(F.col("k") / 100) * 100).cast("string")).alias("split_from"),
+    )
+    start = spark.createDataFrame([("getting-started", -1, ["overview"], [], None)], pages.schema)
+    return planning.planner_relations(pages.unionByName(start))
+
+
 @query("sr02_importance", """SELECT p_partkey, greatest(0e0,least(1e0, CASE WHEN p_size%2=0 THEN 25e-2*least(1e0,1/1e2+4e-1) ELSE 0e0 END + CASE p_size%3 WHEN 0 THEN 12e-2 WHEN 1 THEN 75e-3 ELSE 0e0 END + 15e-2*least(1e0,p_partkey%4/3e0) + CASE WHEN p_partkey%5=0 THEN 5e-2 ELSE 0e0 END + CASE WHEN p_size%3=0 THEN 1e-1 ELSE 0e0 END + CASE WHEN p_size%3=1 THEN 6e-2 ELSE 0e0 END + 5e-2*5e-1)) AS importance FROM part""")
 def _importance(spark, d):
     k, s = F.col("p_partkey"), F.col("p_size")

@@ -199,6 +199,13 @@ def _contained(spark, d):
     return similarity.containment_pairs(t, "k", "s")
 
 
+@query("dd03_contained_orders", """WITH r AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS e FROM lineitem), n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM r a JOIN r b ON a.e=b.e AND a.k<b.k GROUP BY 1,2)
+ SELECT a, b, shared FROM p JOIN n x ON x.k=a JOIN n y ON y.k=b WHERE shared=least(x.n,y.n)""")
+def _contained_orders(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("s"))
+    return similarity.containment_pairs(t, "k", "s")
+
+
 @query("dd06_subject_similarity", """SELECT a.p_partkey AS a, b.p_partkey AS b, len(list_intersect(string_split(a.p_name,' '),string_split(b.p_name,' ')))/2.0 AS similarity FROM part a JOIN part b ON a.p_brand=b.p_brand AND a.p_partkey<b.p_partkey AND a.p_size=b.p_size""")
 def _subjects(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.split("p_name", " ").alias("t"))
@@ -220,6 +227,13 @@ def _shared(spark, d):
     return similarity.shared_entity_pairs(table(spark, d, "lineitem").filter("l_orderkey < 400"), "l_orderkey", "l_suppkey")
 
 
+@query("jn11_shared_parts", """SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared, least(1e0,6e-1+1e-1*count(*)) AS confidence, least(1e0,25e-2*count(*)) AS weight FROM (SELECT DISTINCT l_orderkey,l_partkey FROM lineitem) a
+ JOIN (SELECT DISTINCT l_orderkey,l_partkey FROM lineitem) b ON a.l_partkey=b.l_partkey AND a.l_orderkey<b.l_orderkey GROUP BY 1,2""")
+def _shared_parts(spark, d):
+    # a part is in about thirty orders at every scale
+    return similarity.shared_entity_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
 @query("jn12_longest_prefix", r"""SELECT path, arg_max(owner, CASE WHEN owner='.' THEN -1 ELSE length(owner) END) AS owner FROM (SELECT DISTINCT regexp_replace(regexp_replace(url,'^https?://',''),'[?#].*$','') AS path FROM pages) JOIN
  (SELECT DISTINCT regexp_extract(url,'//([^/?#]*)',1) AS owner FROM pages WHERE page_id%3=0 UNION SELECT '.' UNION SELECT DISTINCT regexp_extract(url,'//([^/?#]*/[a-z]+)',1) FROM pages WHERE page_id%5=0) ON owner='.' OR starts_with(path, owner||'/') GROUP BY path""")
 def _prefix(spark, d):
