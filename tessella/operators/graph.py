@@ -156,7 +156,7 @@ def weak_components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
 
 
-def elementary_cycles(edges: DataFrame, max_length: int = 8) -> DataFrame:
+def elementary_cycles(edges: DataFrame, max_length: int = 200) -> DataFrame:
     """Cycles of two or more nodes, each once, as an array that begins with its least node.
 
     Paths grow from their least node inside the cyclic core, so a cycle is found

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
 from tessella.functions import text as X
+from tessella.operators.common import cut
 from tessella.sources.sinks import MARKER
 
 
@@ -31,11 +32,19 @@ def severity_counts(findings: DataFrame) -> DataFrame:
     return findings.agg(*[F.count_if(F.col("severity") == s).alias(n) for s, n in (("error", "errors"), ("warning", "warnings"), ("info", "notes"))])
 
 
-def resolve_dotted(names: DataFrame, members: DataFrame, max_depth: int = 8) -> DataFrame:
-    """``target`` of dotted names (name), member by member through members (owner, member, target); roots have a null owner."""
+def resolve_dotted(names: DataFrame, members: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``target`` of dotted names (name), member by member through members (owner, member, target); roots have a null owner.
+
+    As many parts are resolved as the longest name has; a name of more than ``max_depth`` has no target.
+    """
     state = names.select("name", F.split("name", r"\.").alias("p"), F.lit(None).cast("string").alias("at"), F.lit(True).alias("ok"))
     m = members.select("owner", "member", "target")
-    for k in range(max_depth):
+    longest = names.agg(F.max(F.size(F.split("name", r"\.")))).first()[0] or 0
+    depth = longest if max_depth is None else min(longest, max_depth)
+    state = state.withColumn("ok", F.size("p") <= depth)
+    for k in range(depth):
+        if k % 8 == 7:
+            state = cut(state)
         step = F.get("p", F.lit(k))
         left = state.withColumn("step", step)
         joined = left.join(m, left["at"].eqNullSafe(m["owner"]) & (left["step"] == m["member"]), "left")

@@ -28,20 +28,19 @@ def resolve_packages(imports: DataFrame, packages: DataFrame) -> DataFrame:
     return imports.withColumn("name", X.package_name("specifier")).join(packages, "name", "left")
 
 
-def exported_names(exports: DataFrame, stars: DataFrame, max_depth: int = 16) -> DataFrame:
+def exported_names(exports: DataFrame, stars: DataFrame) -> DataFrame:
     """``module``, ``name``, ``origin``: own exports, then those of star re-exports (module, source), nearest first.
 
     Cycles end because a name that a module has is never taken again.
     """
     known = cut(exports.select("module", "name", F.col("module").alias("origin")).distinct())
     front = known
-    for _ in range(max_depth):
+    while True:
         step = stars.join(front.select(F.col("module").alias("source"), "name", "origin"), "source").groupBy("module", "name").agg(F.min("origin").alias("origin"))
         front = cut(step.join(known, ["module", "name"], "left_anti"))
         if front.isEmpty():
-            break
+            return known
         known = cut(known.unionByName(front.select("module", "name", "origin")))
-    return known
 
 
 def resolve_names(uses: DataFrame, local: DataFrame, imported: DataFrame, exported: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessella.operators import compose, planning, references, search
+from tessella.operators import compose, graph, planning, project, references, search
 
 
 def rows(df):
@@ -74,3 +74,15 @@ def test_concepts_and_trees(spark):
     assert rows(planning.concept_groups(c).select("name", F.size("members"))) == [("cache-key", 1), ("getThing", 1), ("router", 2)]
     t = planning.directory_tree(spark.createDataFrame([("a/b/c.ts",), ("top.ts",)], "p string"), "p")
     assert rows(t) == [("a", ".", 1), ("a/b", "a", 2)]
+
+
+def test_depth_is_not_capped(spark):
+    ring = spark.createDataFrame([(k, (k + 1) % 12) for k in range(12)], "src long, dst long")
+    assert [list(r.path) for r in graph.elementary_cycles(ring).collect()] == [list(range(12))]
+    exports = spark.createDataFrame([("m20", "f")], "module string, name string")
+    stars = spark.createDataFrame([(f"m{k}", f"m{k + 1}") for k in range(20)], "module string, source string")
+    assert references.exported_names(exports, stars).count() == 21
+    members = spark.createDataFrame([(f"t{k - 1}" if k else None, f"p{k}", f"t{k}") for k in range(10)], "owner string, member string, target string")
+    names = spark.createDataFrame([(".".join(f"p{k}" for k in range(n)),) for n in (1, 9, 10)] + [("p0." * 8 + "x",)], "name string")
+    assert {len(r.name.split(".")): r.target for r in project.resolve_dotted(names.filter("name not like '%x'"), members).collect()} == {1: "t0", 9: "t8", 10: "t9"}
+    assert project.resolve_dotted(names.filter("name like '%x'"), members).first().target is None
