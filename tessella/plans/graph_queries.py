@@ -95,6 +95,15 @@ def _topological(spark, d):
     return graph.topological_levels(nodes, graph.dependency_edges(nodes, e))
 
 
+@query("gr18_gr19_all_parts", """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey//k AS src, p_partkey AS dst FROM part, (VALUES (2),(3),(5)) v(k) WHERE p_size%k<2 AND p_partkey>0 AND p_partkey//k IN (SELECT p_partkey FROM part)), w AS (SELECT p_partkey AS node, 0 AS level FROM part UNION SELECT e.dst, w.level+1 FROM w JOIN e ON e.src=w.node) SELECT node, max(level) AS level FROM w GROUP BY node""")
+def _topological_parts(spark, d):
+    # a part depends on halves, thirds and fifths of its key: every part is a node, and the levels are few
+    p = table(spark, d, "part").withColumn("k", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))))
+    e = p.filter("p_size % k < 2").select(F.floor(F.col("p_partkey") / F.col("k")).alias("src"), F.col("p_partkey").alias("dst"), F.lit("prerequisite").alias("kind"))
+    nodes = table(spark, d, "part").select(F.col("p_partkey").alias("node"))
+    return graph.topological_levels(nodes, graph.dependency_edges(nodes, e))
+
+
 @query("gr14_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey%40 AS src, (p_partkey*3+p_size)%40 AS dst FROM part WHERE p_partkey<80 AND p_partkey%40<>(p_partkey*3+p_size)%40), p AS (SELECT src AS s, dst AS t, [src,dst] AS path FROM e WHERE src<dst
  UNION ALL SELECT p.s, e.dst, list_append(p.path,e.dst) FROM p JOIN e ON e.src=p.t WHERE e.dst>p.s AND NOT list_contains(p.path,e.dst) AND len(p.path)<5) SELECT array_to_string(path,'>') AS cycle FROM p JOIN e ON e.src=p.t AND e.dst=p.s""")
 def _cycles(spark, d):
@@ -102,6 +111,16 @@ def _cycles(spark, d):
     return graph.elementary_cycles(e, max_length=5).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
 
 
+@query("gr14_all_cycles", """WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, p_partkey//10*10+(p_partkey*k+p_size)%10 AS dst FROM part, (VALUES (3),(7)) v(k) WHERE p_partkey<>p_partkey//10*10+(p_partkey*k+p_size)%10), p AS (SELECT src AS s, dst AS t, [src,dst] AS path FROM e WHERE src<dst
+ UNION ALL SELECT p.s, e.dst, list_append(p.path,e.dst) FROM p JOIN e ON e.src=p.t WHERE e.dst>p.s AND NOT list_contains(p.path,e.dst)) SELECT array_to_string(path,'>') AS cycle FROM p JOIN e ON e.src=p.t AND e.dst=p.s""")
+def _all_cycles(spark, d):
+    # every part, with edges inside its ten: cycles of any length, and their number grows with the table only
+    k = F.explode(F.array(F.lit(3), F.lit(7)))
+    p = table(spark, d, "part").select("p_partkey", "p_size", k.alias("k"))
+    e = p.select(F.col("p_partkey").alias("src"), (F.floor(F.col("p_partkey") / 10) * 10 + (F.col("p_partkey") * F.col("k") + F.col("p_size")) % 10).alias("dst"))
+    return graph.elementary_cycles(e).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("cycle"))
+
+
 @query("gr22_components", f"""WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey//10*10 AS b FROM part WHERE p_size<25), u AS (SELECT a,b FROM e UNION SELECT b,a FROM e), r AS (SELECT a AS node, a AS m FROM u UNION SELECT u.b, r.m FROM r JOIN u ON u.a=r.node) SELECT node, min(m) AS component FROM r GROUP BY node""")
 def _components(spark, d):
     e = table(spark, d, "part").filter("p_size < 25").select(F.col("p_partkey").alias("src"), (F.floor(F.col("p_partkey") / 10) * 10).alias("dst"))

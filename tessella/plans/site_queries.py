@@ -47,6 +47,12 @@ def _sidebar(spark, d):
     return t.select("category", "n", F.nullif(F.array_join("i", ","), F.lit("")).alias("items"))
 
 
+@query("ag05_ag06_whole_sidebar", """SELECT o_orderpriority AS category, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1""")
+def _whole_sidebar(spark, d):
+    t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("i"))
+    return t.select("category", "n", F.array_join("i", ",").alias("items"))
+
+
 @query("ag14_terms", r"""SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text),'[a-z]{6,}')) AS term FROM documents) GROUP BY term HAVING count(*)>=20""")
 def _terms(spark, d):
     words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("term"))
@@ -152,6 +158,12 @@ def _st02(spark, d):
     return site.posts(table(spark, d, "orders").select("o_orderkey", day.alias("o_day")), "o_day", "o_orderkey").limit(100)
 
 
+@query("st02_all_posts", """SELECT o_orderkey, CASE WHEN o_orderkey%10=0 THEN NULL ELSE strftime(o_orderdate,'%Y-%m-%d') END AS o_day FROM orders ORDER BY o_day DESC NULLS LAST, o_orderkey""")
+def _all_posts(spark, d):
+    day = F.when(F.col("o_orderkey") % 10 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return site.posts(table(spark, d, "orders").select("o_orderkey", day.alias("o_day")), "o_day", "o_orderkey")
+
+
 @query("st07_gaps", """SELECT item, area, weight FROM (SELECT p_name||p_partkey AS item, p_type AS area, CASE p_type WHEN 'ECONOMY' THEN 0.9 WHEN 'SMALL' THEN 0.7 WHEN 'STANDARD' THEN 0.6 ELSE 0.4 END::DOUBLE AS weight, p_partkey FROM part) ORDER BY weight DESC, p_partkey LIMIT 10""")
 def _st07(spark, d):
     w = F.when(F.col("p_type") == "ECONOMY", 0.9).when(F.col("p_type") == "SMALL", 0.7).when(F.col("p_type") == "STANDARD", 0.6).otherwise(0.4)
