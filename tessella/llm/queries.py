@@ -104,8 +104,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document and the bytes they decode to."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = read_table(spark, sf_dir, "documents")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, ["doc_id"])
-    return digest(bpe.decode(encoded, ranks, public_tokenizers.PATTERN))
+    return digest(bpe.round_trip(docs, ranks, public_tokenizers.PATTERN, ["doc_id"]))
 
 
 def digest(decoded: DataFrame) -> DataFrame:
@@ -114,7 +113,7 @@ def digest(decoded: DataFrame) -> DataFrame:
         "row.doc_id",
         "res.n_tokens",
         F.sha2("res.ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.sha2("res.decoded", 256).alias("decoded_sha256"),
     )
 
 

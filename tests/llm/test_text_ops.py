@@ -58,15 +58,42 @@ def test_edge_cases_and_empty_tables(spark, edge_dir, name):
         assert found.count() == n
 
 
+def match_by_match(encoding, text):
+    import regex
+
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    return [i for m in pattern.findall(text) for i in encoding.library._core_bpe.encode_single_piece(m.encode())]
+
+
 def test_bpe_equals_library_and_round_trips(spark, documents, edge):
     encoding = bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
-    out = bpe.decode(bpe.encode(edge, RANKS, public_tokenizers.PATTERN, ["row"], "text"), RANKS, public_tokenizers.PATTERN)
+    out = bpe.round_trip(edge, RANKS, public_tokenizers.PATTERN, ["row", "text"])
     texts = {r: t or "" for _, t, r in EDGE}
     for r in out.collect():
         text = texts[r.row.row]
-        assert np.frombuffer(r.res.ids, "<u4").tolist() == encoding.encode_ordinary(text) and bytes(r.decoded) == text.encode()
+        assert np.frombuffer(r.res.ids, "<u4").tolist() == encoding.library.encode_ordinary(text) and bytes(r.res.decoded) == text.encode()
     for _, text in documents[:60]:
-        assert bpe.encode_text(encoding, text, size=64).tolist() == encoding.encode_ordinary(text)
+        for size in (4, 64):
+            assert bpe.encode_text(encoding, text, size).tolist() == match_by_match(encoding, text)
+
+
+@pytest.mark.parametrize("run", [" ", "\t", "\n", " \n\t", "x", "=", "\u3000", "7"])
+def test_bpe_of_long_runs(run):
+    encoding = bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
+    for n in (1, 63, 64, 65, 200):
+        for text in (run * n, f"a{run * n}", f"{run * n}b c", f"a b{run * n} c{run * n}'s{run * n}"):
+            assert bpe.encode_text(encoding, text, 16).tolist() == match_by_match(encoding, text)
+    text = f"a{run * 1_000_000}b"
+    ids = bpe.encode_text(encoding, text)
+    assert ids.tolist() == match_by_match(encoding, text) and bpe.decode_ids(encoding, ids) == text.encode()
+
+
+def test_bpe_of_five_and_twenty_million_spaces():
+    encoding = bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
+    one, last = encoding.library.encode_ordinary(" "), encoding.library.encode_ordinary(" x")
+    for n in (5_000_000, 20_000_000):
+        ids = bpe.encode_text(encoding, " " * n + "x")
+        assert len(ids) == n and (ids[:-1] == one[0]).all() and ids[-1:].tolist() == last
 
 
 def test_records(spark, documents, tmp_path):
@@ -308,6 +335,9 @@ def test_pages_equal_their_articles(spark):
 
 
 def test_digest_columns(spark, documents):
+    encoding = bpe.load_encoding(RANKS, public_tokenizers.PATTERN)
     found = {r.doc_id: r for r in QUERIES["op9_byte_bpe"](spark, DATA).collect()}
     for i, text in documents:
+        ids = np.array(match_by_match(encoding, text), dtype="<u4")
+        assert (found[i].n_tokens, found[i].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert found[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
