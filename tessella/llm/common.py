@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tessella-")
     spark.sparkContext.setCheckpointDir(folder)
@@ -71,12 +71,22 @@ def crc_bucket(id_col: str | Column, buckets: int = 5) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % F.lit(buckets)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lowers the session's Arrow batch to ``rows`` rows, so that a batch of very long texts fits."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
+#: Rows and bytes of one Arrow batch of texts.
+BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
+    """Lowers the session's Arrow batches to ``rows`` rows and ``size`` bytes.
+
+    Spark reads both settings when a plan is prepared, so they stay lowered; a
+    session that has smaller ones keeps them.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -105,12 +115,9 @@ def map_texts(
     ``result``. Columns named in ``carry`` pass through untouched inside a
     struct, so their names never meet those of ``result``. The output has the
     columns ``row`` (struct of ``carry``) and ``res`` (struct of ``result``).
+    A text that is carried is sent to Python once, inside ``row``.
     """
-    bound_batches(docs.sparkSession)
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
-    )
+    packed, texts_of = pack_texts(docs, carry, text_col)
     schema = T.StructType(
         [T.StructField("row", packed.schema["row"].dataType), T.StructField("res", result)]
     )
@@ -120,13 +127,27 @@ def map_texts(
         work = make()
         for batch in batches:
             if batch.num_rows:
-                arrays = work(batch.column(1).to_pylist())
+                arrays = work(texts_of(batch))
                 res = pa.StructArray.from_arrays(arrays, names=names)
                 yield pa.RecordBatch.from_arrays([batch.column(0), res], names=["row", "res"])
 
     return packed.mapInArrow(run, schema)
 
 
+def pack_texts(docs: DataFrame, carry: list[str], text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[str]]]:
+    """``docs`` as ``row`` (struct of ``carry``) and, unless it is in there, ``text``; and how to take a batch's texts.
+
+    Bounds the session's Arrow batches. A null text is taken as the empty one.
+    """
+    bound_batches(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")
+    if text_col in carry and dict(docs.dtypes)[text_col] == "string":
+        place = carry.index(text_col)
+        return docs.select(row), lambda batch: [t or "" for t in batch.column(0).field(place).to_pylist()]
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")
+    return docs.select(row, text), lambda batch: batch.column(1).to_pylist()
+
+
 def join_unique(
     left: DataFrame, right: DataFrame, key: str, weight: str, total: int, keep: list[str]
 ) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import bound_batches
+from tessella.llm.common import pack_texts
 
 WINDOW = 13
 SAMPLE_EVERY = 8
@@ -282,12 +282,8 @@ def find_contamination(
 
     Spans count code points, end exclusive.
     """
-    bound_batches(docs.sparkSession)
-    frame = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
-        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
-    )
-    row_type = frame.schema["row"].dataType
+    frame, texts_of = pack_texts(docs, carry, text_col)
+    shipped = frame.schema.fields
     arrow = pa.struct(
         [
             ("n_words", pa.int64()),
@@ -296,16 +292,16 @@ def find_contamination(
             ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
         ]
     )
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("text", T.StringType()), T.StructField("res", RESULT)])
+    schema = T.StructType([*shipped, T.StructField("res", RESULT)])
     for number, phrases in enumerate(phrase_blocks(benchmark, item_id, item_text, window, block_bytes)):
 
         def run(batches, phrases=phrases, later=number > 0):
             for batch in batches:
                 if batch.num_rows:
-                    known = batch.column(2).to_pylist() if later else None
-                    rows = search_batch(phrases, batch.column(1).to_pylist(), known)
+                    known = batch.column(len(shipped)).to_pylist() if later else None
+                    rows = search_batch(phrases, texts_of(batch), known)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0), batch.column(1), pa.array(rows, arrow)], names=["row", "text", "res"]
+                        [*batch.columns[: len(shipped)], pa.array(rows, arrow)], names=schema.fieldNames()
                     )
 
         frame = frame.mapInArrow(run, schema)

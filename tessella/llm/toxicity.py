@@ -40,8 +40,9 @@ STRENGTH = 4.0
 FOLDS = 3
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
-#: Words whose slots a worker remembers.
-REMEMBERED = 150_000
+#: Words whose slots a worker remembers, and the letters of the longest of them.
+REMEMBERED = 100_000
+REMEMBERED_LETTERS = 40
 
 
 class SlotHasher:
@@ -62,7 +63,8 @@ class SlotHasher:
             if slots is None:
                 names = [word, f"{word[:5]}*"] if len(word) > 5 else [word]
                 slots = tuple(xxh32_intdigest(n.encode("utf-8", "surrogatepass")) % SLOTS for n in names)
-                self.known[word] = slots
+                if len(word) <= REMEMBERED_LETTERS:
+                    self.known[word] = slots
             out.update(slots)
         return np.array(sorted(out), dtype=np.int32)
 
