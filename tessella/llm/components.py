@@ -4,7 +4,9 @@ Edges are first thinned inside each task to a spanning forest, which keeps every
 connection. Then large-star and small-star rounds alternate until nothing moves:
 each round hooks a node's neighbours to the smallest node known, so all that is
 left is a star around the least node of each component. Minimums are aggregated
-before the shuffle, and each round is checkpointed in the shared folder.
+before the shuffle; the minimums of nodes with very many links, the centres of
+large stars, are broadcast instead of shuffling all their links to one task. Each
+round is checkpointed in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
+from tessella.llm.common import cut, join_unique
 
 #: Edges that a task thins at a time.
 CHUNK = 500_000
@@ -89,11 +91,12 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
             )
         seen = (mark["n"], mark["h"])
         both = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("least"), F.count("*").alias("n"))
+        low = low.select("u", F.least("u", "least").alias("m"), "n")
         large = (
-            both.filter("v > u").join(low, "u").filter("v <> m")
+            join_unique(both.filter("v > u"), low, "u", "n", 2 * mark["n"], ["m"]).filter("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_unique(large, low, "u", "n", mark["n"], ["m"]).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         state = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())

@@ -2,29 +2,37 @@
 
 Each pass gives every vector a key: the concatenation of random hashes, each the
 quantised projection on a random direction. The vectors are ordered by key
-lexicographically, the order is cut to ranges, and every vector is compared with
-the next ``WINDOW`` ones; rows near a range's ends are compared across it in a
-second, bounded step. Equal vectors are merged first, so a common vector fills no
-window. Pairs with a cosine (double precision) of at least the threshold are
-links; the passes' links are united, and their components found.
+lexicographically, and every vector is compared with the next ``WINDOW`` ones: in
+a range of the order within its task, near the ends of ranges by its rank in the
+whole order, however many short ranges a window reaches over. So the pairs seen
+do not depend on the number of partitions. Equal vectors are merged first, so a
+common vector fills no window. Pairs with a cosine (double precision) of at least
+the threshold are links; a task keeps a spanning forest of those it sees, the
+forests of all passes are united, and their components found.
 
 How many vectors stand between two near neighbours in an order grows with the
-table, so the number of passes is not fixed. About ``PROBES`` vectors of the table
+table, so the number of passes does too. About ``PROBES`` vectors of the table
 are each given a planted neighbour at the threshold, the farthest that a link may
 be, in a random direction. The planted vectors are ordered and compared like all
 others, but their links are kept apart. Passes go on until ``RECALL`` of the
-planted pairs were seen; where single passes see too few, the window grows too.
-
-A window is bounded, so in a component with more members than it spans some links
-are still unseen. They are counted exactly: a component's vectors are dealt out in
-blocks, each block is compared with each block of its component as matrices, and
-only counts leave a task - never pairs.
+planted vectors were linked to a vector of the table - its own or, where many lie
+close, one of them; where single passes see too few, the window grows too.
+
+The links of a component's members are counted exactly, most without comparing
+them. A member lies at some angle from the component's pivot, its least vector.
+Two members are linked for sure if their angles add up to no more than the
+threshold's, and apart for sure if they differ by more. Members are dealt to bins
+of angles; only pairs of bins that the angles leave open are compared, in blocks,
+as matrices, and only counts leave a task - never pairs. Groups of copies within
+half the threshold's angle thus take linear work; a component with few members
+near its pivot still takes quadratic work in its size.
 
 Defined cases: a vector that is null, zero, or holds a null or non-finite
 component, links with nothing and is its own component; so does one of another
 length than its neighbour with that neighbour; repeated rows are vectors of their
-own; the component of a null id alone is null; an empty table gives an empty
-result.
+own; vectors with equal keys are ordered by a digest of their bytes; vectors of
+any length are compared whole; extra columns are ignored; the component of a null
+id alone is null; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import cut
-from tessella.llm.components import connected_components
+from tessella.llm.common import bound_batches, cut, join_unique
+from tessella.llm.components import connected_components, spanning_forest
 
 THRESHOLD = 0.9
-#: Passes of the first round, and the window they begin with; more follow as the probes demand.
+#: Passes of the first round over up to ``FEW`` vectors, more as a fifth root of their number, and the window.
 PASSES = 8
+FEW = 2000
 WINDOW = 48
 #: Share of the planted pairs to be seen, and about how many are planted.
 RECALL = 0.95
@@ -47,7 +56,14 @@ PROBES = 1000
 #: Where this many passes in all would not do, the window is widened instead.
 MANY_PASSES = 48
 HASHES = 24
+#: Members of a bin that are compared as one block.
 BLOCK = 1024
+#: Bins of the threshold's angle.
+BINS = 64
+#: Angles are trusted to this.
+TRUST = 1e-6
+#: Links that a task thins at a time.
+CHUNK = 200_000
 SEED = 1469
 
 
@@ -72,27 +88,19 @@ def keys_of(vectors: np.ndarray, number: int) -> list[bytes]:
 
 def unit(raw: list[bytes]) -> np.ndarray:
     """Packed double vectors of one length as unit rows."""
-    x = np.array([np.frombuffer(r) for r in raw])
+    x = np.frombuffer(b"".join(raw)).reshape(len(raw), -1)
     # scaled first: the square of a very large or small component must not overflow or vanish
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def window_links(ids: np.ndarray, x: np.ndarray, threshold: float, window: int, border: int | None = None):
-    """Pairs (a, b) of rows at most ``window`` apart that reach the threshold.
-
-    With ``border``, only pairs with one row before it and one at or after it.
-    """
-    out_a, out_b = [], []
-    for gap in range(1, min(window, len(ids) - 1) + 1):
-        near = np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= threshold
-        if border is not None:
-            at = np.arange(len(ids) - gap)
-            near &= (at < border) & (at + gap >= border)
-        out_a.append(ids[:-gap][near])
-        out_b.append(ids[gap:][near])
-    if not out_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+def window_pairs(x: np.ndarray, threshold: float, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (a, b), a before b by at most ``window``, that reach the threshold."""
+    out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for gap in range(1, min(window, len(x) - 1) + 1):
+        at = np.nonzero(np.einsum("ij,ij->i", x[:-gap], x[gap:]) >= threshold)[0]
+        out_a.append(at)
+        out_b.append(at + gap)
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -102,14 +110,13 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
     ``key`` is a 128-bit digest of the vector's bytes; unusable vectors have none.
     """
     doubles = F.transform(F.col(f"`{vector_col}`"), lambda v: v.cast("double"))
-    size = doubles
     good = (
         F.col("v").isNotNull()
         & (F.size("v") > 0)
         & ~F.exists("v", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
         & F.exists("v", lambda c: c != 0)
     )
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), size.alias("v")).withColumn(
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), doubles.alias("v")).withColumn(
         "v", F.when(F.coalesce(good, F.lit(False)), F.col("v"))
     )
 
@@ -132,146 +139,187 @@ def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[
     return packed, named
 
 
-def pass_links(nodes: DataFrame, numbers: range, threshold: float, window: int, size: int | None = None) -> DataFrame:
-    """Links (a, b) that some passes over ``nodes`` (node, raw), ``size`` in number, find.
+FOUND = "kind int, part int, at long, turn int, a long, b long, raw binary"
+#: Kinds of rows that a range gives: a link, a row near one of its ends, its number of rows.
+LINK, EDGE, SIZE = 0, 1, 2
+
+
+def _found(kind: int, n: int, part=None, at=None, turn=None, a=None, b=None, raw=None) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    columns = [np.full(n, kind, dtype=np.int32), part, at, turn, a, b, raw]
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+        names=["kind", "part", "at", "turn", "a", "b", "raw"],
+    )
+
+
+class Thinner:
+    """Links in, a spanning forest out; for planted vectors, that they met any vector of the table."""
+
+    def __init__(self):
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.probes: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        met = np.unique(np.where(a & 1, a, b)[((a ^ b) & 1) == 1])
+        self.probes.append((met - 1, met))
+        real = ((a | b) & 1) == 0
+        self.held.append((a[real], b[real]))
+        self.size += int(real.sum())
+        if self.size > CHUNK:
+            self.held = [spanning_forest(*map(np.concatenate, zip(*self.held, strict=True)))]
+            self.size = len(self.held[0][0])
+
+    def out(self) -> tuple[np.ndarray, np.ndarray]:
+        empty = np.zeros(0, dtype=np.int64)
+        held = [np.concatenate(x) for x in zip(*self.held, strict=True)] if self.held else [empty, empty]
+        forest = spanning_forest(*held) if len(held[0]) else held
+        probes = [np.concatenate(x) for x in zip(*self.probes, strict=True)] if self.probes else [empty, empty]
+        self.held, self.probes, self.size = [], [], 0
+        return np.concatenate([forest[0], probes[0]]), np.concatenate([forest[1], probes[1]])
+
+
+def _alike(turns: list[int], raw: list[bytes]):
+    """Runs (start, end) of rows of one pass and one vector length."""
+    start = 0
+    for end in range(1, len(raw) + 1):
+        if end == len(raw) or turns[end] != turns[start] or len(raw[end]) != len(raw[start]):
+            yield start, end
+            start = end
+
 
-    The passes are sorted as one table, pass after pass. A window reaches into the
-    next range only, so ranges are made fewer where they would be shorter than two
-    windows.
+def pass_links(nodes: DataFrame, numbers: range, threshold: float, window: int) -> DataFrame:
+    """Links (a, b) that passes over ``nodes`` (node, key, raw) find, thinned to forests.
+
+    The passes are sorted as one table, pass after pass.
     """
-    ranges = None if size is None else max(1, size * len(numbers) // (2 * window))
-    few = ranges is not None and ranges < int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def keyed(batches):
         for batch in batches:
-            raw = batch.column(1).to_pylist()
+            raw = batch.column(2).to_pylist()
             units = []
             for size in {len(r) for r in raw}:
                 at = [k for k, r in enumerate(raw) if len(r) == size]
                 units.append((size, at, unit([raw[k] for k in at])))
+            ties = [k.to_bytes(8, "big", signed=True) for k in batch.column(1).to_pylist()]
             for number in numbers:
                 keys: list[bytes] = [b""] * len(raw)
                 for size, at, x in units:
                     for k, key in zip(at, keys_of(x, number), strict=True):
-                        keys[k] = number.to_bytes(4, "big") + size.to_bytes(4, "big") + key
+                        keys[k] = number.to_bytes(4, "big") + size.to_bytes(4, "big") + key + ties[k]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(keys, pa.binary())], names=["node", "raw", "sort"]
+                    [batch.column(0), batch.column(2), pa.array(keys, pa.binary())], names=["node", "raw", "sort"]
                 )
 
     ordered = (
-        nodes.select("node", "raw").mapInArrow(keyed, "node long, raw binary, sort binary")
-        .repartitionByRange(*([ranges] if few else []), F.col("sort"), F.col("node")).sortWithinPartitions("sort", "node")
+        nodes.select("node", "key", "raw").mapInArrow(keyed, "node long, raw binary, sort binary")
+        .repartitionByRange(F.col("sort"), F.col("node")).sortWithinPartitions("sort", "node")
     )
 
     def compare(batches):
-        """Links within a range, and its first and last rows for the step across ranges."""
+        """A forest of the links within a range, its first and last rows, and its size."""
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows: list[tuple[int, bytes, int]] = []
-        first: list[tuple[int, bytes, int]] = []
+        thin = Thinner()
+        node: list[int] = []
+        raw: list[bytes] = []
+        turn: list[int] = []
+        seen = 0
+        first = None
         for batch in batches:
-            turns = [int.from_bytes(k[:4], "big") for k in batch.column(2).to_pylist()]
-            new = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), turns, strict=True))
-            first += new[: max(0, window - len(first))]
-            held = len(rows)
-            rows += new
-            start = 0
-            while start < len(rows):  # a pass at a time
-                end = start
-                while end < len(rows) and rows[end][2] == rows[start][2]:
-                    end += 1
-                if end > held:
-                    yield _links([r[0] for r in rows[start:end]], [r[1] for r in rows[start:end]], max(0, held - start), threshold, window)
-                start = end
-            rows = rows[-window:]
-        out = [(part, 1, k, turn, n, r) for k, (n, r, turn) in enumerate(first)]
-        out += [(part + 1, 0, k, turn, n, r) for k, (n, r, turn) in enumerate(rows)]
-        yield _edge_batch(out)
-
-    found = ordered.mapInArrow(compare, "a long, b long, border int, side int, at int, turn int, node long, raw binary")
-    found = cut(found)
-    across = found.filter("border is not null").groupBy("border").applyInArrow(
-        lambda table: _across(table, threshold, window), "a long, b long"
+            held = len(node)
+            node += batch.column(0).to_pylist()
+            raw += batch.column(1).to_pylist()
+            turn += [int.from_bytes(k[:4], "big") for k in batch.column(2).to_pylist()]
+            seen += batch.num_rows
+            for start, end in _alike(turn, raw):
+                if end - start > 1 and end > held:
+                    name = np.array(node[start:end], dtype=np.int64)
+                    a, b = window_pairs(unit(raw[start:end]), threshold, window)
+                    fresh = b >= held - start
+                    thin.add(name[a[fresh]], name[b[fresh]])
+            if first is None or len(first[0]) < window:
+                have = len(first[0]) if first else 0
+                more = slice(held, held + window - have)
+                first = [x + y[more] for x, y in zip(first or [[], [], []], (node, raw, turn), strict=True)]
+            if len(node) > window:
+                node, raw, turn = node[-window:], raw[-window:], turn[-window:]
+        if seen:
+            # rows near both ends of a short range go out once
+            last = max(0, min(len(node), seen - len(first[0])))
+            at = [*range(len(first[0])), *range(seen - last, seen)]
+            rows = [x + y[len(y) - last :] for x, y in zip(first, (node, raw, turn), strict=True)]
+            yield _found(EDGE, len(at), part=[part] * len(at), at=at, a=rows[0], raw=rows[1], turn=rows[2])
+            yield _found(SIZE, 1, part=[part], at=[seen])
+        a, b = thin.out()
+        yield _found(LINK, len(a), a=a, b=b)
+
+    found = cut(ordered.mapInArrow(compare, FOUND))
+    begin, total = [], 0
+    for r in sorted(found.filter(F.col("kind") == SIZE).select("part", "at").collect()):  # a row for each partition
+        begin.append((r.part, total))
+        total += r["at"]
+    spark = nodes.sparkSession
+    offsets = spark.createDataFrame(begin, "part int, begin long")
+    span = 8 * window  # ranks of one block; the first of the next block are its guests
+    edges = (
+        found.filter(F.col("kind") == EDGE).join(F.broadcast(offsets), "part")  # a row for each partition
+        .withColumn("rank", F.col("begin") + F.col("at"))
+        .withColumn("own", F.floor(F.col("rank") / span))
     )
-    return found.filter("border is null").select("a", "b").unionByName(across)
-
-
-def _links(ids: list[int], raw: list[bytes], held: int, threshold: float, window: int) -> pa.RecordBatch:
-    """Links of rows from ``held`` on with rows before them, at most ``window`` apart."""
-    a_all, b_all = [], []
-    start = 0
-    while start < len(ids):  # runs of vectors of one length
-        end = start
-        while end < len(ids) and len(raw[end]) == len(raw[start]):
-            end += 1
-        if end - start > 1:
-            x, name = unit(raw[start:end]), np.array(ids[start:end], dtype=np.int64)
-            a, b = window_links(name, x, threshold, window)
-            if held > start:  # pairs among rows already compared come again: links are a set
-                place = {n: k for k, n in enumerate(ids[start:end])}
-                fresh = np.array([place[v] >= held - start for v in b.tolist()], dtype=bool)
-                a, b = a[fresh], b[fresh]
-            a_all.append(a)
-            b_all.append(b)
-        start = end
-    a = np.concatenate(a_all) if a_all else np.zeros(0, dtype=np.int64)
-    b = np.concatenate(b_all) if b_all else np.zeros(0, dtype=np.int64)
-    n = len(a)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())]],
-        names=["a", "b", "border", "side", "at", "turn", "node", "raw"],
+    guest = (F.col("rank") % span < window) & (F.col("own") > 0)
+    placed = edges.select(
+        F.explode(F.when(guest, F.array("own", F.col("own") - 1)).otherwise(F.array("own"))).alias("block"),
+        "rank", "part", "turn", F.col("a").alias("node"), "raw",
     )
 
-
-def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays(
-        [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *[pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]],
-        names=["a", "b", "border", "side", "at", "turn", "node", "raw"],
-    )
-
-
-def _across(table: pa.Table, threshold: float, window: int) -> pa.Table:
-    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("side", "at", "turn", "node", "raw")), strict=True))
-    # the range before may end with vectors of another pass or length: only those like the first row of the later one
-    like = next(((r[2], len(r[4])) for r in rows if r[0] == 1), None)
-    rows = [r for r in rows if (r[2], len(r[4])) == like]
-    border = sum(r[0] == 0 for r in rows)
-    if not 0 < border < len(rows):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    a, b = window_links(np.array([r[3] for r in rows], dtype=np.int64), unit([r[4] for r in rows]), threshold, window, border)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def planted(raw: bytes, node: int, threshold: float) -> bytes | None:
+    def across(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rank")
+        turn, raw = table.column("turn").to_pylist(), table.column("raw").to_pylist()
+        node, rank, part = (np.array(table.column(c).to_pylist(), dtype=np.int64) for c in ("node", "rank", "part"))
+        thin = Thinner()
+        for start, end in _alike(turn, raw):
+            if end - start > 1:
+                a, b = window_pairs(unit(raw[start:end]), threshold, window)
+                a, b = a + start, b + start
+                new = (rank[b] - rank[a] <= window) & (part[a] != part[b])
+                thin.add(node[a[new]], node[b[new]])
+        a, b = thin.out()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    met = placed.groupBy("block").applyInArrow(across, "a long, b long")
+    return found.filter(F.col("kind") == LINK).select("a", "b").unionByName(met)
+
+
+def planted(raw: bytes, key: int, threshold: float) -> bytes | None:
     """A vector whose cosine with the given one is just the threshold, None where one dimension leaves no room."""
     x = unit([raw])[0]
     if len(x) < 2 or threshold >= 1:
         return None
-    side = np.random.default_rng([SEED, node & ((1 << 63) - 1)]).normal(size=len(x))
+    side = np.random.default_rng([SEED, key & ((1 << 63) - 1)]).normal(size=len(x))
     side -= (side @ x) * x
     # a hair above, or rounding would lose half of them
     c = min(1.0, threshold + 1e-6)
     return (c * x + np.sqrt(1 - c * c) * side / np.linalg.norm(side)).tobytes()
 
 
-def probes(nodes: DataFrame, threshold: float, wanted: int = PROBES) -> DataFrame:
-    """(node, raw) of planted neighbours of about ``wanted`` nodes; a probe's name is its node's with the last bit set."""
-    share = min(1.0, wanted / max(1, nodes.count()))
-    chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 32)) < int(share * (1 << 32))).select("node", "raw")
+def probes(nodes: DataFrame, size: int, threshold: float, wanted: int = PROBES) -> DataFrame:
+    """(node, key, raw) of planted neighbours of about ``wanted`` of ``size`` nodes; a probe's name is its node's with the last bit set."""
+    share = min(1.0, wanted / max(1, size))
+    chosen = nodes.filter(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1 << 32)) < int(share * (1 << 32))).select("node", "key", "raw")
 
     def plant(batches):
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            made = [(k | 1, planted(r, k, threshold)) for k, r in zip(names, batch.column(1).to_pylist(), strict=True)]
-            made = [m for m in made if m[1] is not None]
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            made = [(n | 1, k ^ 1, planted(r, k, threshold)) for n, k, r in rows]
+            made = [m for m in made if m[2] is not None]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.binary())], names=["node", "raw"]
+                [pa.array([m[c] for m in made], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "key", "raw"]
             )
 
-    return cut(chosen.mapInArrow(plant, "node long, raw binary"))
+    return cut(chosen.mapInArrow(plant, "node long, key long, raw binary"))
 
 
 def all_links(nodes: DataFrame, threshold: float, passes: int = PASSES, window: int = WINDOW, recall: float = RECALL) -> tuple[DataFrame, float]:
@@ -279,13 +327,14 @@ def all_links(nodes: DataFrame, threshold: float, passes: int = PASSES, window:
 
     The names of ``nodes`` have the last bit clear.
     """
-    extra = probes(nodes, threshold)
+    size = nodes.count()
+    extra = probes(nodes, size, threshold)
     there = extra.count()
-    size = nodes.count() + there
-    compared = nodes.select("node", "raw").unionByName(extra)
-    links, seen, done, run = None, set(), 0, passes
+    compared = nodes.select("node", "key", "raw").unionByName(extra)
+    first = min(MANY_PASSES, max(passes, int(np.ceil(passes * (size / FEW) ** 0.2))))
+    links, seen, done, run = None, set(), 0, first
     while True:
-        found = cut(pass_links(compared, range(done, done + run), threshold, window, size))
+        found = cut(pass_links(compared, range(done, done + run), threshold, window))
         before = len(seen)
         # a thousand names or so
         seen |= {r.node for r in found.filter(F.col("a").bitwiseXOR(F.col("b")) == 1).select(F.col("a").bitwiseAND(F.lit(-2)).alias("node")).distinct().collect()}
@@ -305,6 +354,84 @@ def all_links(nodes: DataFrame, threshold: float, passes: int = PASSES, window:
             run = max(1, int(np.ceil(need)))
 
 
+def count_links(members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``node``, ``links``: to how many rows of other vectors of its component each member links.
+
+    ``members`` has component, node, raw and n, the rows that hold the vector; a
+    component is named by one of its nodes, the pivot.
+    """
+    limit = float(np.arccos(threshold))
+    total = members.count()
+    pivots = members.groupBy("component").agg(F.count("*").alias("m")).join(
+        members.filter("node = component").select("component", F.col("raw").alias("pivot")), "component"
+    )
+
+    def angle(batches):
+        for batch in batches:
+            raw, pivot = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            out = np.zeros(len(raw))
+            for size in {len(r) for r in raw}:
+                at = [k for k, r in enumerate(raw) if len(r) == size]
+                x, y = unit([raw[k] for k in at]), unit([pivot[k] for k in at])
+                out[at] = np.arccos(np.clip(np.einsum("ij,ij->i", x, y), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out)], names=["component", "node", "raw", "n", "angle"])
+
+    aside = join_unique(members.select("component", "node", "raw", "n"), pivots, "component", "m", total, ["pivot"])
+    turned = cut(
+        aside.select("component", "node", "raw", "n", "pivot").mapInArrow(angle, "component long, node long, raw binary, n long, angle double")
+        .withColumn("bin", F.floor(F.col("angle") / (limit / BINS)).cast("int"))
+    )
+    bins = turned.groupBy("component", "bin").agg(
+        F.count("*").alias("m"), F.sum("n").alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high")
+    ).withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
+    other = bins.select("component", *[F.col(c).alias(f"o_{c}") for c in ("bin", "rows", "low", "high", "blocks")])
+    sure = F.col("high") + F.col("o_high") <= limit - TRUST
+    apart = F.greatest(F.col("low") - F.col("o_high"), F.col("o_low") - F.col("high")) > limit + TRUST
+    # a component has pi / limit * BINS bins at most
+    known = bins.join(other, "component").groupBy("component", "bin").agg(
+        F.first("m").alias("m"),
+        F.first("blocks").alias("blocks"),
+        F.sum(F.when(sure, F.col("o_rows")).otherwise(0)).alias("sure"),
+        F.max(sure & (F.col("bin") == F.col("o_bin"))).alias("with_self"),
+        F.collect_list(F.when(~sure & ~apart, F.struct(F.col("o_bin").alias("bin"), F.col("o_blocks").alias("blocks")))).alias("open"),
+    ).withColumn("at", F.struct("component", "bin"))
+    rows = join_unique(
+        turned.withColumn("at", F.struct("component", "bin")), known.drop("component", "bin"), "at", "m", total, ["blocks", "sure", "with_self", "open"]
+    )
+    rows = cut(rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int")))
+    mine, theirs = F.struct(F.col("bin").alias("bin"), F.col("own").alias("block")), F.col("met")
+    shipped = (
+        rows.filter(F.size("open") > 0)
+        .select("component", "bin", "own", "node", "raw", "n", F.explode(F.flatten(F.transform(
+            "open", lambda o: F.transform(F.sequence(F.lit(0), o["blocks"] - 1), lambda b: F.struct(o["bin"].alias("bin"), b.alias("block")))
+        ))).alias("met"))
+        .select("component", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), "bin", "own", "node", "raw", "n")
+        .select("component", "low", "high", (mine == F.col("low")).alias("is_low"), "node", "raw", "n")
+    )
+
+    def count(table: pa.Table) -> pa.Table:
+        low = np.array(table.column("is_low").to_pylist())
+        same = table.column("low")[0] == table.column("high")[0]
+        node = np.array(table.column("node").to_pylist(), dtype=np.int64)
+        n = np.array(table.column("n").to_pylist(), dtype=np.int64)
+        links = np.zeros(len(node), dtype=np.int64)
+        x = unit(table.column("raw").to_pylist())
+        left, right = np.nonzero(low)[0], np.nonzero(low if same else ~low)[0]
+        for k in range(0, len(left), 512):
+            part = left[k : k + 512]
+            near = x[part] @ x[right].T >= threshold
+            if same:
+                near &= part[:, None] != right[None, :]
+            links[part] += near @ n[right]
+            if not same:
+                links[right] += near.T @ n[part]
+        return pa.table({"node": pa.array(node), "links": pa.array(links)})
+
+    counted = shipped.groupBy("component", "low", "high").applyInArrow(count, "node long, links long")
+    certain = rows.select("node", (F.col("sure") - F.when(F.col("with_self"), F.col("n")).otherwise(0)).alias("links"))
+    return certain.unionByName(counted).groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def near_duplicates(
     vectors: DataFrame,
     id_col: str = "vec_id",
@@ -315,60 +442,27 @@ def near_duplicates(
     block: int = BLOCK,
 ) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id, kept."""
+    bound_batches(vectors.sparkSession)
     packed, named = distinct_vectors(vectors, id_col, vector_col)
-    named = cut(named)
-    # a node is named by its digest; should two vectors share one, they get names of their own
-    # the last bit is clear: with it set, the name is that of the node's probe
-    nodes = cut(named.select(F.xxhash64("key", "raw").bitwiseAND(F.lit(-2)).alias("node"), "key", "raw", "n", "least"))
+    # numbered, so no two vectors share a name; the last bit is clear: with it set, the name is that of the node's probe
+    number = F.monotonically_increasing_id() * 2
+    nodes = cut(named.select(number.alias("node"), "key", "raw", "n", "least"))
     links, _ = all_links(nodes, threshold, passes, window)
     component = cut(connected_components(links, "a", "b"))
 
-    members = component.join(nodes.select("node", "raw", "n", "least"), "node")
-    # blocks of about ``block`` members, told by hash; every block meets each block of its component once
-    sizes = component.groupBy("component").agg(F.count("*").alias("m"))
-    placed = cut(
-        members.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
+    members = cut(component.join(nodes, "node"))
+    degree = count_links(members, threshold, block)
+    # a component's least row; then every distinct vector's figures
+    least = members.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("m"))
+    named_members = join_unique(members.select("component", "node", "key", "raw", "n"), least, "component", "m", members.count(), ["component_id"])
+    grouped = named_members.join(degree, "node").select(
+        "key", "raw", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id", "n"
     )
-    shipped = placed.select(
-        "component", "own", "node", "raw", "n",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(
-            F.least("own", other).alias("low"), F.greatest("own", other).alias("high")
-        ))).alias("pair"),
-    ).select("component", "pair.low", "pair.high", "own", "node", "raw", "n")
-
-    def count(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        own = np.array(table.column("own").to_pylist())
-        node = np.array(table.column("node").to_pylist(), dtype=np.int64)
-        n = np.array(table.column("n").to_pylist(), dtype=np.int64)
-        raw = table.column("raw").to_pylist()
-        total = np.zeros(len(node), dtype=np.int64)
-        x = unit(raw)
-        left, right = np.nonzero(own == low)[0], np.nonzero(own == high)[0]
-        for k in range(0, len(left), 512):
-            part = left[k : k + 512]
-            near = x[part] @ x[right].T >= threshold
-            if low == high:
-                near &= part[:, None] != right[None, :]
-            total[part] += near @ n[right]
-            if low != high:
-                total[right] += near.T @ n[part]
-        return pa.table({"node": pa.array(node), "links": pa.array(total)})
-
-    counted = shipped.groupBy("component", "low", "high").applyInArrow(count, "node long, links long")
-    degree = counted.groupBy("node").agg(F.sum("links").alias("links"))
     # a single vector's copies are linked with each other
-    linked = (
-        nodes.select("node", "key", "raw", "n", "least").join(degree, "node", "left").join(component, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = linked.join(least, "component").select(
-        "key", "raw", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id", "n"
+    alone = nodes.join(component, "node", "left_anti").select(
+        "key", "raw", (F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id"), "n"
     )
-    return _label(packed, answer)
+    return _label(packed, grouped.unionByName(alone))
 
 
 def _label(packed: DataFrame, answer: DataFrame) -> DataFrame:

@@ -169,6 +169,48 @@ def test_embedding_recall_holds_on_a_larger_table(spark):
     assert 0.93 * true <= found <= true
 
 
+def table_of(spark, x, parts):
+    import pyarrow as pa
+
+    ids = pa.array(np.arange(len(x)), pa.int64())
+    vectors = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+    return spark.createDataFrame(pa.table({"vec_id": ids, "embedding": vectors})).repartition(parts)
+
+
+def test_embedding_result_is_the_same_over_any_partitions(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 24))
+    side = rng.normal(size=(500, 24))
+    x = np.concatenate([x, x[:500] + 0.55 * side])  # around the threshold, so that not all are found
+    results = []
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for parts in (1, 16, 400):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            nodes, _ = embedding_dedup.distinct_vectors(table_of(spark, x, min(parts, 8)), "vec_id", "embedding")
+            links = embedding_dedup.pass_links(nodes.select((F.col("vec_id") * 2).alias("node"), "key", "raw"), range(3), 0.9, 48)
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            found = connected_components(links, "a", "b")
+            results.append(sorted((r.node, r.component) for r in found.collect()))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert results[0] == results[1] == results[2] and len(results[0]) > 200
+
+
+@pytest.mark.parametrize("spread", [0.02, 0.06, 0.12])
+def test_links_of_one_large_group_are_exact(spark, spread):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=32) + spread * 5 * rng.normal(size=(700, 32)), rng.normal(size=(300, 32))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.9).sum(1) - 1
+    found = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(table_of(spark, x, 4), block=64).collect()}
+    assert sum(found.values()) >= embedding_dedup.RECALL * true.sum() and all(found[i] <= true[i] for i in found)
+    if spread < 0.1:
+        assert [found[i] for i in range(len(x))] == true.tolist()
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(int(a), int(a) + 1) for a in range(0, 300) if a % 50] + [(int(a), int(b)) for a, b in rng.integers(1000, 1100, (30, 2))] + [(7, 7), (None, 3), (5, 4), (5, 4)]
