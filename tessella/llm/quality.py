@@ -11,9 +11,12 @@ Training takes at most about ``TRAIN_ROWS`` labelled rows, chosen by the hash of
 their id; every document is scored, whole.
 
 Defined cases: a null text counts as empty, which has a vector like any other;
-null labels are skipped, repeated ones of an id averaged; with fewer than ten
-labelled rows, or labels of one value, the score is their mean (0.5 without any);
-repeated and null ids keep one row each; an empty table gives an empty result.
+null labels are skipped, repeated ones of an id averaged; of several texts with
+one labelled id the one whose statistics hash lowest is learnt from; equal raw
+scores are pooled; with fewer than ten labelled rows, or labels of one value, the
+score is their mean (0.5 without any); a text of any length is read whole; repeated
+and null ids keep one row each; extra columns of either table are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -151,10 +154,10 @@ def train(
     def make():
         return lambda batch: [pa.array([statistics(t).tobytes() for t in batch], pa.binary())]
 
-    known = cut(
-        map_texts(texts, ["id", "y"], "text", T.StructType([T.StructField("x", T.BinaryType())]), make)
-        .select("row.id", "row.y", F.col("res.x").alias("x"))
-    )
+    rows_of = map_texts(texts, ["id", "y"], "text", T.StructType([T.StructField("x", T.BinaryType())]), make)
+    # of an id's texts one is learnt from, so what follows is bounded by the sample
+    one = rows_of.groupBy("row.id").agg(F.min(F.struct(F.xxhash64("res.x").alias("h"), F.col("row.y").alias("y"), F.col("res.x").alias("x"))).alias("s"))
+    known = cut(one.select("id", "s.y", "s.x"))
 
     def moments(batches):
         n, one, two, y = 0, np.zeros(STATISTICS), np.zeros(STATISTICS), 0.0

@@ -18,10 +18,16 @@ readers alone, hence on any store and with its commit protocol. The index is a
 Parquet table beside the data with one row for each frame: file, offset, length,
 id, number of ids and the ids before it in its file.
 
-Records are in ascending order of id, nulls first, equal ids by their text.
+Records are in ascending order of id, nulls first, equal ids by a hash of their
+text and then the text. There are as many files as the texts' measured size needs
+to keep each near ``FILE_BYTES`` of text, so readers that load whole files stay
+bounded. A shuffled read permutes the index alone; tasks then seek each record.
 
 Defined cases: a null text counts as empty, which gives a record of the end id
-alone; repeated ids keep one record for each row; an empty table writes no
+alone; a text that spells a special token gets that token's id, as the library
+gives it; a text of any length is one record, its length counted in 64 bits and
+its ids in 32; repeated ids keep one record for each row; rows equal in id and
+text are interchangeable; extra columns are ignored; an empty table writes no
 record and reads back as an empty table.
 """
 
@@ -52,6 +58,8 @@ _SPACE = r"[^\S\x1c-\x1f]"  # U+001C..U+001F are no space to the tokenizer
 _PIECE = re.compile(
     rf"{_SPACE}*[^\W_]+|{_SPACE}*(?:_|[^\w\s]|[\x1c-\x1f])+(?:(?<=')[^\W_]+)?|{_SPACE}+"
 )
+#: Bytes of text that one file is meant for.
+FILE_BYTES = 128 << 20
 #: Pieces that one generation of a worker's memory holds.
 REMEMBERED = 300_000
 
@@ -75,14 +83,17 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        # special tokens are cut out of a text before it is split to pieces
+        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = special
+        self.around = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in ``width`` bytes each, little-endian."""
-        pieces = [_PIECE.findall(t) for t in texts]
+        pieces = [self.pieces(t) for t in texts]
         packed = [list(map(self.young.get, p)) for p in pieces]
         missing: set[str] = set()
         for own, ids in zip(pieces, packed, strict=True):
@@ -105,6 +116,13 @@ class PieceEncoder:
             self.old, self.young = self.young, {}
         return out
 
+    def pieces(self, text: str) -> list[str]:
+        """The pieces of a text, special tokens as pieces of their own."""
+        if not any(t in text for t in self.special):
+            return _PIECE.findall(text)
+        parts = self.around.split(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else _PIECE.findall(part))]
+
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         kind = {array.array(c).itemsize: c for c in "HIL"}[self.width]
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -131,20 +149,23 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return size + _TAIL.pack(masked_crc(size)) + body + _TAIL.pack(masked_crc(body)) + b"\n"
 
 
-def frames(content: bytes):
-    """Yields (offset, length, id, ids as u32) of each frame; raises where a checksum fails."""
+def frames(content: bytes, verify: bool = True):
+    """Yields (offset, length, id, ids as u32) of each frame; raises where a checksum fails.
+
+    Without ``verify`` the payloads are not checked, only the lengths.
+    """
     at = 0
     while at < len(content):
         size, check = _HEAD.unpack_from(content, at)
         end = at + _HEAD.size + size + _TAIL.size + 1
         if masked_crc(content[at : at + 8]) != check or end > len(content):
             raise ValueError(f"damaged length at byte {at}")
-        body = content[at + _HEAD.size : end - _TAIL.size - 1]
-        if masked_crc(body) != _TAIL.unpack_from(content, end - _TAIL.size - 1)[0]:
+        body = memoryview(content)[at + _HEAD.size : end - _TAIL.size - 1]
+        if verify and masked_crc(body) != _TAIL.unpack_from(content, end - _TAIL.size - 1)[0]:
             raise ValueError(f"damaged record at byte {at}")
         doc_id, flags, count = _BODY.unpack_from(body, 0)
         ids = np.frombuffer(body, "<u4" if flags & 2 else "<u2", count, _BODY.size)
-        yield at, end - at, None if flags & 1 else doc_id, ids.astype("<u4")
+        yield at, end - at, None if flags & 1 else doc_id, ids.astype("<u4") if verify else ids
         at = end
 
 
@@ -159,13 +180,17 @@ def write_records(
     """Encodes every text, appends ``end_id`` and writes ``path``/data and ``path``/index."""
     spark = docs.sparkSession
     bound_batches(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     ordered = (
         docs.select(
             F.col(f"`{id_col}`").cast("long").alias("id"),
             F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         )
-        .repartitionByRange(F.col("id").asc_nulls_first())
-        .sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+        .withColumn("tie", F.xxhash64("text"))
+        .repartitionByRange(files, F.col("id").asc_nulls_first(), F.col("tie"))
+        .sortWithinPartitions(F.col("id").asc_nulls_first(), "tie", "text")
+        .select("id", "text")
     )
 
     def run(batches):
@@ -182,7 +207,7 @@ def write_records(
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(
         f"{path}/data"
     )
-    scan_records(spark, path).drop("ids_crc32").write.parquet(f"{path}/index")
+    scan_records(spark, path, verify=False).drop("ids_crc32").write.parquet(f"{path}/index")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -206,15 +231,15 @@ SCANNED = T.StructType(
 )
 
 
-def scan_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each frame of the data files, checksums verified."""
+def scan_records(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
+    """One row for each frame of the data files, checksums verified; ``ids_crc32`` is null unless ``verify``."""
 
     def run(batches):
         for batch in batches:
             for file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, before = [], 0
-                for offset, length, doc_id, ids in frames(content):
-                    crc = zlib.crc32(ids.tobytes())
+                for offset, length, doc_id, ids in frames(content, verify):
+                    crc = zlib.crc32(ids.tobytes()) if verify else None
                     rows.append((file, offset, length, doc_id, len(ids), before, crc))
                     before += len(ids)
                 columns = zip(*rows, strict=True) if rows else [[]] * len(SCANNED)
@@ -231,30 +256,55 @@ def scan_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
-    """The records as (doc_id, ids array); with ``seed``, in an order shuffled by the index.
+    """The records as (doc_id, ids array), in file order or, with ``seed``, shuffled.
 
-    The index decides which bytes are records: each file's frames are cut out by
-    its offsets, and a seed permutes the records.
+    Only rows of the index are ordered - by file and offset, or by a hash with the
+    seed - and dealt to tasks in that order. A task then opens each record's file
+    and reads its bytes at the offset that the index names.
     """
     index = spark.read.parquet(f"{path}/index")
-    per_file = index.groupBy("file").agg(F.collect_list(F.struct("offset", "length")).alias("at"))
+    order = [file_number("file"), F.col("offset")] if seed is None else [F.xxhash64("file", "offset", F.lit(seed)), F.col("file"), F.col("offset")]
+    places = index.orderBy(*order).select("file", "offset", "length")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    where = folder.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(folder).toString()
     schema = T.StructType(
         [T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]
     )
 
     def run(batches):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(where)
+        name, file = None, None
         for batch in batches:
-            for content, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for place in places:
-                    cut = content[place["offset"] : place["offset"] + place["length"]]
-                    ((_, _, doc_id, ids),) = frames(cut)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc_id], pa.int64()), pa.array([ids.tolist()], pa.list_(pa.int64()))],
-                        names=["doc_id", "ids"],
-                    )
+            names, values = [], []
+            for own, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != name:
+                    if file is not None:
+                        file.close()
+                    name, file = own, store.open_input_file(f"{root}/{own}")
+                ((_, _, doc_id, ids),) = frames(file.read_at(length, offset))
+                names.append(doc_id)
+                values.append(ids)
+                if sum(map(len, values)) > 1 << 20:
+                    yield _ids_batch(names, values)
+                    names, values = [], []
+            yield _ids_batch(names, values)
+        if file is not None:
+            file.close()
+
+    return places.mapInArrow(run, schema)
+
+
+def _ids_batch(names: list, values: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(names, pa.int64()), pa.array([v.astype(np.int64) for v in values], pa.list_(pa.int64()))], names=["doc_id", "ids"]
+    )
+
 
-    out = _files(spark, path).join(per_file, "file").select("content", "at").mapInArrow(run, schema)
-    return out if seed is None else out.orderBy(F.rand(seed))
+def file_number(file: str):
+    """The number of a data file, which its name may carry in any width."""
+    return F.regexp_extract(file, "part-([0-9]+)", 1).cast("long")
 
 
 def layout(spark: SparkSession, path: str) -> DataFrame:
@@ -267,7 +317,7 @@ def layout(spark: SparkSession, path: str) -> DataFrame:
     )
     ahead = totals.select(
         "file",
-        (F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("ahead"),
+        (F.sum("total").over(Window.orderBy(file_number("file")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("ahead"),
     )
     return (
         scan_records(spark, path)

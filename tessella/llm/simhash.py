@@ -19,7 +19,9 @@ point are within two bits, so a star over each point's at most 65 members keeps
 every link, in linear work. Equal fingerprints are merged before all of this.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint
-zero, linked like any other; repeated rows and ids are kept, one output row each;
+zero, linked like any other; a bit that half the shingles set, a tie, is 0; a text of
+any length is read whole; extra columns are ignored or, in :func:`one_of_each`,
+carried whatever their names; repeated rows and ids are kept, one output row each;
 a null id is carried, and no component is named after it unless all its members
 have null ids; an empty table gives an empty result.
 """
@@ -179,9 +181,9 @@ def near_duplicates(
     )
     fps = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = connected_components(links(fps), "a", "b").select(F.col("node").alias("fp"), "component")
-    grouped = fps.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    final = cut(grouped.join(named, "component").select("fp", "n", "component_id"))
+    grouped = cut(fps.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    named = grouped.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    final = cut(join_unique(grouped, named, "component", "size", grouped.count(), ["component_id"]).select("fp", "n", "component_id"))
     return join_unique(signed, final, "fp", "n", signed.count(), ["component_id"]).select(
         "doc_id", "fp", "component_id"
     )

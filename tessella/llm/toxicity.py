@@ -15,9 +15,12 @@ their id; every document is scored.
 
 Defined cases: a null text counts as empty and gets the probabilities of the
 constant term; labels that are null are skipped, repeated ones of an id merged to
-their maximum; a category with fewer than five rows of either value predicts its
-share of ones (0 without labels); repeated and null ids keep one row each; an
-empty table gives an empty result.
+their maximum; of several texts with one labelled id the one whose slots hash
+lowest is learnt from; ties between slots go to the lower slot; a category with
+fewer than five rows of either value predicts its share of ones (0 without
+labels); a text of any length is read whole; repeated and null ids keep one row
+each; extra columns of either table are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -185,7 +188,10 @@ def train(
         hasher = SlotHasher()
         return lambda batch: [pa.array([hasher.slots(t).tobytes() for t in batch], pa.binary())]
 
-    found = cut(map_texts(texts, ["id", *y], "text", T.StructType([T.StructField("slots", T.BinaryType())]), make))
+    rows_of = map_texts(texts, ["id", *y], "text", T.StructType([T.StructField("slots", T.BinaryType())]), make)
+    # of an id's texts one is learnt from, so what follows is bounded by the sample
+    one = rows_of.groupBy("row.id").agg(F.min(F.struct(F.xxhash64("res.slots").alias("h"), "row", "res")).alias("x"))
+    found = cut(one.select("x.row", "x.res"))
 
     def count(batches):
         total = np.zeros((1 + 2 * len(names), SLOTS), dtype=np.int32)

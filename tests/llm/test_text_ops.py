@@ -101,7 +101,6 @@ def test_records(spark, documents, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     start = 0
     found = {r.doc_id: r for r in QUERIES["op5_token_records"](spark, DATA).collect()}
     for doc_id, text in documents:
@@ -110,12 +109,17 @@ def test_records(spark, documents, tmp_path):
         assert (found[doc_id].start, found[doc_id].n_tokens, found[doc_id].ids_crc32) == (start, len(ids), crc)
         start += len(ids)
     encoder = records.PieceEncoder(path)
-    for text in [t or "" for _, t, _ in EDGE] + ["'s 'sx a'b's a_b__c'll 1'st \x85 y  z", "日本語。テスト'm"]:
+    for text in [t or "" for _, t, _ in EDGE] + ["'s 'sx a'b's a_b__c'll 1'st \x85 y  z", "日本語。テスト'm", "a <|endoftext|> b<|endoftext|>", "<|endoftext|><|endoftext|", "x  <|endoftext|>  \n y"]:
         assert np.frombuffer(encoder.encode_many([text])[0], "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
     few = spark.createDataFrame([(2, "b"), (1, "a"), (None, "n")], "doc_id long, text string")
     records.write_records(few, str(tmp_path / "r"), path)
     plain = {(r.doc_id, tuple(r.ids)) for r in records.read_ids(spark, str(tmp_path / "r")).collect()}
     assert plain == {(r.doc_id, tuple(r.ids)) for r in records.read_ids(spark, str(tmp_path / "r"), seed=3).collect()} and len(plain) == 3
+    assert [r.doc_id for r in records.read_ids(spark, str(tmp_path / "r")).collect()] == [None, 1, 2]
+    orders = {tuple(r.doc_id for r in records.read_ids(spark, str(tmp_path / "r"), seed=k).collect()) for k in range(8)}
+    assert len(orders) > 1
+    numbers = spark.createDataFrame([("part-99999-x.txt",), ("part-100000-x.txt",)], "file string").orderBy(records.file_number("file"))
+    assert [r.file for r in numbers.collect()] == ["part-99999-x.txt", "part-100000-x.txt"]
     assert [r.doc_id for r in records.layout(spark, str(tmp_path / "r")).orderBy("start").collect()] == [None, 1, 2]
 
 
