@@ -1,22 +1,29 @@
 """Main text of web pages, with each site's template found by repeated subtrees.
 
 A page is parsed to a tree that tolerates what browsers tolerate: missing end
-tags, stray ones, raw script text, unknown entities. Elements that are never
-main text by their tag, role, class or id are dropped. Then every element's
-subtree is hashed (tags and text), and Spark counts, for each host, on how many
-differing pages a subtree occurs. Subtrees on ``MIN_PAGES`` of them are the site's
-template and are deleted, however many pages the host has. Copies of one page
-count once. Inside the article only block-level boxes without prose in them and
-link lists are eligible, never headings and paragraphs, and nowhere an inline
-element of prose: prose that many pages share is text, not template.
+tags, stray ones, raw script text, unknown entities. Then come two steps:
+
+1. Template. The subtrees of the page as it came are hashed (tags and text), and
+   Spark counts, for each host, under how many differing articles a subtree stands.
+   Outside the article a subtree that ``MIN_PAGES`` share is the site's template and
+   is deleted; so menus, headers, footers, notices and adverts go whatever they are
+   called. Inside the article prose may repeat, so recurrence alone decides nothing
+   there: only block-level boxes without prose and link lists that
+   ``MIN_INSIDE`` articles share are deleted, never inline elements.
+2. Names. What does not recur is dropped by its tag, role, class or id.
 
 The text is that of the article (or ``main``, or what is left of the body), a
 line for each block in page order, white space inside a block turned into one
 space. Nothing else is dropped or cut.
 
+Where the templates are few they go to the workers as they are; else the pages'
+subtrees are joined with them by host and hash, and the pages with their lists by a
+digest of the page, hot keys broadcast.
+
 Defined cases: a null or empty page has an empty text; a page without a host in
-its url (or a null url) belongs to the host ''; repeated and null ids keep one
-row each; an empty table gives an empty result.
+its url (or a null url) belongs to the host ''; a page of any length is read whole;
+repeated and null ids keep one row each; equal pages count once; extra columns are
+ignored or carried whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import bound_batches, cut, map_texts
+from tessella.llm.common import bound_batches, cut, join_unique, map_texts
 
-#: A template subtree is on this many differing pages of its host.
-MIN_PAGES = 10
+#: A template subtree stands under this many differing articles of its host.
+MIN_PAGES = 2
+#: The same for one inside the article.
+MIN_INSIDE = 10
 #: Template rows (host, subtree) that may be broadcast; beyond it they are joined by host.
 BROADCAST_ROWS = 200_000
 
@@ -197,11 +206,15 @@ def content_roots(root: Node) -> list[Node]:
     return [root]
 
 
-def subtree_hashes(root: Node) -> dict[int, tuple[int, int, int]]:
-    """By ``id`` of each node: hash of its subtree, text characters, characters inside links."""
+#: What a subtree is or holds: an article, main or body; below its top, an element of prose.
+MAIN, HAS_PROSE = 1, 2
+
+
+def subtree_hashes(root: Node) -> dict[int, tuple[int, int, int, int]]:
+    """By ``id`` of each node: hash of its subtree, text characters, characters inside links, what it holds."""
     from xxhash import xxh64_intdigest
 
-    done: dict[int, tuple[int, int, int]] = {}
+    done: dict[int, tuple[int, int, int, int]] = {}
     pending = [(root, False)]
     while pending:
         node, ready = pending.pop()
@@ -210,61 +223,74 @@ def subtree_hashes(root: Node) -> dict[int, tuple[int, int, int]]:
             pending += [(c, False) for c in node.children if isinstance(c, Node)]
             continue
         parts, size, linked = [node.tag], 0, 0
+        holds = MAIN if node.tag in ("article", "main", "body") else 0
         for child in node.children:
             if isinstance(child, str):
                 text = " ".join(child.split())
                 parts.append(f"'{text}")
                 size += len(text)
             else:
-                h, s, k = done[id(child)]
+                h, s, k, f = done[id(child)]
                 parts.append(f"<{h:x}")
                 size, linked = size + s, linked + k
+                holds |= f | (HAS_PROSE if child.tag in PROSE else 0)
         if node.tag == "a":
             linked = size
         digest = xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
-        done[id(node)] = (digest - (1 << 63), size, linked)
+        done[id(node)] = (digest - (1 << 63), size, linked, holds)
     return done
 
 
-def eligible(root: Node, hashes: dict[int, tuple[int, int, int]]) -> list[Node]:
-    """Elements that may be template: outside the article any but prose, inside it boxes and link lists.
+def eligible(root: Node, hashes: dict[int, tuple[int, int, int, int]]) -> tuple[list[Node], list[Node]]:
+    """Elements that may be template, those outside the article and those inside it.
 
-    What stands inside prose is part of it: inside the article nothing there is
-    eligible, outside it no inline element.
+    Outside any block that does not hold the article, on pages without one any but
+    prose; inside boxes without prose and link lists. What stands inside prose is
+    part of it: nothing there is eligible inside the article, no inline element
+    outside it.
     """
-    roots = content_roots(root)
-    out = []
-    pending = [(r, r.tag in ("article", "main"), False) for r in roots]
+    mains = {id(r) for r in content_roots(root)} - {id(root)}
+    out: tuple[list[Node], list[Node]] = ([], [])
+    pending = [(root, False, False)]
     while pending:
         node, inside, prose = pending.pop()
         for child in node.children:
-            if not isinstance(child, Node):
+            if not isinstance(child, Node) or child.tag == "head":
                 continue
-            _, size, linked = hashes[id(child)]
+            _, size, linked, holds = hashes[id(child)]
+            within = inside or id(child) in mains
             if inside:
                 # items of prose with a link each are no list of links
-                fit = child.tag in BOX and (linked * 4 >= size * 3 or not _holds_prose(child, PROSE))
+                fit = child.tag in BOX and (linked * 4 >= size * 3 or not holds & HAS_PROSE)
                 deeper = child.tag not in PROSE
             else:
-                fit = linked * 2 >= size or not (child.tag in PROSE or _holds_prose(child))
-                fit, deeper = fit and (child.tag in BLOCK or not prose), True
+                block = child.tag in BLOCK or child.tag in DROPPED
+                if mains:
+                    fit = block
+                else:
+                    fit = linked * 2 >= size or not (child.tag in PROSE or holds & HAS_PROSE)
+                    fit = fit and (block or not prose)
+                fit, deeper = fit and not holds & MAIN, True
             if size and fit:
-                out.append(child)
+                out[inside].append(child)
             if deeper:
-                pending.append((child, inside, prose or child.tag in PROSE))
+                pending.append((child, within, prose or child.tag in PROSE))
     return out
 
 
-def _holds_prose(node: Node, tags: frozenset[str] = frozenset()) -> bool:
-    """Whether an element is or holds an article, main or body, or holds an element of some tags."""
-    top = node
-    pending = [node]
+def drop_template(root: Node, template: frozenset[int] | set[int]) -> int:
+    """Deletes the template subtrees of a page, given their hashes; how many were deleted."""
+    hashes = subtree_hashes(root)
+    gone = {id(n) for nodes in eligible(root, hashes) for n in nodes if hashes[id(n)][0] in template}
+    deleted = 0
+    pending = [root] if gone else []
     while pending:
         node = pending.pop()
-        if node.tag in ("article", "main", "body") or node is not top and node.tag in tags:
-            return True
-        pending += [c for c in node.children if isinstance(c, Node)]
-    return False
+        kept = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
+        deleted += len(node.children) - len(kept)
+        node.children = kept
+        pending += [c for c in kept if isinstance(c, Node)]
+    return deleted
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> str:
@@ -272,16 +298,9 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset()) -> s
     if not page:
         return ""
     root = parse(page)
-    prune(root)
     if template:
-        hashes = subtree_hashes(root)
-        gone = {id(n) for n in eligible(root, hashes) if hashes[id(n)][0] in template}
-        if gone:
-            pending = [root]
-            while pending:
-                node = pending.pop()
-                node.children = [c for c in node.children if isinstance(c, str) or id(c) not in gone]
-                pending += [c for c in node.children if isinstance(c, Node)]
+        drop_template(root, template)
+    prune(root)
     blocks: list[str] = []
     held: list[str] = []
 
@@ -328,30 +347,41 @@ def _with_host(pages: DataFrame, url_col: str, html_col: str, carry: list[str])
     )
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
-    """``host``, ``hash`` of every template subtree.
-
-    A page is known here by the hash of its pruned body, so copies count once.
-    """
-    from_pages = _with_host(pages, url_col, html_col, [url_col])
-    result = T.StructType([T.StructField("body", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+def page_marks(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """For each page: ``host``, ``digest`` of the page, ``article`` (a hash), ``outside`` and ``inside`` (eligible hashes)."""
+    with_digest = _with_host(pages, url_col, html_col, [url_col]).withColumn("digest", F.md5("html"))
+    longs = T.ArrayType(T.LongType())
+    result = T.StructType(
+        [T.StructField("article", T.LongType()), T.StructField("outside", longs), T.StructField("inside", longs)]
+    )
 
     def make():
         def work(texts: list[str]) -> list[pa.Array]:
-            bodies, lists = [], []
+            articles, lists = [], ([], [])
             for page in texts:
                 root = parse(page)
-                prune(root)
                 hashes = subtree_hashes(root)
-                bodies.append(hashes[id(root)][0])
-                lists.append(sorted({hashes[id(n)][0] for n in eligible(root, hashes)}))
-            return [pa.array(bodies, pa.int64()), pa.array(lists, pa.list_(pa.int64()))]
+                articles.append(hash(tuple(hashes[id(r)][0] for r in content_roots(root))))
+                for out, nodes in zip(lists, eligible(root, hashes), strict=True):
+                    out.append(sorted({hashes[id(n)][0] for n in nodes}))
+            return [pa.array(articles, pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in lists]]
 
         return work
 
-    seen = map_texts(from_pages, ["host"], "html", result, make).select("row.host", "res.body", "res.hashes")
-    marks = seen.select("host", "body", F.explode("hashes").alias("hash")).distinct()
-    return marks.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "hash")
+    seen = map_texts(with_digest, ["host", "digest"], "html", result, make)
+    return seen.select("row.host", "row.digest", "res.*")
+
+
+def site_templates(marks: DataFrame, min_pages: int = MIN_PAGES, min_inside: int = MIN_INSIDE) -> DataFrame:
+    """``host``, ``hash``, ``n`` (pages) of every template subtree of :func:`page_marks`."""
+    def weighed(column: str, least: int):
+        return F.transform(column, lambda h: F.struct(h.alias("hash"), F.lit(least).alias("least")))
+
+    each = marks.select(
+        "host", "article", F.explode(F.concat(weighed("outside", min_pages), weighed("inside", min_inside))).alias("m")
+    ).select("host", "article", "m.*")
+    counted = each.groupBy("host", "hash", "least").agg(F.count_distinct("article").alias("articles"), F.count("*").alias("n"))
+    return counted.filter(F.col("articles") >= F.col("least")).groupBy("host", "hash").agg(F.sum("n").alias("n"))
 
 
 def extract(
@@ -360,22 +390,24 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     broadcast_rows: int = BROADCAST_ROWS,
+    min_pages: int = MIN_PAGES,
+    min_inside: int = MIN_INSIDE,
 ) -> DataFrame:
     """``row`` (the ``carry`` columns) and ``res.text``: the main text of every page."""
     bound_batches(pages.sparkSession)
-    templates = cut(site_templates(pages, url_col, html_col))
+    marks = page_marks(pages, url_col, html_col)
+    templates = cut(site_templates(marks, min_pages, min_inside))
     source = _with_host(pages, url_col, html_col, carry)
     result = T.StructType([T.StructField("text", T.StringType())])
     size = templates.count()
     if size <= broadcast_rows:
         sites: dict[str, set[int]] = {}
-        for r in templates.collect():  # broadcast_rows rows at most
+        for r in templates.select("host", "hash").collect():  # broadcast_rows rows at most
             sites.setdefault(r.host, set()).add(r.hash)
         joined = source.withColumn("template", F.lit(None).cast("array<bigint>"))
     else:
         sites = {}
-        grouped = templates.groupBy("host").agg(F.collect_list("hash").alias("template"))
-        joined = source.join(grouped, "host", "left")
+        joined = _with_templates(source, cut(marks), templates)
     schema = T.StructType([T.StructField("row", joined.schema["carried"].dataType), T.StructField("res", result)])
 
     def run(batches):
@@ -389,3 +421,17 @@ def extract(
             yield pa.RecordBatch.from_arrays([batch.column(0), res], names=["row", "res"])
 
     return joined.select("carried", "host", "html", "template").mapInArrow(run, schema)
+
+
+def _with_templates(source: DataFrame, marks: DataFrame, templates: DataFrame) -> DataFrame:
+    """``source`` with each page's own template hashes, joined without a hot host."""
+    each = marks.select("host", "digest", F.explode(F.array_union("outside", "inside")).alias("hash")).distinct()
+    each = each.withColumn("key", F.struct("host", "hash"))
+    total = templates.agg(F.sum("n")).first()[0] or 0
+    keyed = templates.select(F.struct("host", "hash").alias("key"), "n")
+    found = join_unique(each, keyed, "key", "n", total, []).groupBy("host", "digest").agg(F.collect_list("hash").alias("template"))
+    # every page has a row here, with as many pages as are equal to it
+    pages = marks.groupBy("host", "digest").agg(F.count("*").alias("n")).join(found, ["host", "digest"], "left")
+    pages = pages.select(F.struct("host", "digest").alias("page"), "n", F.coalesce("template", F.array().cast("array<bigint>")).alias("template"))
+    wanted = source.withColumn("page", F.struct("host", F.md5("html").alias("digest")))
+    return join_unique(wanted, cut(pages), "page", "n", marks.count(), ["template"])

@@ -329,6 +329,33 @@ def test_boxes_inside_articles_go_and_linked_words_stay(spark):
     assert found[1003] == "About Python and more 3."
 
 
+def test_recurring_boxes_of_any_name_go(spark):
+    def page(k, host):
+        top = f"<div class='zq1'><p>Welcome to {host}</p></div><zz-bar>Sign {host}</zz-bar>"
+        return f"<body>{top}<section class='k7'><p>Own words {k}.</p><p>Shared prose.</p></section><div class='qx'><span>Made by {host}</span></div></body>"
+
+    pages = [(k, f"http://h{k % 3}.test/{k}", page(k, f"h{k % 3}")) for k in range(9)]
+    pages += [(50, "http://h0.test/long", "<body><div><p>" + "long words " * 200_000 + "</p></div><div class='qx'><span>Made by h0</span></div></body>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    texts = lambda **k: {r.page_id: r.text for r in html_main.extract(df, ["page_id"], **k).select("row.page_id", "res.text").collect()}
+    found, off = texts(), texts(min_pages=1000)
+    assert texts(broadcast_rows=0) == found and len(found[50]) == len("long words ") * 200_000 - 1
+    for k in range(9):
+        assert f"Own words {k}.\nShared prose." in found[k] and "Made by" not in found[k] and "Sign" not in found[k]
+        assert "Made by" in off[k] and "Sign" in off[k]
+
+
+def test_most_pages_have_template_subtrees(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    sites = {}
+    for r in html_main.site_templates(html_main.page_marks(pages)).collect():
+        sites.setdefault(r.host, set()).add(r.hash)
+    rows = pages.collect()
+    touched = sum(html_main.drop_template(html_main.parse(r.html), sites.get(html_main.host_of(r.url), set())) > 0 for r in rows)
+    print(touched)
+    assert touched > 0.5 * len(rows)
+
+
 def test_pages_equal_their_articles(spark):
     import html
 
