@@ -7,24 +7,27 @@ corpus share, unseen words together that of half an occurrence. So the model is
 a distribution over all texts and the likelihood of a text is exact.
 
 Word counts come from the whole training corpus in one shuffle, pre-aggregated in
-each task. Baum-Welch starts on a bounded sample on the driver; then each pass
-over the whole training corpus sums the expected counts inside the tasks, the
-tasks' sums in two levels, and re-estimates the model. Training cuts a text to
-segments of ``SEGMENT`` tokens; scoring runs the scaled forward recursion over
-the whole text. What is kept in memory or sent to the driver is bounded by the
-model's size. Counts of rare words never leave the cluster: the rare words of
-the texts are joined with them.
+each task. Baum-Welch starts from corpus shares shaken at random; each of ``ROUNDS``
+passes over the whole training corpus sums the expected counts inside the tasks,
+the tasks' sums ``FAN`` at a time on as many levels as it takes, and re-estimates
+the model. Texts are trained on and scored whole: a long one goes through the
+recursions in stretches whose messages are carried over, so memory stays bounded
+and no transition is lost. What is kept in memory or sent to the driver is bounded
+by the model's size. Counts of rare words never leave the cluster: the rare words
+of the texts are joined with them.
 
 Defined cases: a null text counts as empty, whose only token is the end; a null
 id counts as training and is carried; repeated rows are trained on and scored one
-by one; without training rows every word is unseen and the emissions stay
-uniform; an empty table gives an empty result.
+by one; words of one count are told apart by their hash where not all find room
+among the common ones; extra columns are ignored; without training rows every word
+is unseen and the emissions stay uniform; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +35,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import bound_batches, bounded_sample, crc_bucket, cut, map_texts, scratch_path
+from tessella.llm.common import bound_batches, crc_bucket, cut, map_texts, scratch_path
 
 STATES = 8
 HEAD = 65_000
 CLASSES = 64
-PASSES = 2
-SEGMENT = 1024
-WARM_TEXTS = 1_500
-WARM_TOKENS = 4_000
-WARM_ROUNDS = 15
+#: Baum-Welch passes over the corpus.
+ROUNDS = 8
+#: Texts longer than this go through the recursions alone, in stretches.
+LONG = 100_000
+#: Sums of tasks that are added at a time.
+FAN = 32
 SMOOTHING = 30.0
 #: Symbols of a model: the end, the classes of rarer words, the common words.
 END, FIRST_CLASS, FIRST_WORD = 0, 1, 1 + CLASSES
 BLOCK = 4096
 CHUNK_TOKENS = 500_000
+#: A chunk takes texts of more tokens than this only with others like them.
+MIDDLE = 2_000
 
 
 def words_of(text: str) -> list[bytes]:
@@ -103,6 +109,25 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def chunks(sequences: Iterator[np.ndarray], tokens: int = CHUNK_TOKENS) -> Iterator[list[np.ndarray]]:
+    """Sequences in lists of about ``tokens`` symbols, middling ones apart from short ones, long ones alone."""
+    held: list[list[np.ndarray]] = [[], []]
+    size = [0, 0]
+    for s in sequences:
+        if len(s) > LONG:
+            yield [s]
+            continue
+        k = int(len(s) > MIDDLE)
+        held[k].append(s)
+        size[k] += len(s)
+        if size[k] >= tokens:
+            yield held[k]
+            held[k], size[k] = [], 0
+    for rest in held:
+        if rest:
+            yield rest
+
+
 class Counts:
     """Expected counts of a Baum-Welch pass."""
 
@@ -138,6 +163,29 @@ class Counts:
         for k in range(states):
             self.emit[:, k] += np.bincount(flat, alphas[:, k], minlength=len(self.emit))
 
+    def add_long(self, model: Model, ids: np.ndarray, stretch: int = LONG) -> None:
+        """Adds the expected counts of one sequence, holding the recursion of one stretch at a time."""
+        starts = list(range(0, len(ids), stretch))
+        before: list[np.ndarray | None] = [None]  # the forward message at the end of the stretch before
+        for k in starts[:-1]:
+            before.append(_alphas(model, ids[k : k + stretch], before[-1])[0][-1])
+        after = np.ones(len(model.start))
+        for k, entry in zip(reversed(starts), reversed(before), strict=True):
+            part = ids[k : k + stretch]
+            alphas, scales = _alphas(model, part, entry)
+            for t in range(len(part) - 1, -1, -1):
+                later = model.emit[part[t]] * after / scales[t]
+                alphas[t] *= after
+                if t:
+                    self.move += model.move * np.outer(alphas[t - 1], later)
+                elif entry is not None:
+                    self.move += model.move * np.outer(entry, later)
+                after = model.move @ later
+            if entry is None:
+                self.start += alphas[0]
+            for j in range(len(model.start)):
+                self.emit[:, j] += np.bincount(part, alphas[:, j], minlength=len(self.emit))
+
     def model(self, share: np.ndarray) -> Model:
         """The re-estimated model; corpus shares smooth each state's emissions."""
         start, move = self.start + 1, self.move + 1
@@ -145,9 +193,16 @@ class Counts:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def segments(ids: np.ndarray, size: int = SEGMENT) -> list[np.ndarray]:
-    """A sequence in consecutive segments that cover it."""
-    return [ids[k : k + size] for k in range(0, len(ids), size)]
+def _alphas(model: Model, ids: np.ndarray, entry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward messages and scales of a stretch after the message ``entry``, of a whole start without one."""
+    alphas, scales = np.empty((len(ids), len(model.start))), np.empty(len(ids))
+    prior = model.start if entry is None else entry @ model.move
+    for t, symbol in enumerate(ids):
+        alpha = prior * model.emit[symbol]
+        scales[t] = alpha.sum()
+        alphas[t] = alpha / scales[t]
+        prior = alphas[t] @ model.move
+    return alphas, scales
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -243,15 +298,18 @@ def _head(counts: DataFrame) -> list:
     count on the words are few enough; only those words come to the driver.
     """
     words = counts.filter(F.length("word") > 0).withColumn("size", F.floor(F.log(F.col("c").cast("double")) * 50))
-    room, least = HEAD, None
+    room, least, edge, share = HEAD, None, None, 0.0
     for r in sorted(words.groupBy("size").count().collect(), key=lambda r: -r["size"]):
-        room -= r["count"]
-        if room < 0:
+        if r["count"] > room:
+            # of the words at the boundary, about as many as find room, told by their hash
+            edge, share = r["size"], max(0.0, room - 3 * room**0.5) / r["count"]
             break
+        room -= r["count"]
         least = r["size"]
-    if least is None:
-        return []
-    return sorted(words.filter(F.col("size") >= least).select("word", "c").collect(), key=lambda r: (-r.c, r.word))
+    taken = F.lit(False) if least is None else F.col("size") >= least
+    if edge is not None:
+        taken = taken | ((F.col("size") == edge) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30))))
+    return sorted(words.filter(taken).select("word", "c").collect(), key=lambda r: (-r.c, r.word))[:HEAD]
 
 
 def _encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int, path: str) -> DataFrame:
@@ -312,40 +370,28 @@ def _encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int, path
 
 
 def _train(training: DataFrame, share: np.ndarray) -> Model:
-    """Baum-Welch: a start on a bounded sample, then passes over all training texts."""
-    symbols = len(share)
-    few = bounded_sample(training.filter(F.col("n_tokens") <= WARM_TOKENS).select("uid", "ids"), "uid", WARM_TEXTS)
-    sample = sorted((r.uid, bytes(r.ids)) for r in few.collect())
+    """Baum-Welch: passes over all training texts."""
     model = Model.fresh(share)
-    warm = [s for _, ids in sample for s in segments(np.frombuffer(ids, "<u2").astype(np.int64))]
-    for _ in range(WARM_ROUNDS if warm else 0):
-        counts = Counts(symbols, STATES)
-        counts.add(model, warm)
-        model = counts.model(share)
-    for _ in range(PASSES if warm else 0):
-        model = _pass(training, model, symbols).model(share)
+    parts = max(1, training.rdd.getNumPartitions())
+    for _ in range(ROUNDS):
+        model = _pass(training, model, len(share), parts).model(share)
     return model
 
 
-def _pass(training: DataFrame, model: Model, symbols: int) -> Counts:
-    """One pass: expected counts summed inside each task, then over the tasks in two levels."""
+def _pass(training: DataFrame, model: Model, symbols: int, tasks: int) -> Counts:
+    """One pass: expected counts summed inside each task, then over the ``tasks``, ``FAN`` at a time."""
     spark = training.sparkSession
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # bounded by the model
 
     def run(batches):
         own = Model(*shared.value)
         counts = Counts(symbols, STATES)
-        held, size = [], 0
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                ids = np.frombuffer(raw, "<u2").astype(np.int64)
-                held += segments(ids)
-                size += len(ids)
-                if size >= CHUNK_TOKENS:
-                    counts.add(own, held)
-                    held, size = [], 0
-        if held:
-            counts.add(own, held)
+        rows = (np.frombuffer(raw, "<u2").astype(np.int64) for batch in batches for raw in batch.column(0).to_pylist())
+        for sequences in chunks(rows):
+            if len(sequences[0]) > LONG:
+                counts.add_long(own, sequences[0])
+            else:
+                counts.add(own, sequences)
         blocks = [counts.emit[k : k + BLOCK].ravel().tobytes() for k in range(0, symbols, BLOCK)]
         rows = [np.concatenate([counts.start, counts.move.ravel()]).tobytes(), *blocks]
         yield pa.RecordBatch.from_arrays(
@@ -357,9 +403,13 @@ def _pass(training: DataFrame, model: Model, symbols: int) -> Counts:
         return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
 
     parts = training.select("ids").mapInArrow(run, "block int, sums binary")
-    level = parts.withColumn("part", F.spark_partition_id() % 64)
-    level = level.groupBy("block", "part").applyInArrow(add, "block int, sums binary")
-    summed = {r.block: np.frombuffer(r.sums) for r in level.groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
+    level = parts.withColumn("part", F.spark_partition_id())
+    while tasks > FAN:
+        level = level.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("block", "part").applyInArrow(
+            lambda keys, table: add(table).append_column("part", pa.array([keys[1].as_py()], pa.int64())), "block int, sums binary, part long"
+        )
+        tasks = -(-tasks // FAN)
+    summed = {r.block: np.frombuffer(r.sums) for r in level.select("block", "sums").groupBy("block").applyInArrow(add, "block int, sums binary").collect()}
     shared.unpersist()
     counts = Counts(symbols, STATES)
     if summed:

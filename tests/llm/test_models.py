@@ -54,6 +54,10 @@ def test_forward_is_exact_and_counts_add_up():
     counts = hmm.Counts(5, 3)
     counts.add(model, sequences)
     assert np.isclose(counts.emit.sum(), 13) and np.isclose(counts.start.sum(), 4) and np.isclose(counts.move.sum(), 9)
+    long = hmm.Counts(5, 3)
+    for s in sequences:
+        long.add_long(model, s, 2)
+    assert np.allclose(long.emit, counts.emit) and np.allclose(long.start, counts.start) and np.allclose(long.move, counts.move)
     better = counts.model(np.full(5, 0.2) * 1e-9)
     assert hmm.forward(better, sequences).sum() > hmm.forward(model, sequences).sum()
 
