@@ -4,15 +4,21 @@ DataFrame expressions only. For each kind the text is both searched for its
 pattern and split at it, so the lengths of the pieces and matches give every
 match's place in code points. A match that fails its test (octets at most 255,
 digit counts, the Luhn digit, the IBAN remainder modulo 97) is dropped without a
-second try. The score of a confirmed span starts at its kind's prior and rises
-where a context word of that kind stands within 40 code points before it.
+second try. The score of a confirmed span starts at its kind's prior, rises where
+a word of that kind stands within 40 code points before it and after the match
+before, and falls where a word stands there that speaks against it, as "version"
+does before four numbers. Spans of ``LIKELY`` or more are personal data; masking
+takes no others.
 
 The patterns use possessive quantifiers and a look-behind for the start of a run.
 They match what the plain patterns in ``BASE`` match, but in linear time and
-without recursion on very long runs.
+without recursion on very long runs. Matches are placed in stretches of
+``STRETCH``, so a text with very many costs little more than their number.
 
-Defined cases: a null text counts as empty and has no spans; repeated rows and
-null ids keep one row each; an empty table gives an empty result.
+Defined cases: a null text counts as empty and has no spans; a text of any length
+is searched whole; spans that start together are ordered by kind; repeated rows and
+null ids keep one row each; extra columns are ignored or carried whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +52,13 @@ CONTEXT = {
     "phone": "phone|tel|call|mobile|fax|whatsapp",
     "iban": "iban|bank|account|konto|compte|cuenta",
 }
-BONUS = 0.1
+AGAINST = {"ip": "version|release|build|firmware|ver|v", "card": "isbn|serial|tracking", "phone": "isbn|serial|tracking"}
+BONUS, MALUS = 0.1, 0.3
+#: Spans of this score or more count as personal data.
+LIKELY = 0.5
 REACH = 40
+#: Matches that are placed and masked at a time.
+STRETCH = 256
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,text:string,score:double>"
 
 
@@ -88,17 +99,25 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def scored(kind: str, gap: Column) -> Column:
+    """The score of a span of ``kind`` after the text ``gap``."""
+    before = F.lower(F.right(gap, F.lit(REACH)))
+    near = lambda words: before.rlike(rf"(?<![a-z])(?:{words})(?![a-z])")
+    score = F.lit(PRIOR[kind]) + F.when(near(CONTEXT[kind]), BONUS).otherwise(0.0)
+    if kind in AGAINST:
+        score = score - F.when(near(AGAINST[kind]), MALUS).otherwise(0.0)
+    return F.round(score, 3)
+
+
 def _spans_of(kind: str, text: Column) -> Column:
-    pattern = F.lit(LINEAR[kind])
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, LINEAR[kind], -1), lambda g: F.length(g).cast("long"))
+    matches = F.regexp_extract_all(text, F.lit(LINEAR[kind]), F.lit(0))
     pairs = F.zip_with(
-        matches, gaps, lambda m, g: F.struct(m.alias("match"), g.alias("gap"))
+        matches, F.split(text, LINEAR[kind], -1), lambda m, g: F.struct(m.alias("match"), g.alias("gap"))
     )  # one gap more than matches: its match is null
     none = F.array().cast(f"array<{SPAN}>")
 
     def step(state: Column, pair: Column) -> Column:
-        match, start = pair["match"], state["at"] + pair["gap"]
+        match, start = pair["match"], state["at"] + F.length(pair["gap"])
         end = start + F.length(match)
         span = F.struct(
             start.alias("start"),
@@ -106,7 +125,7 @@ def _spans_of(kind: str, text: Column) -> Column:
             end.alias("end"),
             F.lit(kind).alias("kind"),
             match.alias("text"),
-            F.lit(PRIOR[kind]).alias("score"),
+            scored(kind, pair["gap"]).alias("score"),
         )
         good = F.coalesce(confirmed(kind, match), F.lit(False))
         return F.struct(
@@ -117,35 +136,35 @@ def _spans_of(kind: str, text: Column) -> Column:
             .alias("out"),
         )
 
-    found = F.aggregate(
-        pairs, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), step, lambda s: s["out"]
-    )
+    def stretch(state: Column, some: Column) -> Column:
+        placed = F.aggregate(some, F.struct(state["at"].alias("at"), none.alias("out")), step)
+        # bound to a name by the array, so that it is worked out once
+        return F.transform(
+            F.array(placed), lambda p: F.struct(p["at"].alias("at"), F.concat(state["out"], F.array(p["out"])).alias("out"))
+        )[0]
+
+    def all_of(pairs: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(1), F.size(pairs), F.lit(STRETCH)), lambda k: F.slice(pairs, k, F.lit(STRETCH)))
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        return F.aggregate(parts, start, stretch, lambda s: F.flatten(s["out"]))
+
+    found = F.transform(F.array(pairs), all_of)[0]
     possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.lit(True)
     return F.when(possible & (F.length(text) > 0), found).otherwise(none)
 
 
-def _scored(text: Column, spans: Column) -> Column:
-    def score(span: Column) -> Column:
-        start = F.greatest(span["start"] - REACH, F.lit(0))
-        before = F.lower(F.substr(text, (start + 1).cast("int"), (span["start"] - start).cast("int")))
-        near = F.lit(False)
-        for kind, words in CONTEXT.items():
-            near = near | ((span["kind"] == kind) & before.rlike(rf"(?<![a-z])(?:{words})(?![a-z])"))
-        return F.when(near, F.least(span["score"] + BONUS, F.lit(1.0))).otherwise(span["score"])
-
+def pii_spans(text: Column) -> Column:
+    """All confirmed spans of a text, by start and then kind: kind, start, end, text, score."""
+    text = F.coalesce(text, F.lit(""))
     return F.transform(
-        spans,
-        lambda s: F.struct(
-            s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            s["text"].alias("text"), score(s).alias("score"),
-        ),
+        F.array_sort(F.concat(*[_spans_of(k, text) for k in KINDS])),
+        lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "text", "score")]),
     )
 
 
-def pii_spans(text: Column) -> Column:
-    """All confirmed spans of a text, by start and then kind: kind, start, end, text, score."""
-    text = F.coalesce(text, F.lit(""))
-    return _scored(text, F.array_sort(F.concat(*[_spans_of(k, text) for k in KINDS])))
+def likely(spans: Column) -> Column:
+    """The spans that count as personal data."""
+    return F.filter(spans, lambda s: s["score"] >= LIKELY)
 
 
 def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -156,22 +175,42 @@ def find_pii(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataF
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each run of overlapping spans replaced by the first one's kind in brackets."""
+    """The text with each run of overlapping spans replaced by the first one's kind in brackets.
 
-    def step(state: Column, span: Column) -> Column:
-        fresh = span["start"] >= state["at"]
-        piece = F.concat(
-            F.substr(text, (state["at"] + 1).cast("int"), (span["start"] - state["at"]).cast("int")),
-            F.lit("["), F.upper(span["kind"]), F.lit("]"),
-        )
-        return F.struct(
-            F.greatest(state["at"], span["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], F.array(piece))).otherwise(state["out"]).alias("out"),
-        )
+    A place is found by walking there, so spans are taken in stretches, each over
+    its own part of the text.
+    """
+    # bound to a name by the array, so that they are worked out once
+    return F.transform(F.array(spans), lambda own: _masked(text, own))[0]
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    strings = "array<string>"
+    cut = lambda t, start, end: F.substr(t, (start + 1).cast("int"), (end - start).cast("int"))
+
+    def stretch(state: Column, some: Column) -> Column:
+        end = F.greatest(state["at"], F.array_max(F.transform(some, lambda s: s["end"])))
+
+        def inner(part: Column) -> Column:
+            base = state["at"]
+
+            def step(own: Column, span: Column) -> Column:
+                piece = F.concat(cut(part, own["at"] - base, span["start"] - base), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+                return F.struct(
+                    F.greatest(own["at"], span["end"]).alias("at"),
+                    F.when(span["start"] >= own["at"], F.concat(own["out"], F.array(piece))).otherwise(own["out"]).alias("out"),
+                )
+
+            done = F.aggregate(some, F.struct(base.alias("at"), F.array().cast(strings).alias("out")), step)
+            return F.transform(
+                F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(state["out"], F.array(F.array_join(d["out"], ""))).alias("out"))
+            )[0]
+
+        return F.transform(F.array(cut(text, state["at"], end)), inner)[0]
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    parts = F.transform(F.sequence(F.lit(1), F.size(spans), F.lit(STRETCH)), lambda k: F.slice(spans, k, F.lit(STRETCH)))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(strings).alias("out"))
     done = F.aggregate(
-        spans, start, step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int"))),
+        parts, start, stretch, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(text, (s["at"] + 1).cast("int")))
     )
     return F.when(F.size(spans) > 0, done).otherwise(text)

@@ -34,6 +34,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[number(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(named(base), 256).alias("base_sha256"),
         named(F.col("spans")).alias("spans"),
+        F.size(pii.likely(F.col("spans"))).cast("long").alias("n_likely"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 

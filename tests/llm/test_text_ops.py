@@ -279,10 +279,28 @@ def test_pii(spark, documents):
                 merged += text[at : s.start] + f"[{s.kind.upper()}]"
             at = max(at, s.end)
         assert (r.masked or "") == (merged + text[at:] if r.spans else text)
+    assert len(found) == len(texts)
     ibans = [s.text for r in found for s in r.spans if s.kind == "iban"]
     assert ibans == ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"]
 
 
+def test_context_decides(spark):
+    texts = ["firmware version 10.2.0.1 runs", "login from 10.2.0.1 today", "10.2.0.1", "v 1.2.3.4 at a@b.co"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = pii.pii_spans(F.col("text"))
+    found = df.select("doc_id", spans.alias("s"), pii.masked(F.col("text"), pii.likely(spans)).alias("m")).orderBy("doc_id").collect()
+    assert [[s.score for s in r.s] for r in found] == [[0.3], [0.7], [0.6], [0.3, 0.9]]
+    assert [r.m for r in found] == [texts[0], "login from [IP] today", "[IP]", "v 1.2.3.4 at [EMAIL]"]
+
+
+def test_pii_of_very_many_spans(spark):
+    text = "".join(f"x{k}@example.org 10.0.0.{k % 256} " for k in range(20_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.pii_spans(F.col("text"))
+    r = df.select(spans.alias("s"), pii.masked(F.col("text"), spans).alias("m")).first()
+    assert [f"{s.kind}:{s.start}:{s.end}" for s in r.s] == naive_pii(text) and r.m == "[EMAIL] [IP] " * 20_000
+
+
 def test_pii_is_native(spark):
     df = spark.createDataFrame([(1, "a@b.co")], "doc_id long, text string")
     plan = pii.find_pii(df, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
