@@ -6,10 +6,14 @@ Parquet and read again as the next one's ``docs``:
 1. toxicity - documents whose toxic probability reaches the threshold go;
 2. simhash - one document of each near-duplicate group stays;
 3. decontamination - documents that the contamination rule marks go;
-4. pii - personal data in the texts is replaced by its kind in brackets;
+4. pii - personal data, spans with a score of ``pii.LIKELY`` or more, is replaced
+   by its kind in brackets;
 5. bpe - texts become token ids, and the ids are decoded again.
 
-All but the last return the columns of ``docs``, extra ones included. A null text
+All but the last return the columns of ``docs``, extra ones included, whatever
+their names. Texts of any length are read whole. Of rows equal in id and
+fingerprint one passes stage 2; a document whose probability ties with the
+threshold goes. A null text
 is no text: it is not toxic, not contaminated, keeps its null in stage 4 and has
 no ids; null texts and empty ones are copies of each other in stage 2. Rows with
 a null doc_id pass stage 2. Empty tables give empty results.
@@ -48,7 +52,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data; ``n_chars`` follows a changed text."""
-    found = pii.find_pii(docs, docs.columns).select(
+    likely = pii.find_pii(docs, docs.columns).select("row", pii.likely(F.col("spans")).alias("spans"))
+    found = likely.select(
         "row", pii.masked(F.col("row.text"), F.col("spans")).alias("masked"), (F.size("spans") > 0).alias("changed")
     )
     fresh = {
