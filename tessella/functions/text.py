@@ -128,9 +128,12 @@ def hash16(c: Column | str) -> Column:
 
 
 def fnv1a32(c: Column | str) -> Column:
-    """FNV-1a, 32 bits, over code points, as eight hex digits."""
+    """FNV-1a, 32 bits, over UTF-16 units, as eight hex digits."""
     mask = F.lit(0xFFFFFFFF).cast("long")
     points = F.transform(F.filter(F.split(col(c), ""), lambda x: x != ""), lambda x: F.ascii(x).cast("long"))
+    high = lambda p: F.lit(0xD800).cast("long") + F.shiftright(p - 0x10000, 10)
+    low = lambda p: F.lit(0xDC00).cast("long") + p % 0x400
+    points = F.flatten(F.transform(points, lambda p: F.when(p < 0x10000, F.array(p)).otherwise(F.array(high(p), low(p)))))
     value = F.aggregate(
         points,
         F.lit(0x811C9DC5).cast("long"),

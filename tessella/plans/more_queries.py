@@ -72,19 +72,6 @@ def _projection(spark, d):
     return references.owning_chain(e, ["A", "R"])
 
 
-@query("gr26_planner_relations", """WITH s AS (SELECT DISTINCT o_custkey AS k, o_orderpriority AS s FROM orders WHERE o_custkey<60), p AS (SELECT k::VARCHAR AS slug, k FROM (SELECT DISTINCT k FROM s))
- SELECT 'getting-started' AS src, slug AS dst, 'prerequisite' AS kind FROM p WHERE k%2=0 UNION ALL SELECT DISTINCT a.k::VARCHAR, b.k::VARCHAR, 'related' FROM s a JOIN s b ON a.s=b.s AND a.k::VARCHAR<b.k::VARCHAR
- UNION ALL SELECT * FROM (SELECT lag(slug) OVER (ORDER BY k) AS src, slug, 'next-step' FROM p WHERE k%5=0) WHERE src IS NOT NULL UNION ALL SELECT 'getting-started', slug, 'extends' FROM p WHERE k%5=0""")
-def _planner(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey < 60").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("symbols"))
-    pages = o.select(
-        F.col("k").cast("string").alias("slug"), F.col("k").alias("ordinal"), F.when(F.col("k") % 2 == 0, F.array(F.lit("api"))).otherwise(F.array(F.lit("x"))).alias("kinds"), "symbols",
-        F.when(F.col("k") % 5 == 0, "getting-started").alias("split_from"),
-    )
-    start = spark.createDataFrame([("getting-started", -1, ["overview"], [], None)], pages.schema)
-    return planning.planner_relations(pages.unionByName(start))
-
-
 @query("gr26_planner_orders", """WITH s AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS s FROM lineitem), p AS (SELECT DISTINCT k, k::VARCHAR AS slug FROM s)
  SELECT 'getting-started' AS src, slug AS dst, 'prerequisite' AS kind FROM p WHERE k%2=0 UNION SELECT a.k::VARCHAR, b.k::VARCHAR, 'related' FROM s a JOIN s b ON a.s=b.s AND a.k::VARCHAR<b.k::VARCHAR
  UNION SELECT * FROM (SELECT lag(slug) OVER (PARTITION BY k//100 ORDER BY k) AS src, slug, 'next-step' FROM p WHERE k%5=0) WHERE src IS NOT NULL UNION SELECT (k//100*100)::VARCHAR, slug, 'extends' FROM p WHERE k%5=0 AND k//100*100 IN (SELECT k FROM p)""")

@@ -40,13 +40,6 @@ def _statistics(spark, d):
     return files.scan_statistics(t)
 
 
-@query("ag05_ag06_sidebar", """SELECT o_orderpriority AS category, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (WHERE o_orderkey<500) AS items FROM orders GROUP BY 1""")
-def _sidebar(spark, d):
-    small = F.when(F.col("o_orderkey") < 500, F.col("o_orderkey"))
-    t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(small)).alias("i"))
-    return t.select("category", "n", F.nullif(F.array_join("i", ","), F.lit("")).alias("items"))
-
-
 @query("ag05_ag06_whole_sidebar", """SELECT o_orderpriority AS category, count(*) AS n, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS items FROM orders GROUP BY 1""")
 def _whole_sidebar(spark, d):
     t = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("i"))
@@ -152,12 +145,6 @@ def _st01(spark, d):
     return table(spark, d, "documents").select("doc_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
-@query("st02_posts", """SELECT o_orderkey, o_day FROM (SELECT o_orderkey, CASE WHEN o_orderkey%10=0 THEN NULL ELSE strftime(o_orderdate,'%Y-%m-%d') END AS o_day FROM orders) ORDER BY o_day DESC NULLS LAST, o_orderkey LIMIT 100""")
-def _st02(spark, d):
-    day = F.when(F.col("o_orderkey") % 10 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return site.posts(table(spark, d, "orders").select("o_orderkey", day.alias("o_day")), "o_day", "o_orderkey").limit(100)
-
-
 @query("st02_all_posts", """SELECT o_orderkey, CASE WHEN o_orderkey%10=0 THEN NULL ELSE strftime(o_orderdate,'%Y-%m-%d') END AS o_day FROM orders ORDER BY o_day DESC NULLS LAST, o_orderkey""")
 def _all_posts(spark, d):
     day = F.when(F.col("o_orderkey") % 10 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
@@ -204,13 +191,6 @@ def _duplicates(spark, d):
     return similarity.duplicate_groups(table(spark, d, "documents"), "doc_id", X.hash16(X.normalize_compare("text")))
 
 
-@query("dd03_contained_symbols", """WITH s AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS s FROM orders WHERE o_custkey<150 GROUP BY 1)
- SELECT a.k AS a, b.k AS b, len(list_intersect(a.s,b.s)) AS shared FROM s a JOIN s b ON a.k<b.k WHERE len(list_intersect(a.s,b.s))>0 AND len(list_intersect(a.s,b.s))=least(len(a.s),len(b.s))""")
-def _contained(spark, d):
-    t = table(spark, d, "orders").filter("o_custkey < 150").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("s"))
-    return similarity.containment_pairs(t, "k", "s")
-
-
 @query("dd03_contained_orders", """WITH r AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS e FROM lineitem), n AS (SELECT k, count(*) AS n FROM r GROUP BY 1), p AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM r a JOIN r b ON a.e=b.e AND a.k<b.k GROUP BY 1,2)
  SELECT a, b, shared FROM p JOIN n x ON x.k=a JOIN n y ON y.k=b WHERE shared=least(x.n,y.n)""")
 def _contained_orders(spark, d):
@@ -233,12 +213,6 @@ def _canonical(spark, d):
     return best.filter("c > 1").select("symbol", "b.page")
 
 
-@query("jn11_shared_entities", """SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared, least(1e0,6e-1+1e-1*count(*)) AS confidence, least(1e0,25e-2*count(*)) AS weight FROM (SELECT DISTINCT l_orderkey,l_suppkey FROM lineitem WHERE l_orderkey<400) a
- JOIN (SELECT DISTINCT l_orderkey,l_suppkey FROM lineitem WHERE l_orderkey<400) b ON a.l_suppkey=b.l_suppkey AND a.l_orderkey<b.l_orderkey GROUP BY 1,2""")
-def _shared(spark, d):
-    return similarity.shared_entity_pairs(table(spark, d, "lineitem").filter("l_orderkey < 400"), "l_orderkey", "l_suppkey")
-
-
 @query("jn11_shared_parts", """SELECT a.l_orderkey AS a, b.l_orderkey AS b, count(*) AS shared, least(1e0,6e-1+1e-1*count(*)) AS confidence, least(1e0,25e-2*count(*)) AS weight FROM (SELECT DISTINCT l_orderkey,l_partkey FROM lineitem) a
  JOIN (SELECT DISTINCT l_orderkey,l_partkey FROM lineitem) b ON a.l_partkey=b.l_partkey AND a.l_orderkey<b.l_orderkey GROUP BY 1,2""")
 def _shared_parts(spark, d):

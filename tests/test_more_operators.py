@@ -1,5 +1,6 @@
 """References, composition, search and planning on small inputs."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import compose, graph, planning, project, references, search
@@ -86,3 +87,38 @@ def test_depth_is_not_capped(spark):
     names = spark.createDataFrame([(".".join(f"p{k}" for k in range(n)),) for n in (1, 9, 10)] + [("p0." * 8 + "x",)], "name string")
     assert {len(r.name.split(".")): r.target for r in project.resolve_dotted(names.filter("name not like '%x'"), members).collect()} == {1: "t0", 9: "t8", 10: "t9"}
     assert project.resolve_dotted(names.filter("name like '%x'"), members).first().target is None
+
+
+def test_alphabetical_order(spark):
+    import random
+
+    from tessella.operators import relations
+
+    random.seed(3)
+    names = [f"p{k}" for k in range(60)]
+    edges = {(random.choice(names[:30]), random.choice(names[20:])) for _ in range(80)} | {("p50", "p51"), ("p51", "p50"), ("b", "c"), ("b", "z")}
+    edges = {(a, b) for a, b in edges if a != b}
+    every = [*names, "z", "c", "b"]
+    placed = []
+    while ready := sorted(n for n in every if n not in placed and all(a in placed for a, b in edges if b == n)):
+        placed.append(ready[0])
+    placed += [n for n in every if n not in placed]
+    nodes = spark.createDataFrame([(n, k) for k, n in enumerate(every)], "node string, ordinal long")
+    found = relations.alphabetical_order(nodes, spark.createDataFrame(list(edges), "src string, dst string"))
+    assert [r.node for r in found.orderBy("position").collect()] == placed
+    with pytest.raises(ValueError):
+        relations.alphabetical_order(nodes, spark.createDataFrame(list(edges), "src string, dst string"), most=5)
+
+
+def test_hash_of_utf16_units(spark):
+    from tessella.functions import text as X
+
+    def plain(s):
+        h, raw = 0x811C9DC5, s.encode("utf-16-le")
+        for k in range(0, len(raw), 2):
+            h = ((h ^ int.from_bytes(raw[k : k + 2], "little")) * 0x01000193) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "abc", "é日本", "a😀b𝒳", "\U0010ffff"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(X.fnv1a32("t")).collect()] == [plain(t) for t in texts]
