@@ -60,7 +60,7 @@ def relation_counts(relations: DataFrame, pages: DataFrame) -> DataFrame:
 
 def repeated_symbols(symbols: DataFrame) -> DataFrame:
     """Symbols (file, ordinal, name, parent) whose name the one before of that name has in the same scope, and unnamed ones."""
-    before = Window.partitionBy("file", "name").orderBy("ordinal")
+    before = Window.partitionBy("file", "name").orderBy("ordinal", "parent")
     marked = symbols.withColumn("number", F.row_number().over(before)).withColumn("last", F.lag("parent").over(before))
     code = F.when(F.col("name") == "", "unnamed-symbol").when((F.col("number") > 1) & F.col("last").eqNullSafe(F.col("parent")), "duplicate-symbol")
     return marked.withColumn("code", code).filter("code is not null").select("file", "ordinal", "name", "code")

@@ -143,7 +143,7 @@ def _health(spark, d):
 
 
 @query("wn11_repeated_symbols", """SELECT file, ordinal, name, CASE WHEN name='' THEN 'unnamed-symbol' ELSE 'duplicate-symbol' END AS code FROM (SELECT *, lag(parent) OVER w AS last, row_number() OVER w AS r FROM
- (SELECT l_orderkey AS file, l_linenumber AS ordinal, CASE l_suppkey%4 WHEN 0 THEN '' ELSE 's'||(l_suppkey%4) END AS name, l_returnflag AS parent FROM lineitem) WINDOW w AS (PARTITION BY file, name ORDER BY ordinal)) WHERE name='' OR (r>1 AND last=parent)""")
+ (SELECT l_orderkey AS file, l_linenumber AS ordinal, CASE l_suppkey%4 WHEN 0 THEN '' ELSE 's'||(l_suppkey%4) END AS name, l_returnflag AS parent FROM lineitem) WINDOW w AS (PARTITION BY file, name ORDER BY ordinal, parent)) WHERE name='' OR (r>1 AND last=parent)""")
 def _repeated_symbols(spark, d):
     name = F.expr("CASE l_suppkey%4 WHEN 0 THEN '' ELSE 's'||(l_suppkey%4) END")
     return relations.repeated_symbols(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").alias("ordinal"), name.alias("name"), F.col("l_returnflag").alias("parent")))
