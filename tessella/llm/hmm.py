@@ -51,8 +51,8 @@ SMOOTHING = 30.0
 END, FIRST_CLASS, FIRST_WORD = 0, 1, 1 + CLASSES
 BLOCK = 4096
 CHUNK_TOKENS = 500_000
-#: A chunk takes texts of more tokens than this only with others like them.
-MIDDLE = 2_000
+#: Sequences up to two to this power in length go together, longer ones with those up to the next power of two.
+LEAST = 7
 
 
 def words_of(text: str) -> list[bytes]:
@@ -110,22 +110,20 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def chunks(sequences: Iterator[np.ndarray], tokens: int = CHUNK_TOKENS) -> Iterator[list[np.ndarray]]:
-    """Sequences in lists of about ``tokens`` symbols, middling ones apart from short ones, long ones alone."""
-    held: list[list[np.ndarray]] = [[], []]
-    size = [0, 0]
+    """Sequences in lists of about ``tokens`` symbols, each of like lengths, so that few steps run over few; long ones alone."""
+    held: dict[int, list[np.ndarray]] = {}
+    size: dict[int, int] = {}
     for s in sequences:
         if len(s) > LONG:
             yield [s]
             continue
-        k = int(len(s) > MIDDLE)
-        held[k].append(s)
-        size[k] += len(s)
+        k = max(LEAST, (len(s) - 1).bit_length())
+        held.setdefault(k, []).append(s)
+        size[k] = size.get(k, 0) + len(s)
         if size[k] >= tokens:
-            yield held[k]
-            held[k], size[k] = [], 0
-    for rest in held:
-        if rest:
-            yield rest
+            yield held.pop(k)
+            size[k] = 0
+    yield from held.values()
 
 
 class Counts:
