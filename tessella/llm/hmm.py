@@ -11,8 +11,8 @@ each task. Baum-Welch starts from corpus shares shaken at random; each of ``ROUN
 passes over the whole training corpus sums the expected counts inside the tasks,
 the tasks' sums ``FAN`` at a time on as many levels as it takes, and re-estimates
 the model. Texts are trained on and scored whole: a long one goes through the
-recursions in stretches whose messages are carried over, so memory stays bounded
-and no transition is lost. What is kept in memory or sent to the driver is bounded
+recursions in parts side by side, with the exact messages at their borders, so memory
+stays bounded and no transition is lost. What is kept in memory or sent to the driver is bounded
 by the model's size. Counts of rare words never leave the cluster: the rare words
 of the texts are joined with them.
 
@@ -42,15 +42,16 @@ HEAD = 65_000
 CLASSES = 64
 #: Baum-Welch passes over the corpus.
 ROUNDS = 8
-#: Texts longer than this go through the recursions alone, in stretches.
-LONG = 100_000
+#: Texts longer than this go through the recursions alone, in parts of STRETCH tokens side by side.
+LONG = 16_384
+STRETCH = 512
 #: Sums of tasks that are added at a time.
 FAN = 32
 SMOOTHING = 30.0
 #: Symbols of a model: the end, the classes of rarer words, the common words.
 END, FIRST_CLASS, FIRST_WORD = 0, 1, 1 + CLASSES
 BLOCK = 4096
-CHUNK_TOKENS = 500_000
+CHUNK_TOKENS = 1_000_000
 #: Sequences up to two to this power in length go together, longer ones with those up to the next power of two.
 LEAST = 7
 
@@ -93,22 +94,94 @@ def _stacked(sequences: list[np.ndarray]):
     return order, alive, offset, flat
 
 
-def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
-    """log10 likelihood of each sequence of symbols, none empty."""
+def _emitted(model: Model, flat: np.ndarray) -> np.ndarray:
+    """Emission probabilities, states x symbols of ``flat``, gathered a cache-sized piece at a time."""
+    out = np.empty((len(model.start), len(flat)), dtype=model.emit.dtype)
+    for k in range(0, len(flat), 1 << 14):
+        out[:, k : k + (1 << 14)] = model.emit.take(flat[k : k + (1 << 14)], axis=0).T
+    return out
+
+
+def _scores(model: Model, sequences: list[np.ndarray], prior: np.ndarray | None = None) -> np.ndarray:
+    """log10 likelihood of each sequence, whose first state has the distribution in its column of ``prior``."""
     order, alive, offset, flat = _stacked(sequences)
+    emitted, step = _emitted(model, flat), np.ascontiguousarray(model.move.T)
     total = np.zeros(len(sequences))
-    alpha = np.tile(model.start, (len(sequences), 1))
+    alpha = np.tile(model.start[:, None], len(sequences)) if prior is None else prior[:, order]
     for t, n in enumerate(alive):
-        alpha = alpha[:n] @ model.move if t else alpha
-        alpha = alpha * model.emit[flat[offset[t] : offset[t] + n]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
+        alpha = (step @ alpha[:, :n] if t else alpha) * emitted[:, offset[t] : offset[t + 1]]
+        scale = alpha.sum(0)
+        alpha /= scale
         total[:n] += np.log10(scale)
     out = np.empty(len(sequences))
     out[order] = total
     return out
 
 
+def _carried(model: Model, parts: list[np.ndarray]) -> np.ndarray:
+    """For each part, up to a factor, the probability of its symbols and last state given its first: last x part x first."""
+    order, alive, offset, flat = _stacked(parts)
+    emitted, step = _emitted(model, flat), np.ascontiguousarray(model.move.T)
+    states = len(model.start)
+    done = np.empty((states, len(parts), states))
+    now = np.repeat(np.eye(states)[:, None, :], len(parts), axis=1)
+    for t, n in enumerate(alive):
+        if t:
+            done[:, n : now.shape[1]] = now[:, n:]
+            now = (step @ now[:, :n].reshape(states, -1)).reshape(states, n, states)
+        now = now * emitted[:, offset[t] : offset[t + 1], None]
+        now /= now.sum(0).sum(1)[:, None]
+    done[:, : now.shape[1]] = now
+    out = np.empty_like(done)
+    out[:, order] = done
+    return out
+
+
+class Messages:
+    """What the recursions carry over the borders of a long sequence's parts, exactly.
+
+    The parts are run through side by side, once from each state; the products
+    of the resulting matrices give the messages at every border. ``prior``: the
+    first state's distribution in each part; ``entry``: the forward message at
+    the end of the part before, zero for the first; ``after``: the backward
+    message behind each part, up to a factor.
+    """
+
+    def __init__(self, model: Model, parts: list[np.ndarray], room: int):
+        states = len(model.start)
+        whole = Model(*(x.astype(np.float64) for x in (model.start, model.move, model.emit)))
+        over = np.concatenate([_carried(whole, parts[k : k + room]) for k in range(0, len(parts), room)], axis=1)
+        self.prior, self.entry = np.empty((states, len(parts))), np.zeros((states, len(parts)))
+        self.after = np.ones((states, len(parts)))
+        self.prior[:, 0] = whole.start
+        for k in range(len(parts) - 1):
+            end = over[:, k] @ self.prior[:, k]
+            self.entry[:, k + 1] = end / end.sum()
+            self.prior[:, k + 1] = self.entry[:, k + 1] @ whole.move
+        for k in range(len(parts) - 1, 0, -1):
+            back = whole.move @ (self.after[:, k] @ over[:, k])
+            self.after[:, k - 1] = back / back.sum()
+
+
+def _parts(ids: np.ndarray, stretch: int) -> tuple[list[np.ndarray], int]:
+    """A long sequence in parts of ``stretch`` symbols, and how many go together."""
+    return [ids[k : k + stretch] for k in range(0, len(ids), stretch)], max(1, CHUNK_TOKENS // stretch)
+
+
+def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 likelihood of each sequence of symbols, none empty."""
+    out = np.empty(len(sequences))
+    short = [k for k, s in enumerate(sequences) if len(s) <= LONG]
+    if short:
+        out[short] = _scores(model, [sequences[k] for k in short])
+    for k, s in enumerate(sequences):
+        if len(s) > LONG:
+            parts, room = _parts(s, STRETCH)
+            prior = Messages(model, parts, room).prior
+            out[k] = sum(_scores(model, parts[j : j + room], prior[:, j : j + room]).sum() for j in range(0, len(parts), room))
+    return out
+
+
 def chunks(sequences: Iterator[np.ndarray], tokens: int = CHUNK_TOKENS) -> Iterator[list[np.ndarray]]:
     """Sequences in lists of about ``tokens`` symbols, each of like lengths, so that few steps run over few; long ones alone."""
     held: dict[int, list[np.ndarray]] = {}
@@ -134,55 +207,53 @@ class Counts:
         self.move = np.zeros((states, states))
         self.emit = np.zeros((symbols, states))
 
-    def add(self, model: Model, sequences: list[np.ndarray]) -> None:
-        """Adds the expected counts of sequences under ``model``."""
-        _, alive, offset, flat = _stacked(sequences)
-        states = len(model.start)
-        alphas, scales = np.empty((len(flat), states)), np.empty(len(flat))
-        alpha = np.tile(model.start, (len(sequences), 1))
+    def add(self, model: Model, sequences: list[np.ndarray], borders: tuple[np.ndarray, ...] | None = None) -> None:
+        """Adds the expected counts of sequences under ``model``.
+
+        ``borders`` are prior, entry and after (see :class:`Messages`) of
+        sequences that are parts of longer ones.
+        """
+        order, alive, offset, flat = _stacked(sequences)
+        states, kind = len(model.start), model.emit.dtype
+        emitted, step = _emitted(model, flat), np.ascontiguousarray(model.move.T)
+        prior, entry, after = (x[:, order].astype(kind) for x in borders) if borders else (None, None, None)
+        alphas = np.empty_like(emitted)
+        alpha = prior if borders else np.tile(model.start[:, None], len(sequences))
         for t, n in enumerate(alive):
-            at = slice(offset[t], offset[t] + n)
-            alpha = (alpha[:n] @ model.move if t else alpha) * model.emit[flat[at]]
-            scales[at] = alpha.sum(1)
-            alpha = alpha / scales[at][:, None]
-            alphas[at] = alpha
-        beta = np.ones((len(sequences), states))
-        later = None  # emission times beta, scaled, of the next step
+            at = slice(offset[t], offset[t + 1])
+            alpha = np.multiply(step @ alpha[:, :n] if t else alpha, emitted[:, at], out=alphas[:, at])
+            scale = alpha.sum(0)
+            alpha /= scale
+            emitted[:, at] /= scale
+        beta = np.ones((states, len(sequences)), dtype=kind)
+        if borders:
+            ends = offset[[len(sequences[i]) - 1 for i in order]] + np.arange(len(order))
+            beta = after / (alphas[:, ends] * after).sum(0)
+        moved, later = np.zeros((states, states)), None  # later: scaled emission times beta of the next step
         for t in range(len(alive) - 1, -1, -1):
-            n = alive[t]
-            at = slice(offset[t], offset[t] + n)
+            a, n = offset[t], alive[t]
             if later is not None:
-                m = len(later)
-                self.move += model.move * (alphas[offset[t] : offset[t] + m].T @ later)
-                beta[:m] = later @ model.move.T
-            later = beta[:n] * model.emit[flat[at]] / scales[at][:, None]
-            alphas[at] *= beta[:n]
-        self.start += alphas[: alive[0]].sum(0)
+                m = later.shape[1]
+                moved += alphas[:, a : a + m] @ later.T
+                beta[:, :m] = model.move @ later
+            later = emitted[:, a : a + n] * beta[:, :n]
+            alphas[:, a : a + n] *= beta[:, :n]
+        first = alphas[:, : alive[0]]
+        if borders:
+            moved += entry @ later.T
+            first = first[:, ~entry.any(0)]
+        self.start += first.sum(1)
+        self.move += model.move * moved
         for k in range(states):
-            self.emit[:, k] += np.bincount(flat, alphas[:, k], minlength=len(self.emit))
-
-    def add_long(self, model: Model, ids: np.ndarray, stretch: int = LONG) -> None:
-        """Adds the expected counts of one sequence, holding the recursion of one stretch at a time."""
-        starts = list(range(0, len(ids), stretch))
-        before: list[np.ndarray | None] = [None]  # the forward message at the end of the stretch before
-        for k in starts[:-1]:
-            before.append(_alphas(model, ids[k : k + stretch], before[-1])[0][-1])
-        after = np.ones(len(model.start))
-        for k, entry in zip(reversed(starts), reversed(before), strict=True):
-            part = ids[k : k + stretch]
-            alphas, scales = _alphas(model, part, entry)
-            for t in range(len(part) - 1, -1, -1):
-                later = model.emit[part[t]] * after / scales[t]
-                alphas[t] *= after
-                if t:
-                    self.move += model.move * np.outer(alphas[t - 1], later)
-                elif entry is not None:
-                    self.move += model.move * np.outer(entry, later)
-                after = model.move @ later
-            if entry is None:
-                self.start += alphas[0]
-            for j in range(len(model.start)):
-                self.emit[:, j] += np.bincount(part, alphas[:, j], minlength=len(self.emit))
+            self.emit[:, k] += np.bincount(flat, alphas[k], minlength=len(self.emit))
+
+    def add_long(self, model: Model, ids: np.ndarray, stretch: int = STRETCH) -> None:
+        """Adds the expected counts of one long sequence, whose parts go side by side."""
+        parts, room = _parts(ids, stretch)
+        held = Messages(model, parts, room)
+        for k in range(0, len(parts), room):
+            at = slice(k, k + room)
+            self.add(model, parts[at], (held.prior[:, at], held.entry[:, at], held.after[:, at]))
 
     def model(self, share: np.ndarray) -> Model:
         """The re-estimated model; corpus shares smooth each state's emissions."""
@@ -191,18 +262,6 @@ class Counts:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
-def _alphas(model: Model, ids: np.ndarray, entry: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward messages and scales of a stretch after the message ``entry``, of a whole start without one."""
-    alphas, scales = np.empty((len(ids), len(model.start))), np.empty(len(ids))
-    prior = model.start if entry is None else entry @ model.move
-    for t, symbol in enumerate(ids):
-        alpha = prior * model.emit[symbol]
-        scales[t] = alpha.sum()
-        alphas[t] = alpha / scales[t]
-        prior = alphas[t] @ model.move
-    return alphas, scales
-
-
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word`` (binary), ``c`` over all texts; the empty word counts the ends."""
 
@@ -382,9 +441,9 @@ def _pass(training: DataFrame, model: Model, symbols: int, tasks: int) -> Counts
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))  # bounded by the model
 
     def run(batches):
-        own = Model(*shared.value)
+        own = Model(*(x.astype(np.float32) for x in shared.value))  # expected counts are summed in double precision
         counts = Counts(symbols, STATES)
-        rows = (np.frombuffer(raw, "<u2").astype(np.int64) for batch in batches for raw in batch.column(0).to_pylist())
+        rows = (np.frombuffer(raw, "<u2") for batch in batches for raw in batch.column(0).to_pylist())
         for sequences in chunks(rows):
             if len(sequences[0]) > LONG:
                 counts.add_long(own, sequences[0])
@@ -435,9 +494,9 @@ def _forward(encoded: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch.column(0))
-                ids += [np.frombuffer(x, "<u2").astype(np.int64) for x in batch.column(1).to_pylist()]
+                ids += [np.frombuffer(x, "<u2") for x in batch.column(1).to_pylist()]
                 size += sum(map(len, ids[-batch.num_rows :]))
-                if size >= 4 * CHUNK_TOKENS:
+                if size >= CHUNK_TOKENS:
                     yield out()
                     held, ids, size = [], [], 0
         if held:
