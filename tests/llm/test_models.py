@@ -62,6 +62,23 @@ def test_forward_is_exact_and_counts_add_up():
     assert hmm.forward(better, sequences).sum() > hmm.forward(model, sequences).sum()
 
 
+def test_long_texts_in_parts_equal_whole_ones():
+    rng = np.random.default_rng(3)
+    share = rng.dirichlet(np.ones(50))
+    model = hmm.Model(rng.dirichlet(np.ones(8)), rng.dirichlet(np.full(8, 0.3), 8), hmm.Model.fresh(share).emit)
+    sequences = [rng.integers(0, 50, n) for n in (1, hmm.LONG, hmm.LONG + 1, 2 * hmm.LONG + 700)]
+    assert np.allclose(hmm.forward(model, sequences), hmm._scores(model, sequences), rtol=1e-10)
+    whole, parts, single = (hmm.Counts(50, 8) for _ in range(3))
+    whole.add(model, sequences)
+    small = hmm.Model(*(x.astype(np.float32) for x in (model.start, model.move, model.emit)))
+    for s in sequences:
+        parts.add_long(model, s)
+        single.add_long(small, s)
+    for name in ("start", "move", "emit"):
+        assert np.allclose(getattr(parts, name), getattr(whole, name), rtol=1e-7)
+        assert np.allclose(getattr(single, name), getattr(whole, name), rtol=1e-4)
+
+
 def test_model_is_a_distribution():
     share = np.array([0.1, 0.4, 0.3, 0.2])
     model = hmm.Model.fresh(share, states=3)
