@@ -26,16 +26,17 @@ is unseen and the emissions stay uniform; an empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import bound_batches, crc_bucket, cut, map_texts, scratch_path
+from tessella.llm.common import bound_batches, crc_bucket, cut, scratch_path
 
 STATES = 8
 HEAD = 65_000
@@ -52,13 +53,19 @@ SMOOTHING = 30.0
 END, FIRST_CLASS, FIRST_WORD = 0, 1, 1 + CLASSES
 BLOCK = 4096
 CHUNK_TOKENS = 1_000_000
+#: Rows of word counts after which a task adds those of equal words.
+MERGED = 1_000_000
 #: Sequences up to two to this power in length go together, longer ones with those up to the next power of two.
 LEAST = 7
 
 
-def words_of(text: str) -> list[bytes]:
-    """The words of a text, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, A-Z lower-cased, as bytes, and for each the place of its text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    real = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves empty words
+    return words.filter(real).cast(pa.binary()), owner[real.to_numpy(zero_copy_only=False)]
 
 
 def class_of(word: bytes) -> int:
@@ -66,6 +73,22 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
+@cache
+def _class_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Classes by a word's only byte, and by its last two."""
+    one = np.array([class_of(bytes([b])) for b in range(256)])
+    return one, np.array([class_of(bytes([a, b])) for a in range(256) for b in range(256)])
+
+
+def classes_of(words: pa.Array) -> np.ndarray:
+    """:func:`class_of` every word of a binary array without nulls, none empty."""
+    one, two = _class_tables()
+    ends = np.frombuffer(words.buffers()[1], "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.empty(0, np.uint8)
+    last, before = data[ends[1:] - 1], data[ends[1:] - 2].astype(np.int64)
+    return np.where(np.diff(ends) > 1, two[before * 256 + last], one[last])
+
+
 class Model:
     """Start, transition and emission (symbols x states) probabilities."""
 
@@ -183,7 +206,10 @@ def forward(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
 
 
 def chunks(sequences: Iterator[np.ndarray], tokens: int = CHUNK_TOKENS) -> Iterator[list[np.ndarray]]:
-    """Sequences in lists of about ``tokens`` symbols, each of like lengths, so that few steps run over few; long ones alone."""
+    """Sequences in lists of about ``tokens`` symbols, each of like lengths, so that few steps run over few; long ones alone.
+
+    What is left of every length at the end goes together again, longest first.
+    """
     held: dict[int, list[np.ndarray]] = {}
     size: dict[int, int] = {}
     for s in sequences:
@@ -196,7 +222,15 @@ def chunks(sequences: Iterator[np.ndarray], tokens: int = CHUNK_TOKENS) -> Itera
         if size[k] >= tokens:
             yield held.pop(k)
             size[k] = 0
-    yield from held.values()
+    rest, total = [], 0
+    for s in sorted((s for group in held.values() for s in group), key=len, reverse=True):
+        rest.append(s)
+        total += len(s)
+        if total >= tokens:
+            yield rest
+            rest, total = [], 0
+    if rest:
+        yield rest
 
 
 class Counts:
@@ -262,26 +296,33 @@ class Counts:
         return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """``word``, ``c`` with the counts of equal words added."""
+    return pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
+
+
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``word`` (binary), ``c`` over all texts; the empty word counts the ends."""
 
     def run(batches):
-        held: Counter[bytes] = Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"]
-            )
-
+        held, rows, ends = [], 0, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                held[b""] += 1
-            if len(held) > 500_000:
-                yield out()
-                held.clear()
+            words, _ = words_of(batch.column(0))
+            found = words.value_counts()
+            held.append(pa.table({"word": found.field(0), "c": found.field(1)}))
+            rows += len(found)
+            ends += batch.num_rows
+            if rows > MERGED:
+                merged = _added(held)
+                if len(merged) > MERGED // 2:
+                    yield from merged.to_batches()
+                    held, rows = [], 0
+                else:
+                    held, rows = [merged], len(merged)
         if held:
-            yield out()
+            yield from _added([*held, pa.table({"word": pa.array([b""], pa.binary()), "c": pa.array([ends], pa.int64())})]).to_batches()
+        elif ends:
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([ends], pa.int64())], names=["word", "c"])
 
     bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -369,6 +410,40 @@ def _head(counts: DataFrame) -> list:
     return sorted(words.filter(taken).select("word", "c").collect(), key=lambda r: (-r.c, r.word))[:HEAD]
 
 
+def encode(texts: pa.Array, common: pa.Array, weight: np.ndarray, end_known: bool) -> list[pa.Array]:
+    """For each text: its tokens, how many are known, the sum of their ``weight``, its symbols, and its rare words with how often.
+
+    ``common`` holds the words with symbols of their own, from ``FIRST_WORD`` on.
+    Rare words are neither known nor weighed here.
+    """
+    n = len(texts)
+    words, owner = words_of(texts)
+    symbol = pc.index_in(words, value_set=common)
+    is_rare = symbol.is_null()
+    rare, outside = words.filter(is_rare), is_rare.to_numpy(zero_copy_only=False)
+    found = symbol.fill_null(0).to_numpy() + FIRST_WORD
+    found[outside] = FIRST_CLASS + classes_of(rare)
+    ids = np.full(len(words) + n, END, dtype="<u2")
+    ids[np.arange(len(words)) + owner] = found  # an end behind the words of each text
+    border = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n) + 1)])
+    tokens, unknown = np.diff(border), np.bincount(owner[outside], minlength=n)
+    raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((border * 2).astype("<i4")), pa.py_buffer(ids)])
+    each = pa.table({"owner": owner[outside], "word": rare}).group_by(["owner", "word"], use_threads=False).aggregate([([], "count_all")])
+    each = each.sort_by("owner").combine_chunks()
+    first = np.searchsorted(each.column("owner").to_numpy(), np.arange(n + 1))
+    pairs = pa.StructArray.from_arrays(
+        [pa.concat_arrays(each.column(c).chunks or [pa.array([], t)]) for c, t in (("word", pa.binary()), ("count_all", pa.int64()))],
+        names=["word", "m"],
+    )
+    return [
+        pa.array(tokens, pa.int64()),
+        pa.array(tokens - unknown - (not end_known), pa.int64()),
+        pa.array(np.add.reduceat(weight[ids], border[:-1])),
+        raw,
+        pa.ListArray.from_arrays(pa.array(first, pa.int32()), pairs),
+    ]
+
+
 def _encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int, path: str) -> DataFrame:
     """Texts as symbols and rare words, written to ``path`` so that each row keeps its ``uid``."""
     result = T.StructType(
@@ -383,43 +458,23 @@ def _encode(docs: DataFrame, head: dict[bytes, tuple[int, int]], ends: int, path
             ),
         ]
     )
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())]))
+    row = F.struct("doc_id", "held_out").alias("row")
+    packed = docs.select(row, "text")
+    schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("res", result)])
 
-    def make():
-        symbol = {w: k for w, (k, _) in head.items()}
+    def run(batches):
+        common = pa.array(list(head), pa.binary())
         weight = np.zeros(FIRST_WORD + len(head))
         weight[END] = np.log10(ends + 0.5)
         for k, c in head.values():
             weight[k] = np.log10(c + 0.5)
+        for batch in batches:
+            if batch.num_rows:
+                res = pa.StructArray.from_arrays(encode(batch.column(1), common, weight, ends > 0), names=result.fieldNames())
+                yield pa.RecordBatch.from_arrays([batch.column(0), res], names=["row", "res"])
 
-        def work(texts: list[str]) -> list[pa.Array]:
-            columns: list[list] = [[], [], [], [], []]
-            for text in texts:
-                words = words_of(text)
-                found = list(map(symbol.get, words))
-                rare: Counter[bytes] = Counter()
-                if None in found:
-                    for k, (w, s) in enumerate(zip(words, found, strict=True)):
-                        if s is None:
-                            rare[w] += 1
-                            found[k] = FIRST_CLASS + class_of(w)
-                ids = np.array([*found, END], dtype="<u2")
-                outside = rare.total()
-                row = (
-                    len(ids),
-                    len(ids) - outside - (ends == 0),
-                    float(weight[ids].sum()),
-                    ids.tobytes(),
-                    [{"word": w, "m": m} for w, m in rare.items()],
-                )
-                for column, value in zip(columns, row, strict=True):
-                    column.append(value)
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), rare_type)
-            return [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-
-        return work
-
-    rows = map_texts(docs, ["doc_id", "held_out"], "text", result, make)
+    bound_batches(docs.sparkSession)
+    rows = packed.mapInArrow(run, schema)
     rows.select(
         F.monotonically_increasing_id().alias("uid"), "row.*", "res.*"
     ).write.option("compression", "zstd").parquet(path)
