@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,31 @@ def test_long_texts_in_parts_equal_whole_ones():
         assert np.allclose(getattr(single, name), getattr(whole, name), rtol=1e-4)
 
 
+def test_texts_are_encoded_like_one_by_one():
+    rng = np.random.default_rng(5)
+    letters = list(" \t\n\x0b\x0c\r\x00\x1c\x85\xa0aAbBéÉ😀 ")
+    texts = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 300)] + ["", " ", "x", "b " * 5000]
+    plain = [t.encode().lower().split() for t in texts]
+    words, owner = hmm.words_of(pa.array(texts))
+    assert words.to_pylist() == [w for d in plain for w in d] and owner.tolist() == [k for k, d in enumerate(plain) for _ in d]
+    common = [w for w, _ in Counter(w for d in plain for w in d).most_common(30)]
+    weight = rng.random(hmm.FIRST_WORD + 30)
+    for head in (common, []):
+        symbol = {w: hmm.FIRST_WORD + k for k, w in enumerate(head)}
+        rows = zip(*(c.to_pylist() for c in hmm.encode(pa.array(texts), pa.array(head, pa.binary()), weight, True)), strict=True)
+        for d, (tokens, known, base, raw, rare) in zip(plain, rows, strict=True):
+            ids = [symbol.get(w, hmm.FIRST_CLASS + hmm.class_of(w)) for w in d] + [hmm.END]
+            assert np.frombuffer(raw, "<u2").tolist() == ids and (tokens, known) == (len(ids), 1 + sum(w in symbol for w in d))
+            assert math.isclose(base, weight[ids].sum()) and {r["word"]: r["m"] for r in rare} == Counter(w for w in d if w not in symbol)
+
+
+def test_chunks_hold_every_sequence_once():
+    sizes = [1, 5, 200, 200, 300, 900, hmm.LONG, hmm.LONG + 1, 3]
+    groups = list(hmm.chunks((np.full(n, k) for k, n in enumerate(sizes)), 700))
+    assert sorted(int(s[0]) for g in groups for s in g) == list(range(len(sizes)))
+    assert all(len(g) == 1 for g in groups if len(g[0]) > hmm.LONG)
+
+
 def test_model_is_a_distribution():
     share = np.array([0.1, 0.4, 0.3, 0.2])
     model = hmm.Model.fresh(share, states=3)
