@@ -122,3 +122,28 @@ def test_hash_of_utf16_units(spark):
     texts = ["", "abc", "é日本", "a😀b𝒳", "\U0010ffff"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.fnv1a32("t")).collect()] == [plain(t) for t in texts]
+
+
+def test_structure(spark):
+    from tessella.operators import structure
+
+    edges = [("a", "b", "x", True), ("b", "a", "x", True), ("b", "a", "x", False), ("b", "c", "x", True), ("c", "b", "x", False), ("a", "b", "y", True), ("c", "a", "y", True)]
+    found = structure.typed_cycles(spark.createDataFrame(edges, "src string, dst string, kind string, resolved boolean"))
+    assert rows(found.select("kind", F.array_join("nodes", ">"), "resolved")) == [("x", "a>b", True), ("x", "b>c", False)]
+    none = spark.createDataFrame([], "src string, dst string, kind string, resolved boolean")
+    assert structure.typed_cycles(none).collect() == []
+    symbols = spark.createDataFrame([("r", None), ("k", "r"), ("j", "r"), ("lost", "gone")], "id string, parent string")
+    assert {r.id: (r.position, r.n_children, r.root) for r in structure.ownership_tree(symbols).collect()} == {
+        "r": (None, 2, True), "k": (2, 0, False), "j": (1, 0, False), "lost": (None, 0, False),
+    }
+    page = lambda *x: spark.createDataFrame(list(x), "slug string, fingerprint string")
+    changes = structure.diff_architecture(page(("a", "1"), ("b", None), ("c", "1")), page(("a", "1"), ("b", "2"), ("d", None)))
+    assert rows(changes.select("slug", "change")) == [("b", "updated"), ("c", "removed"), ("d", "added")]
+    quiet = structure.summarize_architecture(changes.limit(0), F.lit(False), F.lit(False)).first()
+    assert quiet.is_empty and not structure.summarize_architecture(changes.limit(0), F.lit(True), F.lit(False)).first().is_empty
+    links = spark.createDataFrame([("page", "p"), ("page", "q"), ("api", None), ("anchor", "#x"), (None, "p")], "kind string, target string")
+    model = spark.createDataFrame([("page", "p"), ("page", "p"), ("api", "q")], "kind string, name string")
+    valid = structure.validate_generated_links(links, model)
+    assert [(r.kind, r.target, r.valid, r.finding) for r in valid.orderBy("kind", "target").collect()] == [
+        (None, "p", False, "unknown-kind"), ("anchor", "#x", True, None), ("api", None, False, "missing-api"), ("page", "p", True, None), ("page", "q", False, "missing-page"),
+    ]
