@@ -70,12 +70,9 @@ def closest_names(targets: DataFrame, target: str, names: DataFrame, name: str,
     t = t.withColumn("size", F.explode(reach))
     n = names.select(F.col(name).alias("name")).distinct().withColumn("n", case(F.col("name"))).withColumn("size", F.length("n"))
     pairs = t.join(n, "size").withColumn("distance", F.levenshtein("t", "n")).filter(F.col("distance") <= F.col("far"))
-    best = pairs.groupBy("target").agg(
-        F.min(F.struct("distance", "name")).alias("best"), F.collect_list("distance").alias("all")
-    )
-    ties = F.size(F.filter("all", lambda d: d == F.col("best.distance")))
-    best = best.withColumn("ties", ties)
-    return (best.filter("ties = 1") if unique else best).select("target", F.col("best.name").alias("name"), F.col("best.distance").cast("long").alias("distance"))
+    near = pairs.groupBy("target", "distance").agg(F.min("name").alias("name"), F.count("*").alias("ties"))
+    best = near.groupBy("target").agg(F.min(F.struct("distance", "name", "ties")).alias("best"))
+    return (best.filter("best.ties = 1") if unique else best).select("target", "best.name", F.col("best.distance").cast("long").alias("distance"))
 
 
 def longest_prefix(files: DataFrame, path: str, owners: DataFrame, owner: str) -> DataFrame:
