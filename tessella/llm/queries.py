@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, pii, quality, records, simhash, toxicity
+from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity
 from tessella.llm.common import crc_bucket, read_table, scratch_path
 
 
@@ -119,6 +119,21 @@ def digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of the documents, and what it says of tampered rows."""
+    docs = read_table(spark, sf_dir, "documents")
+    named = lambda n: [F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text")]
+    tampered = F.coalesce(crc_bucket("doc_id", 7) == 0, F.lit(False)) & F.col("n_chars").isNotNull()
+    more = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
+    rows = docs.select("doc_id", "lang", merkle.leaf(*named(F.col("n_chars"))).alias("leaf"), F.when(tampered, merkle.leaf(*named(more))).alias("forged"))
+    built = merkle.build(rows, F.col("lang"), ["doc_id"], F.col("leaf"), ["doc_id", "forged"])
+    folded = built.withColumn("folded_root", merkle.fold(F.coalesce("row.forged", "leaf")))
+    return folded.select(
+        "row.doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository."""
     import corpus_pipeline
@@ -137,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op12_merkle": op12_merkle,
     "pipeline": pipeline,
 }
 
