@@ -98,27 +98,26 @@ def ranked(rows: DataFrame, group: str, order: list[Column]) -> DataFrame:
 def _superblocks(nodes: DataFrame, fanout: int, levels: int) -> list[DataFrame]:
     """Rounds of collapsing nodes (g, idx, n, digest, row) until each group has one node.
 
-    A round holds g, idx, bucket, before, after, row, and ``up`` with digest and n of the bucket's root.
+    A round holds g, idx, bucket, before, after, digest and n of the bucket's root, and the first ``row`` too.
     """
     spark, size, rounds = nodes.sparkSession, fanout**levels, []
-    schema = T.StructType(
-        [
-            nodes.schema["g"], nodes.schema["idx"], nodes.schema["row"], T.StructField("bucket", T.LongType()),
-            *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("before", "after")], T.StructField("digest", T.StringType()), T.StructField("n", T.LongType()),
-        ]
-    )
+    made = [
+        T.StructField("bucket", T.LongType()), *[T.StructField(c, T.ArrayType(T.StringType())) for c in ("before", "after")],
+        T.StructField("digest", T.StringType()), T.StructField("n", T.LongType()),
+    ]
 
     def collapse(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
         n = int(pdf["n"].iloc[0])
         root, before, after = collapse_block(pdf["digest"].tolist(), min(levels, height(n, fanout)), fanout)
-        return pdf[["g", "idx", "row"]].assign(bucket=key[1], before=before, after=after, digest=root, n=-(-n // size))
+        return pdf.drop(columns=["digest", "n"]).assign(bucket=key[1], before=before, after=after, digest=root, n=-(-n // size))
 
     while True:
         path = scratch_path(spark, "merkle")
+        schema = T.StructType([f for f in nodes.schema.fields if f.name not in ("digest", "n")] + made)
         nodes.groupBy("g", F.expr(f"idx div {size}").alias("bucket")).applyInPandas(collapse, schema).write.parquet(path)
         rounds.append(spark.read.schema(schema).parquet(path))
-        nodes = rounds[-1].filter(f"idx % {size} = 0").select("g", F.col("bucket").alias("idx"), "n", "digest", F.lit(None).cast(schema["row"].dataType).alias("row"))
+        nodes = rounds[-1].filter(f"idx % {size} = 0").select("g", F.col("bucket").alias("idx"), "n", "digest")
         if (nodes.agg(F.max("n")).first()[0] or 0) <= 1:
             return rounds
 
