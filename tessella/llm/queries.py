@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity
+from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity, warc
 from tessella.llm.common import crc_bucket, read_table, scratch_path
 
 
@@ -134,6 +134,21 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to web archives, found again by URL through the capture index and read back."""
+    pages, path = read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc")
+    warc.write_archives(pages, path)
+    warc.build_index(spark, path)
+    captures = warc.lookup(spark, path, pages.select(warc.url_key("url")))
+    return warc.fetch(spark, path, captures, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Rows of op13_warc for a table in which no id repeats.
+OP13_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages),
+ f AS (SELECT payload_digest AS digest, min(page_id) AS first FROM p GROUP BY 1)
+ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes<100 OR page_id=first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes>=100 AND page_id<>first THEN first END AS refers_to FROM p JOIN f ON digest=payload_digest"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository."""
     import corpus_pipeline
@@ -153,7 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_merkle": op12_merkle,
+    "op13_warc": op13_warc,
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_warc": OP13_SQL}
