@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity, warc
+from tessella.llm import bpe, conversations, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity, warc
 from tessella.llm.common import crc_bucket, read_table, scratch_path
 
 
@@ -119,6 +119,16 @@ def digest(decoded: DataFrame) -> DataFrame:
     )
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults and the cheapest repair."""
+    given = read_table(spark, sf_dir, "conversations")
+    done = conversations.repair(conversations.damage(given))
+    ids = given.select("conv_id").distinct().withColumn("ck", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")))
+    found = ids.join(done.summary.join(conversations.repaired(done, digests=True), "ck"), "ck", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of the documents, and what it says of tampered rows."""
     docs = read_table(spark, sf_dir, "documents")
@@ -167,6 +177,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_main_text": op8_main_text,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_conversations": op11_conversations,
     "op12_merkle": op12_merkle,
     "op13_warc": op13_warc,
     "pipeline": pipeline,
