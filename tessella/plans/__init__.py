@@ -1,6 +1,6 @@
 """Queries over the test tables, by family; importing this package registers them all."""
 
-from tessella.plans import graph_queries, more_queries, plan_queries, project_queries, site_queries, structure_queries, text_queries  # noqa: F401
+from tessella.plans import compose_queries, graph_queries, more_queries, plan_queries, project_queries, site_queries, structure_queries, text_queries  # noqa: F401
 from tessella.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
