@@ -70,8 +70,7 @@ def symbol_tree(nodes: DataFrame, exported_names: DataFrame, modules: DataFrame)
     for kind, held in CONTAINERS.items():
         may = may.when(F.col("around") == kind, F.col("kind").isin(*held))
     placed = cut(placed.withColumn("fits", F.coalesce(may.otherwise(False), F.lit(False))))
-    chains = cut(_chains(placed))
-    inside = placed.join(chains.filter("whole"), ["file", "node"])
+    inside = placed.join(_chains(placed), ["file", "node"])
     parts = placed.filter("not fits").groupBy("file", F.col("parent").alias("node")).agg(
         _ordered("parameter").alias("parameters"), F.array_distinct(_ordered("heritage")).alias("heritage"), F.get(_ordered("type-ref"), F.lit(0)).alias("type_name")
     )
@@ -110,21 +109,19 @@ def _ordered(kind: str) -> Column:
 
 
 def _chains(placed: DataFrame) -> DataFrame:
-    """file, node, whole (it and all around it fit), path and strict (the strictest visibility) by pointer doubling."""
+    """file, node, path and strict (the strictest visibility) of nodes around which all fit, by pointer doubling."""
     rank = F.when(_visibility() == "private", 2).when(_visibility() == "protected", 1).otherwise(0)
-    state = placed.select(
-        "file", "node", F.col("parent").alias("up"), F.col("fits").alias("whole"), F.array(F.coalesce("name", F.lit(""))).alias("path"), rank.alias("strict"),
-    )
+    front = cut(placed.filter("fits").select("file", "node", F.col("parent").alias("up"), F.array(F.coalesce("name", F.lit(""))).alias("path"), rank.alias("strict")))
+    done = None
     while True:
-        above = state.select("file", F.col("node").alias("up"), F.struct("up", "whole", "path", "strict").alias("a"))
-        state = cut(
-            state.join(above, ["file", "up"], "left").select(
-                "file", "node", F.col("a.up").alias("up"), (F.col("whole") & F.coalesce("a.whole", F.lit(True))).alias("whole"),
-                F.when(F.col("a").isNull(), F.col("path")).otherwise(F.concat("a.path", "path")).alias("path"), F.greatest("strict", F.coalesce("a.strict", F.lit(0))).alias("strict"),
-            )
-        )
-        if state.filter("up is not null and whole").isEmpty():
-            return state.drop("up")
+        ended = front.filter("up is null")
+        done = ended if done is None else cut(done.unionByName(ended))
+        left = front.filter("up is not null")
+        if left.isEmpty():
+            return done.drop("up")
+        above = done.unionByName(left).select("file", F.col("node").alias("up"), F.struct("up", "path", "strict").alias("a"))
+        # a node inside one that does not fit meets nothing and goes
+        front = cut(left.join(above, ["file", "up"]).select("file", "node", F.col("a.up").alias("up"), F.concat("a.path", "path").alias("path"), F.greatest("strict", "a.strict").alias("strict")))
 
 
 def bindings(nodes: DataFrame) -> DataFrame:
