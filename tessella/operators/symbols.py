@@ -176,15 +176,15 @@ def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFram
     """Follows names to the first terminal (module, name, id, ordinal) that their ways in order lead to."""
     own = terminal.groupBy("module", "name").agg(F.min_by("id", "ordinal").alias("id"))
     keys = cut(wanted.select("module", "name").distinct())
-    front, ways = keys, None
+    front = keys
     while True:  # the names that names lead to
-        step = cut(ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null"))
-        ways = step if ways is None else ways.unionByName(step)
+        step = ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null")
         led = step.filter(F.col("target_name") != STAR).select(F.col("target").alias("module"), F.col("target_name").alias("name")).distinct()
         front = cut(led.join(keys, ["module", "name"], "left_anti"))
         if front.isEmpty():
             break
         keys = cut(keys.unionByName(front))
+    ways = ways_of(keys.join(own, ["module", "name"], "left_anti")).filter("target is not null")
     order = Window.partitionBy("module", "name").orderBy("rank", "ordinal", "target", "target_name")
     ways = cut(ways.withColumn("way", F.row_number().over(order)))
     ends = keys.join(own, ["module", "name"]).select("module", "name", "id")
@@ -198,8 +198,8 @@ def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFram
             break
         open_ = cut(open_.unionByName(front))
     lives = open_.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-    whole = F.col("target_name") == STAR
-    live = cut(ways.filter(whole).unionByName(ways.filter(~whole).join(lives, ["target", "target_name"], "left_semi").select(*ways.columns)))
+    met = ways.join(lives.withColumn("alive", F.lit(True)), ["target", "target_name"], "left")
+    live = cut(met.filter((F.col("target_name") == STAR) | F.col("alive")).select(*ways.columns))
     first = live.groupBy("module", "name").agg(F.min_by(F.struct("target", "target_name"), "way").alias("to"))
     named = F.col("to.target_name") == STAR
     state = first.select("module", "name", F.when(named, F.col("to.target")).alias("id"), F.when(~named, F.col("to.target")).alias("to_module"), F.when(~named, F.col("to.target_name")).alias("to_name"))
@@ -249,22 +249,129 @@ def resolve_scope(uses: DataFrame, local: DataFrame, imports: DataFrame, exports
     names come first, then imports in order, then what the module exports or re-exports by name,
     then the scopes of the modules that it passes on whole.
     """
-    tag = lambda df, mark, *columns: df.withColumns({c: F.when(F.col(c) == STAR, F.col(c)).otherwise(F.concat(F.lit(mark), c)) for c in columns})
-    ends = tag(local.select("module", "name", "id", "ordinal"), "s:", "name")
-    for mark in ("x:", "e:"):  # with what stars pass on, and without
-        ends = ends.unionByName(tag(exports.select("module", "name", "id", "ordinal"), mark, "name"))
-    bare = lambda keys, mark: keys.filter(F.col("name").startswith(mark)).withColumn("name", F.substring("name", 3, 1 << 20))
+    marked = lambda df, mark: df.select("module", F.concat(F.lit(mark), "name").alias("name"), "id", "ordinal")
+    ends = marked(local, "s:").unionByName(marked(exports, "e:")).unionByName(marked(exports, "x:"))
+    far = lambda c: F.when(F.col(c) == STAR, F.col(c)).otherwise(F.concat(F.lit("x:"), c)).alias("target_name")
 
     def ways_of(keys: DataFrame) -> DataFrame:
-        scope = bare(keys, "s:")
-        taken = scope.join(imports, ["module", "name"]).select("module", "name", F.lit(0).alias("rank"), "ordinal", "target", "target_name")
-        at = lambda rank: scope.select("module", "name", F.lit(rank).alias("rank"), F.lit(0).alias("ordinal"), F.col("module").alias("target"), F.col("name").alias("target_name"))
-        passed = scope.join(stars, "module").select("module", "name", F.lit(2).alias("rank"), "ordinal", "target", F.col("name").alias("target_name"))
-        return (
-            tag(tag(taken, "x:", "target_name"), "s:", "name").unionByName(tag(tag(at(1), "e:", "target_name"), "s:", "name")).unionByName(tag(tag(passed, "s:", "target_name"), "s:", "name"))
-            .unionByName(tag(tag(_passed_on(bare(keys, "e:"), renames, None), "x:", "target_name"), "e:", "name"))
-            .unionByName(tag(tag(_passed_on(bare(keys, "x:"), renames, stars), "x:", "target_name"), "x:", "name"))
-        )
-
-    got = _resolve(tag(uses.select("module", "name"), "s:", "name"), ends, ways_of)
-    return uses.join(got.withColumn("name", F.substring("name", 3, 1 << 20)), ["module", "name"], "left")
+        # s: in scope; x: as exported; e: as exported, but not over stars
+        k = keys.select("module", F.col("name").alias("full"), F.substring("name", 1, 2).alias("mode"), F.substring("name", 3, 1 << 20).alias("name"))
+        made = lambda df, rank, ordinal, target, name: df.select("module", F.col("full").alias("name"), F.lit(rank).alias("rank"), ordinal.alias("ordinal"), target.alias("target"), name.alias("target_name"))
+        scope, out = k.filter("mode = 's:'"), k.filter("mode <> 's:' and name <> 'default'")
+        taken = made(scope.join(imports, ["module", "name"]), 0, F.col("ordinal"), F.col("target"), far("target_name"))
+        own = made(scope, 1, F.lit(0), F.col("module"), F.concat(F.lit("e:"), "name"))
+        renamed = made(out.join(renames, ["module", "name"]), 0, F.col("ordinal"), F.col("target"), far("target_name"))
+        passed = made(scope.unionByName(out.filter("mode = 'x:'")).join(stars, "module"), 2, F.col("ordinal"), F.col("target"), F.col("full"))
+        return taken.unionByName(own).unionByName(renamed).unionByName(passed)
+
+    got = _resolve(uses.select("module", F.concat(F.lit("s:"), "name").alias("name")), ends, ways_of)
+    return uses.join(got.select("module", F.substring("name", 3, 1 << 20).alias("name"), "id"), ["module", "name"], "left")
+
+
+def resolve_dotted_scope(uses: DataFrame, symbols: DataFrame, **scope: DataFrame) -> DataFrame:
+    """Each use (module, name) of a dotted name with its ``id``: the first part by scope, then member by member.
+
+    ``symbols``: id, parent (a symbol or a module), name, ordinal; the first member of a name counts.
+    ``scope``: the tables of :func:`resolve_scope`.
+    """
+    parts = F.split("name", r"\.")
+    u = uses.select("module", "name").distinct().withColumn("parts", parts)
+    heads = u.select("module", F.get("parts", F.lit(0)).alias("name")).distinct()
+    found = resolve_scope(heads, **scope).select("module", F.col("name").alias("head"), "id")
+    state = cut(u.withColumn("head", F.get("parts", F.lit(0))).join(found, ["module", "head"], "left").select("module", "name", "parts", "id"))
+    members = symbols.groupBy("parent", F.col("name").alias("part")).agg(F.min_by("id", "ordinal").alias("member"))
+    longest = state.agg(F.max(F.size("parts"))).first()[0] or 0
+    for k in range(1, longest):
+        deep = state.filter(F.size("parts") > k).withColumns({"part": F.get("parts", F.lit(k)), "parent": F.col("id")}).join(members, ["parent", "part"], "left")
+        state = cut(state.filter(F.size("parts") <= k).unionByName(deep.select("module", "name", "parts", F.col("member").alias("id"))))
+    return uses.join(state.select("module", "name", "id"), ["module", "name"], "left")
+
+
+#: What a class or interface takes from a target of a kind.
+HERITAGE = {"class": "extends", "interface": "implements"}
+
+
+def reference_edges(
+    symbols: DataFrame, imports: DataFrame, import_names: DataFrame, exported: DataFrame, aliases: DataFrame, reexports: DataFrame,
+    packages: DataFrame, dependencies: DataFrame, defaults: DataFrame,
+) -> DataFrame:
+    """References between symbols: id, kind, from_id, name, specifier, to_id, to_file.
+
+    A module's id is its name. ``symbols``: module, id, parent (a symbol or the module), kind, name,
+    ordinal, exported, heritage, type_name. ``imports``: module, specifier, target (null: not of the
+    project), target_file. ``import_names``: module, ordinal, local_name, other_name, specifier, target.
+    ``exported``: module, name. ``aliases``: module, exported_name, local_name. ``reexports``: module,
+    ordinal, specifier, name (null: everything), other_name, target, target_file. ``packages``: name,
+    main, workspace. ``dependencies``: package, dependency, type. ``defaults``: module, id, ordinal.
+
+    Kinds: import, import-name, workspace or package, export, alias, re-export, heritage and with it
+    extends or implements, type-use, ownership, containment, dependency. Names are resolved over
+    re-exports, in one pass for all edges that need it.
+    """
+    top = symbols.filter(F.col("parent") == F.col("module"))
+    local = top.select("module", "name", "id", "ordinal")
+    by_alias = aliases.join(local.select("module", F.col("name").alias("local_name"), "id", "ordinal"), ["module", "local_name"])
+    own = top.filter("exported").select("module", "name", "id", "ordinal").unionByName(by_alias.select("module", F.col("exported_name").alias("name"), "id", (F.col("ordinal") + (1 << 30)).alias("ordinal")))
+    own = cut(own.unionByName(defaults.select("module", F.lit("default").alias("name"), "id", "ordinal")))
+    renames = reexports.filter("name is not null").select("module", "name", "ordinal", "target", F.col("other_name").alias("target_name"))
+    stars = reexports.filter("name is null and target is not null").select("module", "ordinal", "target")
+    wanted = [
+        import_names.filter("target is not null").select(F.col("target").alias("module"), F.col("other_name").alias("name")), exported.select("module", "name"),
+        aliases.select("module", F.col("local_name").alias("name")), renames.filter("target is not null").select(F.col("target").alias("module"), F.col("target_name").alias("name")),
+    ]
+    asked = wanted[0]
+    for w in wanted[1:]:
+        asked = asked.unionByName(w)
+    got = cut(resolve_exports(asked.filter(F.col("name") != STAR), own, renames, stars))
+    at = lambda module, name: got.select(F.col("module").alias(module), F.col("name").alias(name), F.col("id").alias("to_id"))
+    none = F.lit(None).cast("string")
+
+    def edge(df: DataFrame, kind: Column | str, from_id: str, **given: Column | str) -> DataFrame:
+        cols = {c: given.get(c, none) for c in ("name", "specifier", "to_id", "to_file")}
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return df.select(kind.alias("kind"), F.col(from_id).alias("from_id"), *[X.col(v).alias(c) for c, v in cols.items()])
+
+    whole = lambda df, name: F.when(F.col(name) == STAR, F.col("target")).otherwise(F.col("to_id"))
+    bare = imports.select("module", "specifier").distinct().filter(~F.col("specifier").rlike(r"^[./]")).withColumn("package", X.package_name("specifier"))
+    known = bare.join(packages.select(F.col("name").alias("package"), "main", "workspace"), "package", "left")
+    uses = top.filter("kind in ('class', 'interface')").select("module", "id", "kind", F.explode("heritage").alias("name"), F.lit("heritage").alias("use"))
+    uses = uses.unionByName(top.filter("kind = 'type-alias' and type_name is not null").select("module", "id", "kind", F.col("type_name").alias("name"), F.lit("type-use").alias("use")))
+    scope_imports = import_names.select("module", F.col("local_name").alias("name"), "ordinal", "target", F.col("other_name").alias("target_name"))
+    led = resolve_dotted_scope(uses.select("module", "name").distinct(), symbols, local=local, imports=scope_imports, exports=own, renames=renames, stars=stars)
+    met = cut(uses.join(led.select("module", "name", F.col("id").alias("to_id")), ["module", "name"], "left").join(symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind")), "to_id", "left"))
+    special = F.coalesce(*[F.when(F.col("to_kind") == k, v) for k, v in HERITAGE.items()])
+    edges = [
+        edge(imports.select("module", "specifier", "target", "target_file").distinct(), "import", "module", specifier="specifier", to_id="target", to_file="target_file"),
+        edge(import_names.join(at("target", "other_name"), ["target", "other_name"], "left").withColumn("to_id", whole(import_names, "other_name")), "import-name", "module", name="local_name", specifier="specifier", to_id="to_id"),
+        edge(known, F.when(F.coalesce("workspace", F.lit(False)), "workspace").otherwise("package"), "module", specifier="specifier", to_file=F.when(~F.col("workspace"), F.col("main"))),
+        edge(exported.join(at("module", "name"), ["module", "name"], "left"), "export", "module", name="name", to_id="to_id"),
+        edge(aliases.join(at("module", "local_name"), ["module", "local_name"], "left"), "alias", "module", name="exported_name", to_id="to_id"),
+        edge(reexports.filter("name is null"), "re-export", "module", specifier="specifier", to_id="target", to_file="target_file"),
+        edge(reexports.filter("name is not null").join(at("target", "other_name"), ["target", "other_name"], "left").withColumn("to_id", whole(reexports, "other_name")), "re-export", "module", name="name", specifier="specifier", to_id="to_id"),
+        edge(met, F.col("use"), "id", name="name", to_id="to_id"),
+        edge(met.filter((F.col("use") == "heritage") & special.isNotNull()), special, "id", name="name", to_id="to_id"),
+        edge(symbols, "ownership", "parent", to_id="id"),
+        edge(symbols, "containment", "parent", to_id="id"),
+        edge(dependencies.join(packages.select(F.col("name").alias("dependency"), F.lit(True).alias("known")), "dependency", "left"), "dependency", "package", name="dependency", specifier="type", to_file=F.when(F.col("known"), F.col("dependency"))),
+    ]
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    key = F.concat_ws("\x00", "kind", "from_id", F.coalesce("name", F.lit("")), F.coalesce("specifier", F.lit("")), F.when(F.col("kind").isin("ownership", "containment"), F.col("to_id")))
+    return out.withColumn("id", F.concat("kind", F.lit(":"), X.hash16(key)))
+
+
+def symbol_graph(symbols: DataFrame, imports: DataFrame, reexports: DataFrame) -> DataFrame:
+    """Relations of symbols: from_id, kind, to_id.
+
+    Every symbol is declared-in its module and, where it has a parent symbol, nested-inside that; a
+    parent owns its children; an exported top symbol is exported-by its module; modules import and
+    re-export modules of the project. The same relation is given once.
+    """
+    inner = symbols.filter(F.col("parent") != F.col("module"))
+    rows = lambda df, a, kind, b: df.select(F.col(a).alias("from_id"), F.lit(kind).alias("kind"), F.col(b).alias("to_id"))
+    out = rows(symbols, "id", "declared-in", "module").unionByName(rows(symbols, "parent", "owns", "id")).unionByName(rows(inner, "id", "nested-inside", "parent"))
+    out = out.unionByName(rows(symbols.filter((F.col("parent") == F.col("module")) & F.col("exported")), "id", "exported-by", "module"))
+    for df, kind in ((imports, "imports"), (reexports, "re-exports")):
+        out = out.unionByName(rows(df.filter("target is not null"), "module", kind, "target"))
+    return out.distinct()

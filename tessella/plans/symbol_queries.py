@@ -125,3 +125,72 @@ _PATHS = f"""WITH RECURSIVE {_TABLES},
 @query("jn07_scopes", _PATHS + "SELECT sm AS module, sn AS name, min_by(CASE WHEN p.name='*' THEN p.module ELSE o.id END, turns) AS id FROM p LEFT JOIN own o ON o.module=p.module AND o.name=p.name WHERE p.name='*' OR o.id IS NOT NULL GROUP BY ALL")
 def _scopes(spark, d):
     return S.resolve_exports(_wanted(spark, d), *_scope_tables(spark, d))
+
+
+# symbols, imports and packages of the same modules
+_SYMBOLS = [
+    (0, "a", 0, "class", "", True), (0, "a", 1, "interface", "", True), (0, "K", 2, "class", "a,nothing", True), (1, "K", 0, "class", "b,c", True), (2, "K", 0, "class", "ns.a,ns.a.deep,x.y", False),
+    (3, "K", 0, "interface", "c,K,ns.K", True), (4, "K", 0, "class", "c,imported,all.q", True), (5, "q2", 0, "function", "", True), (7, "c", 0, "interface", "", True), (8, "T", 0, "type-alias", "c", True), (9, "q", 0, "function", "", True),
+]
+_IMPORT_NAMES = [(4, 0, "imported", "c", "./m3", 3), (4, 1, "all", "*", "./m9", 9), (4, 2, "dflt", "default", "./m0", 0), (4, 3, "lost", "zip", "./m0", 0), (1, 0, "c", "c", "./m2", 2)]
+_BARE = [(1, "lodash/fp"), (2, "@corp/tools/x"), (3, "unknown-package"), (4, "react")]
+_ALIASES = [(7, "c2", "c"), (9, "out", "q"), (9, "bad", "nope")]
+_EDGE_TABLES = f"""sy AS (SELECT module, concat(module, '#', name, ordinal) AS id, module AS parent, kind, name, ordinal, exported, CASE WHEN kind IN ('class','interface') THEN heritage ELSE '' END AS heritage, CASE WHEN kind = 'type-alias' THEN heritage END AS type_name FROM ({_modules(_SYMBOLS, 'name ordinal kind heritage exported')})
+  UNION ALL SELECT module, concat(module, '#a0#deep'), concat(module, '#a0'), 'class', 'deep', 0, true, '', NULL FROM ({_modules([(0, 1)], 'one')})),
+ im AS (SELECT module, ordinal, local_name, other_name, specifier, CAST(base + t AS varchar(20)) AS target FROM ({_modules(_IMPORT_NAMES, 'ordinal local_name other_name specifier t')})),
+ ip AS (SELECT DISTINCT module, specifier, target, concat('f', target) AS target_file FROM im UNION ALL SELECT module, specifier, NULL, NULL FROM ({_modules(_BARE, 'specifier')})),
+ al AS (SELECT module, exported_name, local_name FROM ({_modules(_ALIASES, 'exported_name local_name')})),
+ re AS (SELECT module, ordinal, concat('./m', t) AS specifier, name, target_name AS other_name, CAST(base + t AS varchar(20)) AS target, concat('f', CAST(base + t AS varchar(20))) AS target_file FROM ({_modules(_RENAMES, 'name ordinal t target_name')})
+  UNION ALL SELECT module, ordinal, concat('./m', t), NULL, NULL, CAST(base + t AS varchar(20)), concat('f', CAST(base + t AS varchar(20))) FROM ({_modules(_STARS, 'ordinal t')})),
+ pk AS (SELECT * FROM (VALUES ('lodash', 'lodash.js', false), ('@corp/tools', 'tools.js', true), ('app', 'app.js', true)) p(name, main, workspace)),
+ dp AS (SELECT * FROM (VALUES ('app', 'lodash', 'runtime'), ('app', 'vitest', 'dev')) p(package, dependency, type)),
+ df AS (SELECT module, concat(module, '#a0') AS id, 0 AS ordinal FROM ({_modules([(0, 1)], 'one')})),
+ xp AS (SELECT DISTINCT module, name FROM sy WHERE exported AND parent = module)"""
+
+
+def _edge_tables(spark, d):
+    docs = table(spark, d, "documents").select("doc_id")
+    get = lambda n: spark.sql(f"WITH {_EDGE_TABLES} SELECT * FROM {n}".replace("FROM documents", "FROM {t}").replace("varchar(20)", "string"), t=docs)
+    s = get("sy").withColumn("heritage", F.when(F.col("heritage") == "", F.array().cast("array<string>")).otherwise(F.split("heritage", ",")))
+    return {"symbols": s, "imports": get("ip"), "import_names": get("im"), "exported": get("xp"), "aliases": get("al"), "reexports": get("re"), "packages": get("pk"), "dependencies": get("dp"), "defaults": get("df")}
+
+
+# modes of a name: s in scope, x as exported, e as exported but not over stars; the first path wins
+_EDGES = f"""WITH RECURSIVE {_EDGE_TABLES},
+ own AS (SELECT module, name, id, ordinal FROM sy WHERE parent=module AND exported UNION ALL SELECT al.module, exported_name, id, ordinal+1000000 FROM al JOIN sy ON sy.module=al.module AND sy.name=al.local_name AND sy.parent=sy.module UNION ALL SELECT module, 'default', id, ordinal FROM df),
+ fin AS (SELECT 's' AS mode, module, name, min_by(id, ordinal) AS id FROM sy WHERE parent=module GROUP BY ALL UNION ALL SELECT m, module, name, min_by(id, ordinal) FROM own, (VALUES ('x'),('e')) v(m) GROUP BY ALL),
+ u AS (SELECT module, id, name, 'heritage' AS kind FROM (SELECT module, id, unnest(string_split(heritage, ',')) AS name FROM sy WHERE parent=module AND heritage<>'') UNION ALL SELECT module, id, type_name, 'type-use' FROM sy WHERE type_name IS NOT NULL),
+ ask AS (SELECT 's' AS mode, module, split_part(name,'.',1) AS name FROM u UNION SELECT 'x', target, other_name FROM im WHERE other_name<>'*' UNION SELECT 'x', module, name FROM xp UNION SELECT 'x', module, local_name FROM al UNION SELECT 'x', target, other_name FROM re WHERE name IS NOT NULL AND other_name<>'*'),
+ p AS (SELECT mode AS am, module AS amod, name AS an, mode, module, name, [mode||module||'/'||name] AS seen, CAST([] AS int[]) AS turns FROM ask
+  UNION ALL SELECT am, amod, an, w.m2, w.target, w.target_name, list_append(seen, w.m2||w.target||'/'||w.target_name), turns||[w.rank, w.ordinal] FROM p LEFT JOIN fin ON fin.mode=p.mode AND fin.module=p.module AND fin.name=p.name
+   JOIN LATERAL (SELECT 0 AS rank, ordinal, 'x' AS m2, target, other_name AS target_name FROM im WHERE p.mode='s' AND im.module=p.module AND im.local_name=p.name
+     UNION ALL SELECT 1, 0, 'e', p.module, p.name WHERE p.mode='s' UNION ALL SELECT 2, ordinal, 's', target, p.name FROM re WHERE p.mode='s' AND re.module=p.module AND re.name IS NULL
+     UNION ALL SELECT 0, ordinal, 'x', target, other_name FROM re WHERE p.mode IN ('e','x') AND p.name<>'default' AND re.module=p.module AND re.name=p.name
+     UNION ALL SELECT 1, ordinal, 'x', target, p.name FROM re WHERE p.mode='x' AND p.name<>'default' AND re.module=p.module AND re.name IS NULL) w ON true
+   WHERE fin.id IS NULL AND p.name<>'*' AND NOT list_contains(seen, w.m2||w.target||'/'||w.target_name)),
+ got AS (SELECT am AS mode, amod AS module, an AS name, min_by(CASE WHEN p.name='*' THEN p.module ELSE fin.id END, turns) AS id FROM p LEFT JOIN fin ON fin.mode=p.mode AND fin.module=p.module AND fin.name=p.name WHERE p.name='*' OR fin.id IS NOT NULL GROUP BY ALL),
+ dot AS (SELECT u.*, g.id AS cur, 2 AS k FROM u LEFT JOIN got g ON g.mode='s' AND g.module=u.module AND g.name=split_part(u.name,'.',1)
+  UNION ALL SELECT dot.module, dot.id, dot.name, dot.kind, (SELECT min_by(c.id, c.ordinal) FROM sy c WHERE c.parent=dot.cur AND c.name=split_part(dot.name,'.',dot.k)), dot.k+1 FROM dot WHERE split_part(dot.name,'.',dot.k)<>''),
+ h AS (SELECT module, id, name, kind, max_by(struct_pack(c:=cur), k).c AS to_id FROM dot GROUP BY ALL),
+ e AS (SELECT DISTINCT 'import' AS kind, module AS from_id, NULL AS name, specifier, target AS to_id, target_file AS to_file FROM ip
+  UNION ALL SELECT 'import-name', im.module, local_name, specifier, CASE WHEN other_name='*' THEN target ELSE g.id END, NULL FROM im LEFT JOIN got g ON g.mode='x' AND g.module=target AND g.name=other_name
+  UNION ALL SELECT CASE WHEN specifier LIKE '@corp/%' THEN 'workspace' ELSE 'package' END, module, NULL, specifier, NULL, CASE WHEN specifier LIKE 'lodash%' THEN 'lodash.js' END FROM ip WHERE specifier NOT LIKE './%'
+  UNION ALL SELECT 'export', xp.module, xp.name, NULL, g.id, NULL FROM xp LEFT JOIN got g ON g.mode='x' AND g.module=xp.module AND g.name=xp.name
+  UNION ALL SELECT 'alias', al.module, exported_name, NULL, g.id, NULL FROM al LEFT JOIN got g ON g.mode='x' AND g.module=al.module AND g.name=local_name
+  UNION ALL SELECT 're-export', re.module, re.name, specifier, CASE WHEN re.name IS NULL OR other_name='*' THEN target ELSE g.id END, CASE WHEN re.name IS NULL THEN target_file END FROM re LEFT JOIN got g ON g.mode='x' AND g.module=target AND g.name=other_name
+  UNION ALL SELECT kind, id, name, NULL, to_id, NULL FROM h
+  UNION ALL SELECT CASE s.kind WHEN 'class' THEN 'extends' ELSE 'implements' END, h.id, h.name, NULL, to_id, NULL FROM h JOIN sy s ON s.id=h.to_id WHERE h.kind='heritage' AND s.kind IN ('class','interface')
+  UNION ALL SELECT k, parent, NULL, NULL, id, NULL FROM sy, (VALUES ('ownership'),('containment')) v(k)
+  UNION ALL SELECT 'dependency', package, dependency, type, NULL, CASE WHEN dependency='lodash' THEN 'lodash' END FROM dp)"""
+
+
+@query("gr01_reference_edges", _EDGES + " SELECT * FROM e")
+def _reference_edges(spark, d):
+    return S.reference_edges(**_edge_tables(spark, d)).drop("id")
+
+
+@query("gr21_symbol_graph", f"""WITH {_EDGE_TABLES} SELECT DISTINCT * FROM (SELECT id AS from_id, 'declared-in' AS kind, module AS to_id FROM sy UNION ALL SELECT parent, 'owns', id FROM sy UNION ALL SELECT id, 'nested-inside', parent FROM sy WHERE parent<>module UNION ALL SELECT id, 'exported-by', module FROM sy WHERE parent=module AND exported
+ UNION ALL SELECT module, 'imports', target FROM ip WHERE target IS NOT NULL UNION ALL SELECT module, 're-exports', target FROM re)""")
+def _symbol_graph(spark, d):
+    t = _edge_tables(spark, d)
+    return S.symbol_graph(t["symbols"], t["imports"], t["reexports"])
