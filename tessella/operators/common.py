@@ -3,19 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the session names; a temporary one in a local session without any."""
-    spark = df.sparkSession
+def _shared_dir(spark: SparkSession) -> str:
+    """The folder that the session names for checkpoints, set in its context; a temporary one in a local session without any."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local["):
+            if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tessella-")
         context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the shared folder."""
+    _shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, its lineage cut.
+
+    Where rounds join what earlier rounds left, this and not :func:`cut`: a checkpoint
+    keeps the estimated size of its plan, which every join multiplies, until the number
+    alone fills the driver; a table has the size of its files.
+    """
+    path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.common import cut
+from tessella.operators.common import written
 from tessella.operators.similarity import rename_similarity
 
 #: Least similarity of a rename.
@@ -72,7 +72,7 @@ def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
     """Pairs (old, new, score) of names (column ``name`` of each) with a similarity of ``SIMILAR`` or more."""
     side = lambda df, mark: df.select("name").distinct().withColumn("side", F.lit(mark))
     both = side(old, 0).unionByName(side(new, 1))
-    offers = cut(_offers(both.select("name").distinct()))
+    offers = written(_offers(both.select("name").distinct()))
     a = offers.join(old.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("old"), F.length("low").alias("la"), "gram")
     b = offers.join(new.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("new"), F.length("low").alias("lb"), "gram")
     close = (F.abs(F.col("la") - F.col("lb")) * 3 <= F.greatest("la", "lb")) | F.col("gram").startswith("p")
@@ -88,20 +88,20 @@ def match_in_order(pairs: DataFrame) -> DataFrame:
     earlier one; what others wanted of it is struck out. That ends where taking in turn
     does, in rounds that each treat all names at once.
     """
-    left = cut(pairs.select("old", "old_at", "new", "new_at", "score"))
+    left = written(pairs.select("old", "old_at", "new", "new_at", "score"))
     while True:
         best = left.groupBy("old").agg(F.max_by(F.struct("old_at", "new"), F.struct("score", -F.col("new_at"))).alias("b"))
-        held = cut(best.groupBy(F.col("b.new").alias("new")).agg(F.min("b.old_at").alias("holder"), F.count("*").alias("n")))
+        held = written(best.groupBy(F.col("b.new").alias("new")).agg(F.min("b.old_at").alias("holder"), F.count("*").alias("n")))
         if held.filter("n > 1").isEmpty():
             return left.join(held.select("new", F.col("holder").alias("old_at")), ["new", "old_at"]).select("old", "new", "score")
-        left = cut(left.join(held.select("new", "holder"), "new", "left").filter("holder is null or old_at <= holder").select("old", "old_at", "new", "new_at", "score"))
+        left = written(left.join(held.select("new", "holder"), "new", "left").filter("holder is null or old_at <= holder").select("old", "old_at", "new", "new_at", "score"))
 
 
 def detect_renames(before: DataFrame, after: DataFrame) -> DataFrame:
     """change (renamed, added, removed), old, new of two lists of names (name, at); of equal names the first counts."""
     first = lambda df: df.groupBy("name").agg(F.min("at").alias("at"))
     b, a = first(before), first(after)
-    gone, fresh = cut(b.join(a, "name", "left_anti")), cut(a.join(b, "name", "left_anti"))
+    gone, fresh = written(b.join(a, "name", "left_anti")), written(a.join(b, "name", "left_anti"))
     pairs = similar_names(gone, fresh).join(gone.select(F.col("name").alias("old"), F.col("at").alias("old_at")), "old").join(fresh.select(F.col("name").alias("new"), F.col("at").alias("new_at")), "new")
     pairs = match_in_order(pairs)
     none = F.lit(None).cast("string")

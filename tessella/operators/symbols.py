@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators.common import cut
+from tessella.operators.common import written
 
 # Kinds of symbols, by what they may contain.
 CALLABLE = ("function", "method", "constructor", "getter", "setter")
@@ -69,7 +69,7 @@ def symbol_tree(nodes: DataFrame, exported_names: DataFrame, modules: DataFrame)
     may = F.when(F.col("parent").isNull(), F.col("kind").isin(*DECLARATIONS))
     for kind, held in CONTAINERS.items():
         may = may.when(F.col("around") == kind, F.col("kind").isin(*held))
-    placed = cut(placed.withColumn("fits", F.coalesce(may.otherwise(False), F.lit(False))))
+    placed = written(placed.withColumn("fits", F.coalesce(may.otherwise(False), F.lit(False))))
     inside = placed.join(_chains(placed), ["file", "node"])
     parts = placed.filter("not fits").groupBy("file", F.col("parent").alias("node")).agg(
         _ordered("parameter").alias("parameters"), F.array_distinct(_ordered("heritage")).alias("heritage"), F.get(_ordered("type-ref"), F.lit(0)).alias("type_name")
@@ -111,17 +111,17 @@ def _ordered(kind: str) -> Column:
 def _chains(placed: DataFrame) -> DataFrame:
     """file, node, path and strict (the strictest visibility) of nodes around which all fit, by pointer doubling."""
     rank = F.when(_visibility() == "private", 2).when(_visibility() == "protected", 1).otherwise(0)
-    front = cut(placed.filter("fits").select("file", "node", F.col("parent").alias("up"), F.array(F.coalesce("name", F.lit(""))).alias("path"), rank.alias("strict")))
+    front = written(placed.filter("fits").select("file", "node", F.col("parent").alias("up"), F.array(F.coalesce("name", F.lit(""))).alias("path"), rank.alias("strict")))
     done = None
     while True:
         ended = front.filter("up is null")
-        done = ended if done is None else cut(done.unionByName(ended))
+        done = ended if done is None else written(done.unionByName(ended))
         left = front.filter("up is not null")
         if left.isEmpty():
             return done.drop("up")
         above = done.unionByName(left).select("file", F.col("node").alias("up"), F.struct("up", "path", "strict").alias("a"))
         # a node inside one that does not fit meets nothing and goes
-        front = cut(left.join(above, ["file", "up"]).select("file", "node", F.col("a.up").alias("up"), F.concat("a.path", "path").alias("path"), F.greatest("strict", "a.strict").alias("strict")))
+        front = written(left.join(above, ["file", "up"]).select("file", "node", F.col("a.up").alias("up"), F.concat("a.path", "path").alias("path"), F.greatest("strict", "a.strict").alias("strict")))
 
 
 def bindings(nodes: DataFrame) -> DataFrame:
@@ -175,47 +175,46 @@ def _passed_on(keys: DataFrame, renames: DataFrame, stars: DataFrame | None) ->
 def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Follows names to the first terminal (module, name, id, ordinal) that their ways in order lead to."""
     own = terminal.groupBy("module", "name").agg(F.min_by("id", "ordinal").alias("id"))
-    keys = cut(wanted.select("module", "name").distinct())
+    keys = written(wanted.select("module", "name").distinct())
     front = keys
     while True:  # the names that names lead to
         step = ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null")
         led = step.filter(F.col("target_name") != STAR).select(F.col("target").alias("module"), F.col("target_name").alias("name")).distinct()
-        front = cut(led.join(keys, ["module", "name"], "left_anti"))
+        front = written(led.join(keys, ["module", "name"], "left_anti"))
         if front.isEmpty():
             break
-        keys = cut(keys.unionByName(front))
+        keys = written(keys.unionByName(front))
     ways = ways_of(keys.join(own, ["module", "name"], "left_anti")).filter("target is not null")
     order = Window.partitionBy("module", "name").orderBy("rank", "ordinal", "target", "target_name")
-    ways = cut(ways.withColumn("way", F.row_number().over(order)))
+    ways = written(ways.withColumn("way", F.row_number().over(order)))
     ends = keys.join(own, ["module", "name"]).select("module", "name", "id")
     # names that lead somewhere, from the ends back
-    open_ = cut(ends.select("module", "name").unionByName(ways.filter(F.col("target_name") == STAR).select("module", "name")).distinct())
+    open_ = written(ends.select("module", "name").unionByName(ways.filter(F.col("target_name") == STAR).select("module", "name")).distinct())
     front = open_
     while True:
         back = front.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-        front = cut(ways.join(back, ["target", "target_name"]).select("module", "name").distinct().join(open_, ["module", "name"], "left_anti"))
+        front = written(ways.join(back, ["target", "target_name"]).select("module", "name").distinct().join(open_, ["module", "name"], "left_anti"))
         if front.isEmpty():
             break
-        open_ = cut(open_.unionByName(front))
+        open_ = written(open_.unionByName(front))
     lives = open_.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
     met = ways.join(lives.withColumn("alive", F.lit(True)), ["target", "target_name"], "left")
-    live = cut(met.filter((F.col("target_name") == STAR) | F.col("alive")).select(*ways.columns))
+    live = written(met.filter((F.col("target_name") == STAR) | F.col("alive")).select(*ways.columns))
     first = live.groupBy("module", "name").agg(F.min_by(F.struct("target", "target_name"), "way").alias("to"))
     named = F.col("to.target_name") == STAR
     state = first.select("module", "name", F.when(named, F.col("to.target")).alias("id"), F.when(~named, F.col("to.target")).alias("to_module"), F.when(~named, F.col("to.target_name")).alias("to_name"))
     none = F.lit(None).cast("string")
-    state = cut(state.unionByName(ends.select("module", "name", "id", none.alias("to_module"), none.alias("to_name"))))
-    left, reach = state.filter("id is null").count(), 1
-    while left and reach <= 2 * left:  # beyond that only circles are left
+    state = written(state.unionByName(ends.select("module", "name", "id", none.alias("to_module"), none.alias("to_name"))))
+    left, before = state.filter("id is null").count(), None
+    while left and left != before:  # a round that ends no chain leaves only circles and what leads into them
         ahead = state.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), F.col("id").alias("id2"), F.col("to_module").alias("m2"), F.col("to_name").alias("n2"))
         met = state.join(ahead, ["to_module", "to_name"], "left")
-        state = cut(met.select("module", "name", F.coalesce("id", "id2").alias("id"), F.when(F.col("id2").isNull(), F.col("m2")).alias("to_module"), F.when(F.col("id2").isNull(), F.col("n2")).alias("to_name")))
-        reach *= 2
-        left = state.filter("id is null").count()
+        state = written(met.select("module", "name", F.coalesce("id", "id2").alias("id"), F.when(F.col("id2").isNull(), F.col("m2")).alias("to_module"), F.when(F.col("id2").isNull(), F.col("n2")).alias("to_name")))
+        left, before = state.filter("id is null").count(), left
     asked = wanted.select("module", "name").distinct()
     found = state.filter("id is not null").select("module", "name", "id")
     if left:
-        circling = cut(state.filter("id is null").select("module", "name").join(asked, ["module", "name"], "left_semi"))
+        circling = written(state.filter("id is null").select("module", "name").join(asked, ["module", "name"], "left_semi"))
         if not circling.isEmpty():
             found = found.unionByName(_first_paths(circling, live, ends))
     return asked.join(found, ["module", "name"])
@@ -230,15 +229,15 @@ def _first_paths(starts: DataFrame, live: DataFrame, ends: DataFrame) -> DataFra
     while True:
         step = paths.join(live, ["module", "name"]).select("s", F.col("target").alias("module"), F.col("target_name").alias("name"), "seen", F.concat("turns", F.array("way")).alias("turns"))
         step = step.filter(~F.array_contains("seen", key)).withColumn("seen", F.concat("seen", F.array(key)))
-        met = cut(step.join(ends, ["module", "name"], "left").withColumn("end", F.when(F.col("name") == STAR, F.col("module")).otherwise(F.col("end"))))
+        met = written(step.join(ends, ["module", "name"], "left").withColumn("end", F.when(F.col("name") == STAR, F.col("module")).otherwise(F.col("end"))))
         hits = met.filter("end is not null").select("s", "turns", "end")
         done = hits if done is None else done.unionByName(hits)
         best = done.groupBy("s").agg(F.min("turns").alias("best"))
         # a path that parts from the best one on a later way cannot come first
-        paths = cut(met.filter("end is null").drop("end").join(best, "s", "left").filter("best is null or turns < best").drop("best"))
+        paths = written(met.filter("end is null").drop("end").join(best, "s", "left").filter("best is null or turns < best").drop("best"))
         if paths.isEmpty():
             return done.groupBy("s").agg(F.min_by("end", "turns").alias("id")).select("s.module", "s.name", "id")
-        done = cut(done)
+        done = written(done)
 
 
 def resolve_scope(uses: DataFrame, local: DataFrame, imports: DataFrame, exports: DataFrame, renames: DataFrame, stars: DataFrame) -> DataFrame:
@@ -278,12 +277,12 @@ def resolve_dotted_scope(uses: DataFrame, symbols: DataFrame, **scope: DataFrame
     u = uses.select("module", "name").distinct().withColumn("parts", parts)
     heads = u.select("module", F.get("parts", F.lit(0)).alias("name")).distinct()
     found = resolve_scope(heads, **scope).select("module", F.col("name").alias("head"), "id")
-    state = cut(u.withColumn("head", F.get("parts", F.lit(0))).join(found, ["module", "head"], "left").select("module", "name", "parts", "id"))
+    state = written(u.withColumn("head", F.get("parts", F.lit(0))).join(found, ["module", "head"], "left").select("module", "name", "parts", "id"))
     members = symbols.groupBy("parent", F.col("name").alias("part")).agg(F.min_by("id", "ordinal").alias("member"))
     longest = state.agg(F.max(F.size("parts"))).first()[0] or 0
     for k in range(1, longest):
         deep = state.filter(F.size("parts") > k).withColumns({"part": F.get("parts", F.lit(k)), "parent": F.col("id")}).join(members, ["parent", "part"], "left")
-        state = cut(state.filter(F.size("parts") <= k).unionByName(deep.select("module", "name", "parts", F.col("member").alias("id"))))
+        state = written(state.filter(F.size("parts") <= k).unionByName(deep.select("module", "name", "parts", F.col("member").alias("id"))))
     return uses.join(state.select("module", "name", "id"), ["module", "name"], "left")
 
 
@@ -312,7 +311,7 @@ def reference_edges(
     local = top.select("module", "name", "id", "ordinal")
     by_alias = aliases.join(local.select("module", F.col("name").alias("local_name"), "id", "ordinal"), ["module", "local_name"])
     own = top.filter("exported").select("module", "name", "id", "ordinal").unionByName(by_alias.select("module", F.col("exported_name").alias("name"), "id", (F.col("ordinal") + (1 << 30)).alias("ordinal")))
-    own = cut(own.unionByName(defaults.select("module", F.lit("default").alias("name"), "id", "ordinal")))
+    own = written(own.unionByName(defaults.select("module", F.lit("default").alias("name"), "id", "ordinal")))
     renames = reexports.filter("name is not null").select("module", "name", "ordinal", "target", F.col("other_name").alias("target_name"))
     stars = reexports.filter("name is null and target is not null").select("module", "ordinal", "target")
     wanted = [
@@ -322,7 +321,7 @@ def reference_edges(
     asked = wanted[0]
     for w in wanted[1:]:
         asked = asked.unionByName(w)
-    got = cut(resolve_exports(asked.filter(F.col("name") != STAR), own, renames, stars))
+    got = written(resolve_exports(asked.filter(F.col("name") != STAR), own, renames, stars))
     at = lambda module, name: got.select(F.col("module").alias(module), F.col("name").alias(name), F.col("id").alias("to_id"))
     none = F.lit(None).cast("string")
 
@@ -338,7 +337,7 @@ def reference_edges(
     uses = uses.unionByName(top.filter("kind = 'type-alias' and type_name is not null").select("module", "id", "kind", F.col("type_name").alias("name"), F.lit("type-use").alias("use")))
     scope_imports = import_names.select("module", F.col("local_name").alias("name"), "ordinal", "target", F.col("other_name").alias("target_name"))
     led = resolve_dotted_scope(uses.select("module", "name").distinct(), symbols, local=local, imports=scope_imports, exports=own, renames=renames, stars=stars)
-    met = cut(uses.join(led.select("module", "name", F.col("id").alias("to_id")), ["module", "name"], "left").join(symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind")), "to_id", "left"))
+    met = written(uses.join(led.select("module", "name", F.col("id").alias("to_id")), ["module", "name"], "left").join(symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind")), "to_id", "left"))
     special = F.coalesce(*[F.when(F.col("to_kind") == k, v) for k, v in HERITAGE.items()])
     edges = [
         edge(imports.select("module", "specifier", "target", "target_file").distinct(), "import", "module", specifier="specifier", to_id="target", to_file="target_file"),
