@@ -1,82 +1,97 @@
 """The leading block of keys of a document: split, typed fields, order, date, author, locked regions.
 
-The block is a subset of YAML: ``key: value`` lines, ``[a, b]`` lists, and keys
-indented below ``sidebar:``. A quoted value is a string; an unquoted one is a
-number, a truth value or a string by its form, so a title ``42`` is no title.
+A small reader takes the block, and nothing but the block, in Arrow batches; the text
+stays where it is. A quoted value is a string; an unquoted one is a number, a truth
+value, a day or a string by its form, so a title ``42`` is no title.
+
+Defined cases: of a repeated key the first value counts, and ``problem`` names it, as it
+does lines that were not understood; a block that is no map has no keys; a document
+without a block, an empty or a null one has null fields and itself as body.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text as X
+from tessella.functions.yaml_block import Day, as_json, read_block
 
 # The keys that have fields of their own, and the form of the block.
 KNOWN = ("title", "description", "sidebar", "protected", "aliases", "locale", "custom")
 FENCE = r"^---\r?\n([\s\S]*?)\r?\n---(?:\r?\n|$)"
-NOT_TEXT = r"^(?:[-+]?[0-9][0-9_]*(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?|true|false|null|~|)$"
-
-
-def _entries(lines: Column) -> Column:
-    pair = lambda s: F.regexp_extract(s, r"^\s*([A-Za-z_][\w-]*)\s*:", 1)
-    value = lambda s: F.trim(F.regexp_replace(s, r"^\s*[A-Za-z_][\w-]*\s*:", ""))
-    return F.map_from_entries(
-        F.transform(F.filter(lines, lambda s: pair(s) != ""), lambda s: F.struct(pair(s).alias("key"), value(s).alias("value")))
-    )
-
-
-def _quoted(raw: Column) -> Column:
-    return raw.rlike("""^(['"]).*\\1$""")
+BLANKS = " \t\n\r\x0b\x0c"
+
+_FIELDS = T.StructType(
+    [
+        T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("locale", T.StringType()), T.StructField("protected", T.BooleanType()),
+        T.StructField("aliases", T.ArrayType(T.StringType())), T.StructField("sidebar", T.MapType(T.StringType(), T.StringType())), T.StructField("custom", T.MapType(T.StringType(), T.StringType())),
+        T.StructField("unknown", T.MapType(T.StringType(), T.StringType())), T.StructField("order", T.DoubleType()), T.StructField("date", T.StringType()), T.StructField("author", T.StringType()),
+        T.StructField("problem", T.StringType()),
+    ]
+)
+
+
+def _number(value: object) -> float | None:
+    if isinstance(value, bool) or not isinstance(value, int | float):
+        return None
+    try:
+        return float(value) if abs(float(value)) < float("inf") else None
+    except OverflowError:
+        return None
+
+
+def fields(block: str) -> dict:
+    """The typed fields of a block; ``sidebar``, ``custom`` and ``unknown`` hold JSON by key."""
+    data, problems = read_block(block)
+    text = lambda k: data[k] if type(data.get(k)) is str else None
+    record = lambda k: data[k] if isinstance(data.get(k), dict) else None
+    packed = lambda d: None if d is None else {k: as_json(v) for k, v in d.items()}
+    unknown = {k: v for k, v in data.items() if k not in KNOWN}
+    side = record("sidebar") or {}
+    # the sidebar's order comes first; a value that is no number is no order, and hides the other
+    order = _number(side["order"] if side.get("order") is not None else unknown.get("order"))
+    day, author = unknown.get("date"), unknown.get("author")
+    return {
+        "title": text("title"), "description": text("description"), "locale": text("locale"), "protected": data.get("protected") is True,
+        "aliases": [a for a in data["aliases"] if type(a) is str] if isinstance(data.get("aliases"), list) else None,
+        "sidebar": packed(record("sidebar")), "custom": packed(record("custom")), "unknown": packed(unknown), "order": order,
+        "date": str(day) if isinstance(day, str | Day) else None, "author": author.strip() or None if type(author) is str else None, "problem": "; ".join(problems) or None,
+    }
 
 
-def as_text(raw: Column) -> Column:
-    """A scalar's text, null where it is no string."""
-    return F.when(_quoted(raw), F.regexp_replace(raw, "^.|.$", "")).when(~raw.rlike(NOT_TEXT) & ~raw.rlike(r"^[\[{]"), raw)
-
-
-def as_number(raw: Column) -> Column:
-    """A scalar's finite number, null where it is none."""
-    return F.when(~_quoted(raw), raw.try_cast("double"))
+def split_frontmatter(docs: DataFrame, raw: str) -> DataFrame:
+    """Adds the fields of a document's leading block, what was not understood (``problem``), and ``body``.
 
+    Fields: title, description, locale, protected, aliases, sidebar, custom and unknown (maps from
+    key to JSON), order, date (a day of the calendar as it is written) and author.
+    """
+    @F.pandas_udf(_FIELDS)
+    def read(blocks: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fields(b or "") for b in blocks], columns=_FIELDS.fieldNames(), dtype=object)
 
-def split_frontmatter(docs: DataFrame, raw: str) -> DataFrame:
-    """Adds keys (top-level values as written), sidebar_keys, known fields, unknown (map), body."""
-    block = F.regexp_extract(F.col(raw), FENCE, 1)
-    lines = F.split(block, r"\r?\n")
-    within = F.regexp_extract(block, r"(?:^|\n)sidebar:\s*\r?\n((?:[ \t]+[^\n]*(?:\n|$))*)", 1)
-    items = F.regexp_extract_all(F.element_at("keys", F.lit("aliases")), F.lit(r"""["']?([^\[\],"']+)["']?"""), F.lit(1))
-    own = lambda name: F.element_at("keys", F.lit(name))
-    return (
-        docs.withColumn("keys", _entries(F.filter(lines, lambda s: ~s.rlike(r"^\s"))))
-        .withColumn("sidebar_keys", _entries(F.split(within, r"\r?\n")))
-        .withColumn("title", as_text(own("title")))
-        .withColumn("description", as_text(own("description")))
-        .withColumn("locale", as_text(own("locale")))
-        .withColumn("protected", F.coalesce(own("protected") == "true", F.lit(False)))
-        .withColumn("aliases", F.when(own("aliases").rlike(r"^\[.*\]$"), F.transform(items, lambda x: F.trim(x))))
-        .withColumn("unknown", F.map_filter("keys", lambda k, _: ~k.isin(*KNOWN)))
-        .withColumn("body", F.trim(F.regexp_replace(F.col(raw), FENCE, "")))
-    )
+    found = docs.withColumn("_f", read(F.coalesce(F.regexp_extract(F.col(raw), FENCE, 1), F.lit(""))))
+    day = F.substring("_f.date", 1, 10)
+    own = {n: F.col(f"_f.{n}") for n in _FIELDS.fieldNames()} | {"date": F.when(X.is_calendar_date(day), day)}
+    body = F.trim(F.regexp_replace(F.col(raw), FENCE, ""), F.lit(BLANKS))
+    return found.withColumns(own | {"body": body}).drop("_f")
 
 
 def page_order() -> Column:
     """The page's number: of the sidebar, else its own; 0 where neither is a finite number."""
-    first = F.coalesce(F.element_at("sidebar_keys", F.lit("order")), F.element_at("unknown", F.lit("order")))
-    n = as_number(first)
-    return F.coalesce(F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n), F.lit(0.0))
+    return F.coalesce(F.col("order"), F.lit(0.0))
 
 
 def page_date() -> Column:
     """The publication day, null unless it is written as a day of the calendar."""
-    raw = F.element_at("unknown", F.lit("date"))
-    day = F.substring(F.regexp_replace(raw, "^['\"]", ""), 1, 10)
-    return F.when(X.is_calendar_date(day), day)
+    return F.col("date")
 
 
 def page_author() -> Column:
     """The author, null unless it is a string with something in it."""
-    return F.nullif(F.trim(as_text(F.element_at("unknown", F.lit("author")))), F.lit(""))
+    return F.col("author")
 
 
 def locked_regions(docs: DataFrame, key: str, raw: str, mark: str = "lock") -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
 from tessella.functions import text as X
+from tessella.operators.frontmatter import split_frontmatter
 
+# What counts as a heading and as a link.
 HEADING = r'<h([1-6])\s+(?:id="([^"]*)")?[^>]*>([\s\S]*?)</h[1-6]>'
 ANCHOR = r'<a\s+href="([^"]*)"[^>]*>([\s\S]*?)</a>'
 
@@ -27,6 +29,42 @@ def normalize_documents(docs: DataFrame, path: str, text: str, blog_dir: str = "
     )
 
 
+LINK = r"(?<!!)\[([^\[\]]*)\]\(\s*<?([^)\s>]+)>?[^)]*\)"
+FENCED = r"(?m)^(```|~~~)[\s\S]*?(?:^\1[^\n]*$|\z)"
+
+
+def normalize_pages(docs: DataFrame, path: str, raw: str, blog_dir: str = "blog") -> DataFrame:
+    """Documents with all that their leading block and their text say: one row each.
+
+    Adds slug, route, kind, title (the block's, else the first heading of level 1, else the
+    file's name), description (the block's, else the first paragraph), body, page_order, date,
+    author, protected, aliases, locale, unknown, problem, links (array of text, url, external and
+    the slug a relative one names), word_count and minutes. The block may set ``kind``; home is
+    for the root index alone. Links in code blocks are none.
+    """
+    read = split_frontmatter(docs, raw)
+    body = X.normalize_body("body")
+    plain = F.regexp_replace("body", FENCED, "")
+    heading = F.regexp_extract(plain, r"(?m)^#[ \t]+(.+?)[ \t]*#*[ \t]*$", 1)
+    parts = F.transform(F.split(plain, r"\n[ \t]*\n"), lambda x: X.strip(x))
+    first = F.get(F.filter(parts, lambda x: (x != "") & ~x.rlike(r"^(?:#|>|\||!\[|<|[-*+] |[0-9]+[.)] )")), F.lit(0))
+    folder = P.dirname(path)
+    texts, urls = (F.regexp_extract_all(plain, F.lit(LINK), F.lit(k)) for k in (1, 2))
+    far = lambda u: u.rlike("^(?i)(?:https?:|mailto:|//)")
+    links = F.zip_with(
+        texts, urls, lambda t, u: F.struct(t.alias("text"), u.alias("url"), far(u).alias("external"), F.when(~far(u) & ~u.startswith("#") & ~u.startswith("/"), P.resolve_target(folder, u)).alias("target"))
+    )
+    override = F.get_json_object(F.concat(F.lit('{"k":'), F.element_at("unknown", F.lit("kind")), F.lit("}")), "$.k")
+    kind = F.when(override.isin("documentation", "blog"), override).otherwise(P.page_kind(path, blog_dir))
+    return (
+        read.withColumn("body", body).withColumn("slug", P.slug_from_path(path)).withColumn("route", P.route_of("slug")).withColumn("kind", kind)
+        .withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.nullif(heading, F.lit("")), P.title_from_path(path)))
+        .withColumn("description", F.coalesce("description", X.describe(F.regexp_replace(first, r"\s+", " ")), F.lit("")))
+        .withColumn("page_order", F.coalesce("order", F.lit(0.0))).withColumn("links", links)
+        .withColumn("word_count", X.word_count("body")).withColumn("minutes", X.reading_minutes("word_count")).drop("order", "sidebar", "custom")
+    )
+
+
 def combined_hash(files: DataFrame, group: str, path: Column, content: Column) -> DataFrame:
     """One hash of each group's files, joined in order of path."""
     parts = F.array_sort(F.collect_list(F.struct(path.alias("path"), content.alias("content"))))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import frontmatter, graph, output_plan, relations
+from tessella.functions import text as X
+from tessella.operators import frontmatter, graph, output_plan, pages, relations
 from tessella.plans.registry import query, table
 
 #: A document for each part, written in SQL that both engines read.
@@ -28,6 +29,40 @@ def _frontmatter(spark, d):
     )
 
 
+#: A document before each text: blocks of every form, some broken; written in SQL that both engines read.
+_FORMS = (
+    "'title: |-'||chr(10)||'  Page '||doc_id||chr(10)||'  two'||chr(10)",
+    "'title: \"Page '||chr(92)||'\"'||doc_id||chr(92)||'\"\"   # note'||chr(10)||'sidebar: {order: '||(doc_id%9)||', label: '||chr(39)||'it'||chr(39)||chr(39)||'s'||chr(39)||'}'||chr(10)",
+    "'title: >'||chr(10)||'  Page'||chr(10)||'  '||doc_id||chr(10)||'aliases:'||chr(10)||'  - a'||doc_id||chr(10)||'  - \"b # c\"'||chr(10)||'  - 7'||chr(10)||'order: 1e1'||chr(10)",
+    "'\"title\": Page '||doc_id||chr(10)||'title: again'||chr(10)||'author: '||chr(39)||' Ann '||chr(39)||chr(10)||'date: 2024-02-'||lpad(CAST(20+doc_id%12 AS varchar(9)),2,'0')||chr(10)||'kind: blog'||chr(10)",
+    "'title: '||doc_id||chr(10)||'order: [1'||chr(10)",
+    "'tags: [x,'||chr(10)||'  y]'||chr(10)||'deep:'||chr(10)||'  in:'||chr(10)||'  - k: 1'||chr(10)||'    l: 2'||chr(10)||'protected: true'||chr(10)||'locale: '||chr(39)||'no'||chr(39)||chr(10)||'order: \"3\"'||chr(10)",
+)
+_BLOCK = "CASE doc_id%7 " + " ".join(f"WHEN {k} THEN '---'||chr(10)||{f}||'---'||chr(10)" for k, f in enumerate(_FORMS)) + " ELSE '' END"
+_CLEAN = r"regexp_replace(regexp_replace(text,'^[ \t\n\x0b\f\r]+',''),'[ \t\n\x0b\f\r]+$','')"
+
+
+@query("pr01_pr02_pr10_pr13_whole_pages", rf"""WITH r AS (SELECT *, doc_id%7 AS f, regexp_replace(replace({_CLEAN},chr(13)||chr(10),chr(10)),'\n{{3,}}',chr(10)||chr(10),'g') AS t FROM documents),
+ d AS (SELECT doc_id, f, 'src/'||source||'/p'||doc_id AS slug, CASE f WHEN 0 THEN 'Page '||doc_id||chr(10)||'two' WHEN 1 THEN 'Page "'||doc_id||'"' WHEN 2 THEN 'Page '||doc_id||chr(10) WHEN 3 THEN 'Page '||doc_id ELSE 'Head '||doc_id END AS title,
+  try_cast('2024-02-'||lpad(CAST(20+doc_id%12 AS varchar),2,'0') AS date) AS day, 'See other pages '||doc_id||'.' AS description, '# Head '||doc_id||chr(10)||chr(10)||'See [other](../x/y.md#z) [pages](https://h.org/'||doc_id||') '||doc_id||'.'||chr(10)||chr(10)||t AS b0 FROM r),
+ b AS (SELECT *, regexp_replace(b0,'[ \t\n\x0b\f\r]+$','')||chr(10) AS body FROM d)
+ SELECT doc_id, slug, '/'||slug AS route, CASE WHEN f=3 THEN 'blog' ELSE 'documentation' END AS kind, title, CASE f WHEN 1 THEN doc_id%9 WHEN 2 THEN 10 ELSE 0 END::DOUBLE AS page_order, CASE WHEN f=3 THEN strftime(day,'%Y-%m-%d') END AS date, CASE WHEN f=3 THEN 'Ann' END AS author,
+  f=5 AS protected, CASE WHEN f=2 THEN 'a'||doc_id||'|b # c' END AS aliases, CASE WHEN f=5 THEN 'no' END AS locale, CASE f WHEN 2 THEN 'order=10.0' WHEN 3 THEN 'author=" Ann ";date="2024-02-'||lpad(CAST(20+doc_id%12 AS varchar),2,'0')||'";kind="blog"' WHEN 4 THEN 'order=null' WHEN 5 THEN 'deep={{"in": [{{"k": 1, "l": 2}}]}};order="3";tags=["x", "y"]' ELSE '' END AS unknown,
+  CASE f WHEN 3 THEN 'repeated key title' WHEN 4 THEN 'a value without an end' END AS problem, description, 'other>src/x/y|pages>' AS links, substr(sha256(body),1,16) AS body_hash FROM b""")
+def _whole_pages(spark, d):
+    head = "'# Head '||doc_id||chr(10)||chr(10)||'See [other](../x/y.md#z) [pages](https://h.org/'||doc_id||') '||doc_id||'.'||chr(10)||chr(10)"
+    raw = f"{_BLOCK.replace('varchar(9)', 'string')}||{head}||{_CLEAN.replace(chr(92), chr(92) * 2)}"
+    docs = table(spark, d, "documents").select("doc_id", F.expr("'src/'||source||'/p'||doc_id||'.md'").alias("path"), F.expr(raw).alias("raw"))
+    p = pages.normalize_pages(docs, "path", "raw")
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries("unknown")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    # the texts may hold links too: the first two are the query's own
+    links = F.array_join(F.transform(F.slice("links", 1, 2), lambda x: F.concat(x["text"], F.lit(">"), F.coalesce(x["target"], F.lit("")))), "|")
+    return p.select(
+        "doc_id", "slug", "route", "kind", "title", "page_order", "date", "author", "protected", F.array_join("aliases", "|").alias("aliases"), "locale", pairs.alias("unknown"), "problem",
+        "description", links.alias("links"), X.hash16("body").alias("body_hash"),
+    )
+
+
 @query("pr23_locks", """WITH t AS (SELECT p_partkey, p_size AS a, p_size+27+length(p_name) AS b, p_partkey%2=0 AS two FROM part)
  SELECT p_partkey, 1::BIGINT AS ordinal, a::BIGINT AS "start", b::BIGINT AS "end" FROM t UNION ALL SELECT p_partkey, 2, b+1, b+30 FROM t WHERE two""")
 def _locks(spark, d):
