@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.operators import claims as C
 from tessella.operators import matching as M
 from tessella.plans.registry import query, table
 
@@ -92,3 +93,40 @@ def _impact(spark, d):
     pages = t.filter("conv_id % 3 > 0 or turn > 1").groupBy(F.col("conv_id").alias("slug")).agg(F.collect_set(F.expr(_words(True))).alias("symbols"))
     kind = F.expr("CASE slug % 5 WHEN 0 THEN 'configuration' WHEN 1 THEN 'guide' WHEN 2 THEN 'architecture' WHEN 3 THEN 'overview' ELSE 'api' END")
     return M.classify_impact(changed.unionByName(files).unionByName(layout), pages.select(F.col("slug").cast("string").alias("slug"), "symbols", F.array(kind).alias("kinds")))
+
+
+def _part(k: int, spark_form: bool) -> str:
+    return f"split_part({_WORDS.format(g='' if spark_form else ', ' + chr(39) + 'g' + chr(39))}, '-', {k})"
+
+
+_CLAIMS = """SELECT conv_id * 1000 + turn AS id, concat(CASE WHEN turn % 3 < 2 THEN concat('Call ', {a}, '() of the ', {b}, ' class') ELSE '' END, CASE WHEN turn % 2 = 0 THEN concat(' in `', {c}, '.ts`') ELSE '' END, CASE WHEN turn % 5 = 2 THEN concat(' by the `', role, '` option') ELSE '' END) AS text,
+  conv_id % 7 < 3 AS puts, {b} AS put FROM conversations"""
+_KNOWN = "SELECT concat({a}, {b}) AS name FROM conversations WHERE conv_id % 3 = 0 UNION ALL SELECT {a} FROM conversations WHERE conv_id % 5 = 0 UNION ALL SELECT {b} FROM conversations WHERE turn = 1"
+_PATHS = "SELECT concat('src/', {c}, '.ts') AS name FROM conversations WHERE conv_id % 4 = 0"
+
+
+def _fill(text: str, spark_form: bool) -> str:
+    out = text.format(a=_part(1, spark_form), b=_part(2, spark_form), c=_part(3, spark_form))
+    return out.replace("FROM conversations", "FROM {t}") if spark_form else out
+
+
+_VERDICTS = f"""WITH cl AS ({_fill(_CLAIMS, False)}), sy AS ({_fill(_KNOWN, False)}), fi AS ({_fill(_PATHS, False)}), sl AS (SELECT DISTINCT lower(name) AS name FROM sy),
+ t AS (SELECT id, lower(text) AS text, puts, put FROM cl),
+ r AS (SELECT id, 'symbol' AS kind, unnest(l) AS v, generate_subscripts(l, 1) AS n FROM (SELECT id, list_distinct(regexp_extract_all(text, '(\\w+)\\(\\)', 1)) || list_filter(list_distinct(regexp_extract_all(text, '(?:the|a|an)\\s+(\\w+)\\s+(?:class|interface|type|function|method)', 1)), lambda x: NOT list_contains(regexp_extract_all(text, '(\\w+)\\(\\)', 1), x)) AS l FROM t)
+  UNION ALL SELECT id, 'file', unnest(regexp_extract_all(text, '`([^`]+\\.(?:ts|js|tsx|jsx|json|yaml|yml))`', 1)), 0 FROM t UNION ALL SELECT id, 'config', unnest(regexp_extract_all(text, '`([^`]+)`\\s+(?:option|setting|key|config)', 1)), 0 FROM t),
+ d AS (SELECT DISTINCT kind, v FROM r),
+ k AS (SELECT kind, v, CASE kind WHEN 'symbol' THEN CASE WHEN v IN (SELECT name FROM sl) THEN 'verified' WHEN EXISTS (SELECT 1 FROM sl WHERE contains(name, v)) THEN 'inferred' END WHEN 'file' THEN CASE WHEN EXISTS (SELECT 1 FROM fi WHERE contains(name, v)) THEN 'verified' END ELSE CASE WHEN v IN ('user', 'system') THEN 'verified' END END AS c FROM d),
+ g AS (SELECT r.id, list_sort(list(struct_pack(kind := r.kind, v := r.v, c := k.c)) FILTER (k.c IS NOT NULL)) AS f, max(struct_pack(n, v := r.v)) FILTER (k.c IS NULL AND r.kind='symbol') AS lost FROM r JOIN k ON k.kind=r.kind AND k.v=r.v GROUP BY 1),
+ o AS (SELECT t.*, coalesce(len(g.f), 0) AS nf, g.f, g.lost.v AS lost, puts AND coalesce(len(g.f), 0)=0 AS asked, put IN (SELECT name FROM sy) AS there FROM t LEFT JOIN g USING (id)),
+ s AS (SELECT *, CASE WHEN asked AND NOT there THEN 'contradicted' WHEN lost IS NOT NULL THEN 'unsupported' WHEN nf=0 AND NOT asked THEN 'inferred' ELSE 'verified' END AS status FROM o)"""
+
+
+@query("sr08_claims", _VERDICTS.replace("\\\\", "\\") + """ SELECT id, status IN ('verified','inferred') AS valid, status, CASE status WHEN 'contradicted' THEN 'Claimed evidence "'||put||'" not found.' WHEN 'unsupported' THEN 'Symbol "'||lost||'" not found in project.' WHEN 'inferred' THEN 'No direct evidence found; claim may be inferential.' ELSE 'Claim is supported by project evidence.' END AS reason,
+ CASE WHEN nf>0 THEN array_to_string(list_transform(f, lambda x: x.kind||':'||x.v||':'||x.c), ' ') WHEN asked AND there THEN 'symbol:'||put||':verified' ELSE '' END AS evidence FROM s""")
+def _claims(spark, d):
+    t = table(spark, d, "conversations")
+    get = lambda q: spark.sql(_fill(q, True), t=t)
+    own = F.when(F.col("puts"), F.array(F.struct(F.lit("symbol").alias("kind"), F.col("put").alias("value"))))
+    keys = spark.createDataFrame([("USER",), ("system",)], "name string")
+    found = C.validate_claims(get(_CLAIMS).select("id", "text", own.alias("evidence")), get(_KNOWN), get(_PATHS), keys)
+    return found.withColumn("evidence", F.array_join(F.transform("evidence", lambda e: F.concat_ws(":", e["kind"], e["value"], e["confidence"])), " "))

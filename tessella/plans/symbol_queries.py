@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import symbols as S
+from tessella.operators.common import written
 from tessella.plans.registry import query, table
 
 # a node for each turn: node k = turn + 2 lies inside node k // 2 (2 and 3 stand at the top), in one of the middle quarters of it
@@ -150,7 +151,8 @@ _EDGE_TABLES = f"""sy AS (SELECT module, concat(module, '#', name, ordinal) AS i
 
 def _edge_tables(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
-    get = lambda n: spark.sql(f"WITH {_EDGE_TABLES} SELECT * FROM {n}".replace("FROM documents", "FROM {t}").replace("varchar(20)", "string"), t=docs)
+    # written once: every step reads them again
+    get = lambda n: written(spark.sql(f"WITH {_EDGE_TABLES} SELECT * FROM {n}".replace("FROM documents", "FROM {t}").replace("varchar(20)", "string"), t=docs))
     s = get("sy").withColumn("heritage", F.when(F.col("heritage") == "", F.array().cast("array<string>")).otherwise(F.split("heritage", ",")))
     return {"symbols": s, "imports": get("ip"), "import_names": get("im"), "exported": get("xp"), "aliases": get("al"), "reexports": get("re"), "packages": get("pk"), "dependencies": get("dp"), "defaults": get("df")}
 
