@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import knowledge as K
+from tessella.operators import tours
 from tessella.plans.registry import query, table
 
 _SYMBOLS = """SELECT concat('m', doc_id) AS id, CASE WHEN doc_id % 20 = 0 THEN 'package' ELSE 'module' END AS kind, concat('mod', doc_id % 7) AS name, CASE WHEN doc_id % 20 > 0 THEN concat(source, '/', doc_id) END AS file,
@@ -84,3 +85,17 @@ def _actions(spark, d):
     pages, found = _relations(spark, d)
     gaps = K.actions_of(pages, found.select("src", "dst").distinct())
     return gaps
+
+
+# trees of a hundred documents: thirds on top, then a chain, then nodes that hang nowhere
+_TREE = """SELECT doc_id AS node, CASE WHEN doc_id % 100 = 0 THEN NULL WHEN doc_id % 100 < 50 THEN doc_id - doc_id % 100 + CAST(floor(doc_id % 100 / 3) AS bigint) WHEN doc_id % 100 < 95 THEN doc_id - 1 WHEN doc_id % 100 = 95 THEN doc_id + 2 ELSE doc_id - 1 END AS parent,
+ (doc_id * 7) % 100 AS at FROM documents"""
+_WALK = f"""WITH RECURSIVE tr AS ({_TREE.replace(' AS at', ' AS o')}), w AS (SELECT node, node AS root, parent, 0 AS depth, [o*1000+node%100] AS path FROM tr WHERE parent IS NULL UNION ALL SELECT tr.node, w.root, tr.parent, depth+1, list_append(path, tr.o*1000+tr.node%100) FROM w JOIN tr ON tr.parent=w.node),
+ r AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY path)-1 AS pre, row_number() OVER (PARTITION BY root ORDER BY list_append(path, 1000000))-1 AS post FROM w),
+ s AS (SELECT r.*, (SELECT count(*) FROM r x WHERE x.root=r.root AND len(x.path)>len(r.path) AND x.path[:len(r.path)]=r.path) AS size FROM r)"""
+
+
+@query("gr11_gr13_walk", _WALK + " SELECT node, root, parent, pre, post, depth, size FROM s")
+def _walk(spark, d):
+    t = spark.sql(_TREE.replace("FROM documents", "FROM {t}"), t=table(spark, d, "documents").select("doc_id"))
+    return tours.tour(t)
