@@ -7,7 +7,8 @@ tags, stray ones, raw script text, unknown entities. Then come two steps:
    Spark counts, for each host, under how many differing articles a subtree stands.
    Outside the article a subtree that ``MIN_PAGES`` share is the site's template and
    is deleted; so menus, headers, footers, notices and adverts go whatever they are
-   called. Inside the article prose may repeat, so recurrence alone decides nothing
+   called. On pages without an article long blocks are not, nor are blocks that make up
+   most of a page, for then the page is a copy. Inside the article prose may repeat, so recurrence alone decides nothing
    there: only block-level boxes without prose and link lists that
    ``MIN_INSIDE`` articles share are deleted, never inline elements.
 2. Names. What does not recur is dropped by its tag, role, class or id.
@@ -43,6 +44,9 @@ from tessella.llm.common import bound_batches, cut, join_unique, map_texts
 MIN_PAGES = 2
 #: The same for one inside the article.
 MIN_INSIDE = 10
+#: Characters outside links from which a block of a page without an article is text of its own, and
+#: from which a page of mostly recurring blocks is a copy rather than a template.
+LONG_TEXT = 400
 #: Template rows (host, subtree) that may be broadcast; beyond it they are joined by host.
 BROADCAST_ROWS = 200_000
 
@@ -268,7 +272,8 @@ def eligible(root: Node, hashes: dict[int, tuple[int, int, int, int]]) -> tuple[
                 if mains:
                     fit = block
                 else:
-                    fit = linked * 2 >= size or not (child.tag in PROSE or holds & HAS_PROSE)
+                    short = size - linked < LONG_TEXT or child.tag in DROPPED
+                    fit = linked * 2 >= size or (short and not (child.tag in PROSE or holds & HAS_PROSE))
                     fit = fit and (block or not prose)
                 fit, deeper = fit and not holds & MAIN, True
             if size and fit:
@@ -278,10 +283,31 @@ def eligible(root: Node, hashes: dict[int, tuple[int, int, int, int]]) -> tuple[
     return out
 
 
+def _own_text(root: Node, hashes: dict[int, tuple[int, int, int, int]], gone: set[int] | frozenset[int]) -> int:
+    """Characters outside links, scripts and the like, and outside the nodes in ``gone``."""
+    total, pending = 0, [root]
+    while pending:
+        for child in pending.pop().children:
+            if isinstance(child, str):
+                total += len(" ".join(child.split()))
+            elif child.tag != "a" and child.tag not in DROPPED and id(child) not in gone:
+                pending.append(child)
+    return total
+
+
 def drop_template(root: Node, template: frozenset[int] | set[int]) -> int:
-    """Deletes the template subtrees of a page, given their hashes; how many were deleted."""
+    """Deletes the template subtrees of a page, given their hashes; how many were deleted.
+
+    Where a page without an article would lose four fifths of its text, ``LONG_TEXT`` characters
+    or more, that is no template but a text that other pages have too: only link lists go.
+    """
     hashes = subtree_hashes(root)
-    gone = {id(n) for nodes in eligible(root, hashes) for n in nodes if hashes[id(n)][0] in template}
+    nodes = [n for found in eligible(root, hashes) for n in found if hashes[id(n)][0] in template]
+    gone = {id(n) for n in nodes}
+    if gone and content_roots(root) == [root]:
+        whole, lost = _own_text(root, hashes, frozenset()), _own_text(root, hashes, gone)
+        if whole - lost >= LONG_TEXT and lost * 5 < whole:
+            gone = {id(n) for n in nodes if hashes[id(n)][2] * 2 >= hashes[id(n)][1]}
     deleted = 0
     pending = [root] if gone else []
     while pending:

@@ -363,6 +363,24 @@ def test_recurring_boxes_of_any_name_go(spark):
         assert "Made by" in off[k] and "Sign" in off[k]
 
 
+def test_copies_without_an_article_keep_their_text(spark):
+    words = "Plain words that stand in one block of this page alone. "
+    menu = "<div class='m'><a href='/a'>One</a> <a href='/b'>Two</a></div>"
+    body = f"<div>{words * 22}</div>"
+    parts = "".join(f"<div>Part {k}: {words}</div>" for k in range(12))
+    box = "<div class='c'>We use cookies on this site.</div>"
+    pages = [(k, f"http://h.test/{k}", f"<body>{menu}{box}{body}<div>Stamp {k}</div></body>") for k in range(2)]
+    pages += [(10 + k, f"http://i.test/{k}", f"<body>{menu}{parts}<div>Stamp {k}</div></body>") for k in range(5)]
+    pages += [(20 + k, f"http://j.test/{k}", f"<body>{menu}{box}<div>Own story {k}. {words * (k + 1)}</div></body>") for k in range(5)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_main.extract(df, ["page_id"]).select("row.page_id", "res.text").collect()}
+    for k in range(2):
+        assert found[k] == f"{(words * 22).strip()}\nStamp {k}"
+    for k in range(5):
+        assert found[10 + k] == "\n".join([*[f"Part {n}: {words}".strip() for n in range(12)], f"Stamp {k}"])
+        assert found[20 + k] == f"Own story {k}. {words * (k + 1)}".strip()
+
+
 def test_most_pages_have_template_subtrees(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     sites = {}
