@@ -39,45 +39,63 @@ def contained(texts: DataFrame, key: str, text: str, needles: DataFrame, needle:
     return met.select(F.col("_key").alias(key), F.col("_needle").alias(needle)).distinct()
 
 
-def _numbered(grams: Column) -> Column:
-    """Grams with how often each came before, so that repeats count."""
-    return F.transform(grams, lambda g, k: F.concat(g, F.lit("\x00"), F.size(F.filter(F.slice(grams, 1, k), lambda x: x == g)).cast("string")))
+def _cuts(size: Column, k: Column) -> tuple[Column, Column]:
+    """Where the k-th of the ``size div 3 + 1`` pieces of a name of that size begins, and its length."""
+    pieces = F.floor(size / 3) + 1
+    base, short = F.floor(size / pieces), pieces - size % pieces
+    return (k * base + F.greatest(F.lit(0), k - short)).cast("int"), (base + F.when(k >= short, 1).otherwise(0)).cast("int")
 
 
-def _offers(names: DataFrame) -> DataFrame:
-    """name, low, gram: keys of which two names of a similarity of ``SIMILAR`` or more share one.
+def _pieces(names: DataFrame) -> DataFrame:
+    """name, size, k, piece: a name cut into one piece more than the edits that its similarity allows."""
+    size = F.length("low")
+    each = F.explode(F.transform(F.sequence(F.lit(0), F.floor(size / 3).cast("int")), lambda k: F.struct(k.alias("k"), *[c.alias(n) for c, n in zip(_cuts(size, k), ("at", "long"), strict=True)]))).alias("c")
+    return names.select("name", "low", size.alias("size"), each).select("name", "size", "c.k", F.substring("low", F.col("c.at") + 1, F.col("c.long")).alias("piece"))
 
-    Edits at most a third of the longer name leave ``ceil(l / 3) - 1`` pairs of characters
-    of a name of ``l`` characters in common, so one of all but as many, in whatever fixed
-    order; parts in common are likewise six tenths of the larger number. The order is
-    that of rarity, so that common keys are rarely met. Names of up to three characters
-    meet on themselves and on what is left without one character.
+
+def _probes(names: DataFrame) -> DataFrame:
+    """name, size, k, piece: what a name may have in common with the k-th piece of one of that size, its own or larger.
+
+    With ``d`` edits in all there is a piece left whole that has exactly as many edits before it as
+    pieces, so it stands at most ``k`` places off, and what follows it at most ``d - k``.
     """
-    low = F.lower("name")
-    parts = F.array_distinct(F.split("low", "[-_]"))
-    n = names.select("name", low.alias("low"))
-    tagged = lambda mark, values: F.transform(values, lambda v: F.concat(F.lit(mark), v))
-    gone = F.when(F.length("low") > 0, F.transform(F.sequence(F.lit(1), F.length("low")), lambda k: F.concat(F.substring("low", F.lit(1), k - 1), F.substring("low", k + 1, F.length("low")))))
-    none = F.array().cast("array<string>")
-    short = F.when(F.length("low") <= 3, F.array_distinct(F.concat(F.array("low"), F.coalesce(gone, none)))).otherwise(none)
-    kinds = F.array(F.struct(tagged("g", _numbered(_grams(F.col("low"), 2))).alias("keys"), (F.ceil(F.length("low") / 3) - 1).cast("int").alias("least")), F.struct(tagged("p", parts).alias("keys"), F.ceil(F.size(parts) * SIMILAR).cast("int").alias("least")))
-    listed = n.select("name", "low", F.posexplode(kinds).alias("kind", "k")).select("name", "low", "kind", F.size("k.keys").alias("size"), "k.least", F.explode("k.keys").alias("gram"))
-    counts = listed.groupBy("gram").agg(F.count("*").alias("c"))
-    rank = F.row_number().over(Window.partitionBy("name", "kind").orderBy("c", "gram"))
-    first = listed.join(counts, "gram").withColumn("rank", rank).filter(F.col("rank") <= F.col("size") - F.greatest("least", F.lit(1)) + 1)
-    return first.select("name", "low", "gram").unionByName(n.select("name", "low", F.explode(tagged("s", short)).alias("gram")))
+    own = F.length("low")
+    sizes = F.explode(F.filter(F.sequence(own, own + F.floor(own / 2).cast("int")), lambda x: x - own <= F.floor(x / 3))).alias("size")
+    n = names.select("name", "low", own.alias("own"), sizes)
+    n = n.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / 3).cast("int"))).alias("k"))
+    at, long = _cuts(F.col("size"), F.col("k"))
+    n = n.select("*", at.alias("at"), long.alias("long"), F.floor(F.col("size") / 3).cast("int").alias("d"))
+    low = F.greatest(F.lit(0), F.col("at") - F.col("k"), F.col("at") + F.col("own") - F.col("size") - (F.col("d") - F.col("k")))
+    high = F.least(F.col("own") - F.col("long"), F.col("at") + F.col("k"), F.col("at") + F.col("own") - F.col("size") + (F.col("d") - F.col("k")))
+    places = F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("j")
+    return n.select("name", "size", "k", "low", "long", places).select("name", "size", "k", F.substring("low", F.col("j") + 1, F.col("long")).alias("piece")).distinct()
+
+
+def _parts(names: DataFrame) -> DataFrame:
+    """name, part: the rarest parts of a name, so many that two names with six tenths of the larger number in common share one."""
+    listed = names.select("name", F.explode(F.array_distinct(F.split("low", "[-_]"))).alias("part"), F.size(F.array_distinct(F.split("low", "[-_]"))).alias("size"))
+    counts = listed.groupBy("part").agg(F.count("*").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("c", "part"))
+    ranked = listed.join(counts, "part").withColumn("rank", rank)
+    return ranked.filter(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * SIMILAR) + 1).select("name", "part")
 
 
 def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Pairs (old, new, score) of names (column ``name`` of each) with a similarity of ``SIMILAR`` or more."""
-    side = lambda df, mark: df.select("name").distinct().withColumn("side", F.lit(mark))
-    both = side(old, 0).unionByName(side(new, 1))
-    offers = written(_offers(both.select("name").distinct()))
-    a = offers.join(old.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("old"), F.length("low").alias("la"), "gram")
-    b = offers.join(new.select("name").distinct(), "name", "left_semi").select(F.col("name").alias("new"), F.length("low").alias("lb"), "gram")
-    close = (F.abs(F.col("la") - F.col("lb")) * 3 <= F.greatest("la", "lb")) | F.col("gram").startswith("p")
-    met = a.join(b, "gram").filter(close).select("old", "new").distinct()
-    return met.withColumn("score", rename_similarity("old", "new")).filter(F.col("score") >= SIMILAR)
+    """Pairs (old, new, score) of names (column ``name`` of each) with a similarity of ``SIMILAR`` or more.
+
+    Names are similar by edits, at most a third of the longer one, or by parts. For the first the longer
+    name is cut into one piece more than there may be edits: one of them is in the other name, near the
+    same place. Names meet on these pieces and on rare parts, and only those that met are compared.
+    """
+    named = lambda df: df.select("name").filter("name is not null").distinct().withColumn("low", F.lower("name"))
+    a, b = written(named(old)), written(named(new))
+    keys, shorter = ["size", "k", "piece"], F.length("old") < F.length("new")
+    call = lambda df, name: df.withColumnRenamed("name", name)
+    met = call(_pieces(a), "old").join(call(_probes(b), "new"), keys).select("old", "new")
+    met = met.unionByName(call(_pieces(b), "new").join(call(_probes(a), "old"), keys).select("old", "new").filter(shorter))
+    both = _parts(a.unionByName(b).distinct())
+    met = met.unionByName(call(both.join(a, "name", "left_semi"), "old").join(call(both.join(b, "name", "left_semi"), "new"), "part").select("old", "new"))
+    return met.distinct().withColumn("score", rename_similarity("old", "new")).filter(F.col("score") >= SIMILAR)
 
 
 def match_in_order(pairs: DataFrame) -> DataFrame:
