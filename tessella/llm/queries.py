@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import bpe, conversations, embedding_dedup, fm_index, hmm, html_main, merkle, pii, quality, records, simhash, toxicity, warc
 from tessella.llm.common import crc_bucket, read_table, scratch_path
+from tessella.llm.oracles import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +154,6 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fetch(spark, path, captures, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-#: Rows of op13_warc for a table in which no id repeats.
-OP13_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_bytes, sha256(coalesce(html,'')) AS payload_digest FROM pages),
- f AS (SELECT payload_digest AS digest, min(page_id) AS first FROM p GROUP BY 1)
- SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes<100 OR page_id=first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN payload_bytes>=100 AND page_id<>first THEN first END AS refers_to FROM p JOIN f ON digest=payload_digest"""
-
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline at the top of the repository."""
     import corpus_pipeline
@@ -183,4 +178,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {"op13_warc": OP13_SQL}
+ORACLES: dict[str, str] = {"op11_conversations": OP11_SQL, "op12_merkle": OP12_SQL, "op13_warc": OP13_SQL}
