@@ -35,7 +35,7 @@ def documents(spark):
 def edge_dir(spark, edge, tmp_path_factory):
     """A folder of tables with edge cases, and one of empty tables."""
     full, empty = str(tmp_path_factory.mktemp("full")), str(tmp_path_factory.mktemp("empty"))
-    for name in ("documents", "labels", "benchmark", "pages", "embeddings"):
+    for name in ("documents", "labels", "benchmark", "pages", "embeddings", "conversations"):
         source = spark.read.parquet(f"{DATA}/{name}.parquet")
         source.limit(0).write.parquet(f"{empty}/{name}.parquet")
         if name == "documents":
@@ -51,7 +51,9 @@ def test_edge_cases_and_empty_tables(spark, edge_dir, name):
     full, empty = edge_dir
     assert QUERIES[name](spark, empty).count() == 0
     found = QUERIES[name](spark, full)
-    n = {"op8_main_text": 32, "op10_embedding_dedup": 32}.get(name, len(EDGE))
+    n = {"op8_main_text": 32, "op10_embedding_dedup": 32, "op13_warc": 32}.get(name, len(EDGE))
+    if name == "op11_conversations":
+        n = spark.read.parquet(f"{full}/conversations.parquet").select("conv_id").distinct().count()
     if name == "pipeline":
         assert 0 < found.count() < n
     else:
