@@ -22,12 +22,17 @@ def _list(spark_form: bool) -> str:
     return f"array_compact(array({', '.join(parts)}))" if spark_form else f"list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL)"
 
 
+def _each(source: str, values: str, spark_form: bool) -> str:
+    """Rows of a table, once for each value ``j``."""
+    return f"(SELECT *, explode(array({values})) AS j FROM {source})" if spark_form else f"(SELECT *, unnest([{values}]) AS j FROM {source})"
+
+
 _BASE = f"SELECT *, {_START} AS start, {_WIDTH} AS width FROM (SELECT *, {_LEVEL} AS lv FROM (SELECT conv_id, turn + 2 AS k FROM conversations))"
 
 
 def _nodes_sql(spark_form: bool) -> str:
     named = f"SELECT conv_id AS file, k AS node, start, start + width - 1 AS \"end\", {_KIND} AS kind, concat('n', CAST((conv_id + floor(k / 2)) % 3 AS int)) AS name, {_list(spark_form)} AS modifiers, {_DOC} AS doc FROM b"
-    small = f"SELECT conv_id, k * 100000 + j, start + j, start + j, CASE WHEN j = 3 THEN 'heritage' ELSE 'parameter' END, concat('p', j * 10 + k % 3), NULL, NULL FROM b CROSS JOIN (SELECT 1 AS j UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE width > 4"
+    small = f"SELECT conv_id, k * 100000 + j, start + j, start + j, CASE WHEN j = 3 THEN 'heritage' ELSE 'parameter' END, concat('p', j * 10 + k % 3), NULL, NULL FROM {_each('b', '1, 2, 3', spark_form)} WHERE width > 4"
     text = f"WITH b AS ({_BASE}) {named} UNION ALL {small}"
     return text.replace('"end"', "`end`") if spark_form else text
 
@@ -72,17 +77,18 @@ def _symbol_tree(spark, d):
 _STATEMENT = "CASE turn % 5 WHEN 0 THEN 'import' WHEN 1 THEN 'export' WHEN 2 THEN 'import' WHEN 3 THEN 'export' ELSE 'export' END"
 _OF = "CASE WHEN turn % 5 IN (0, 2, 4) OR turn % 5 = 1 AND conv_id % 2 = 0 THEN concat('./m', turn) END"
 _PART = "CASE turn % 5 WHEN 0 THEN CASE j WHEN 2 THEN 'import-default' ELSE 'import-specifier' END WHEN 2 THEN 'import-namespace' WHEN 1 THEN 'export-specifier' WHEN 3 THEN CASE j WHEN 2 THEN 'export-namespace' ELSE 'export-specifier' END ELSE 'comment' END"
-_STATEMENTS = f"""SELECT conv_id AS file, turn * 10 AS node, turn * 10 AS start, turn * 10 + 9 AS "end", {_STATEMENT} AS kind, NULL AS name, NULL AS property, {_OF} AS specifier FROM conversations
- UNION ALL SELECT conv_id, turn * 10 + j, turn * 10 + j, turn * 10 + j, {_PART}, CASE WHEN (conv_id + j) % 6 = 0 THEN NULL ELSE concat('a', (turn + j) % 3) END, CASE WHEN (conv_id + turn + j) % 4 = 0 THEN concat('b', j) END, NULL FROM conversations CROSS JOIN (SELECT 1 AS j UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 5)"""
+def _statements(spark_form: bool) -> str:
+    return f"""SELECT conv_id AS file, turn * 10 AS node, turn * 10 AS start, turn * 10 + 9 AS "end", {_STATEMENT} AS kind, NULL AS name, NULL AS property, {_OF} AS specifier FROM conversations
+ UNION ALL SELECT conv_id, turn * 10 + j, turn * 10 + j, turn * 10 + j, {_PART}, CASE WHEN (conv_id + j) % 6 = 0 THEN NULL ELSE concat('a', (turn + j) % 3) END, CASE WHEN (conv_id + turn + j) % 4 = 0 THEN concat('b', j) END, NULL FROM {_each('conversations', '1, 2, 4, 5', spark_form)}"""
 
 
-@query("pr43_bindings", f"""WITH s AS ({_STATEMENTS}), h AS (SELECT * FROM s WHERE kind IN ('import','export')),
+@query("pr43_bindings", f"""WITH s AS ({_statements(False)}), h AS (SELECT * FROM s WHERE kind IN ('import','export')),
  c AS (SELECT h.file, h.node AS head, h.kind AS st, h.specifier AS of, h.start AS pos, s.start, s.node, s.kind, coalesce(s.name,s.property,'') AS shown, CASE WHEN s.kind LIKE '%-namespace' THEN '*' WHEN s.kind='import-default' THEN 'default' ELSE coalesce(s.property,s.name,'') END AS far FROM h LEFT JOIN s ON s.file=h.file AND s.start>h.start AND s."end"<=h."end" AND s.kind NOT IN ('import','export','comment')),
  f AS (SELECT *, CASE WHEN st='import' THEN CASE WHEN kind IS NOT NULL THEN 'import' END WHEN kind IS NULL THEN CASE WHEN of IS NOT NULL THEN 'star' END WHEN of IS NULL THEN 'alias' ELSE 're-export' END AS form FROM c),
  k AS (SELECT *, row_number() OVER (PARTITION BY file, head, CASE WHEN form='star' THEN NULL ELSE shown END ORDER BY start) AS rn FROM f WHERE form IS NOT NULL AND (form='star' OR shown<>''))
  SELECT file, row_number() OVER (PARTITION BY file ORDER BY pos, start) AS place, form, of AS specifier, CASE WHEN form<>'star' THEN shown END AS local_name, CASE WHEN form<>'star' THEN far END AS other_name FROM k WHERE rn=1""")
 def _bindings(spark, d):
-    return S.bindings(spark.sql(_STATEMENTS.replace('"end"', "`end`").replace("FROM conversations", "FROM {t}"), t=table(spark, d, "conversations")))
+    return S.bindings(spark.sql(_statements(True).replace('"end"', "`end`").replace("FROM conversations", "FROM {t}"), t=table(spark, d, "conversations")))
 
 
 # modules in groups of ten: chains of renames, a circle of stars, ways that end nowhere
