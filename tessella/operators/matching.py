@@ -14,6 +14,8 @@ from tessella.operators.similarity import rename_similarity
 
 #: Least similarity of a rename.
 SIMILAR = 0.6
+#: Pieces of names, under 100 bytes each, that may be broadcast.
+BROADCAST_PIECES = 200_000
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -68,7 +70,7 @@ def _probes(names: DataFrame) -> DataFrame:
     low = F.greatest(F.lit(0), F.col("at") - F.col("k"), F.col("at") + F.col("own") - F.col("size") - (F.col("d") - F.col("k")))
     high = F.least(F.col("own") - F.col("long"), F.col("at") + F.col("k"), F.col("at") + F.col("own") - F.col("size") + (F.col("d") - F.col("k")))
     places = F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high)))).alias("j")
-    return n.select("name", "size", "k", "low", "long", places).select("name", "size", "k", F.substring("low", F.col("j") + 1, F.col("long")).alias("piece")).distinct()
+    return n.select("name", "size", "k", "low", "long", places).select("name", "size", "k", F.substring("low", F.col("j") + 1, F.col("long")).alias("piece"))
 
 
 def _parts(names: DataFrame) -> DataFrame:
@@ -91,8 +93,10 @@ def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = written(named(old)), written(named(new))
     keys, shorter = ["size", "k", "piece"], F.length("old") < F.length("new")
     call = lambda df, name: df.withColumnRenamed("name", name)
-    met = call(_pieces(a), "old").join(call(_probes(b), "new"), keys).select("old", "new")
-    met = met.unionByName(call(_pieces(b), "new").join(call(_probes(a), "old"), keys).select("old", "new").filter(shorter))
+    p, q = written(_pieces(a)), written(_pieces(b))
+    held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PIECES else df
+    met = call(_probes(b), "new").join(held(call(p, "old")), keys).select("old", "new")
+    met = met.unionByName(call(_probes(a), "old").join(held(call(q, "new")), keys).select("old", "new").filter(shorter))
     both = _parts(a.unionByName(b).distinct())
     met = met.unionByName(call(both.join(a, "name", "left_semi"), "old").join(call(both.join(b, "name", "left_semi"), "new"), "part").select("old", "new"))
     return met.distinct().withColumn("score", rename_similarity("old", "new")).filter(F.col("score") >= SIMILAR)
