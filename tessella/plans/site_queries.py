@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as X
 from tessella.operators import quality, similarity, site
-from tessella.plans.registry import query, table
+from tessella.plans.registry import ORACLES, query, table
 from tessella.sources import files, sinks
 
 
@@ -117,7 +117,9 @@ def _moves(spark, d):
     return quality.order_changes(before, after, "g")
 
 
-@query("wn08_hide_sections")
+@query("wn08_hide_sections", """WITH t AS (SELECT conv_id, turn AS ordinal, role='user' AS head, length(text)%3+1 AS level, length(text)%7=0 AS secret FROM conversations)
+ SELECT conv_id, ordinal FROM t b WHERE NOT EXISTS (SELECT 1 FROM t s WHERE s.conv_id=b.conv_id AND s.head AND s.secret AND s.ordinal<=b.ordinal
+  AND NOT EXISTS (SELECT 1 FROM t x WHERE x.conv_id=b.conv_id AND x.head AND x.ordinal>s.ordinal AND x.ordinal<=b.ordinal AND x.level<=s.level))""")
 def _hide(spark, d):
     t = table(spark, d, "conversations").select(
         "conv_id", F.col("turn").alias("ordinal"), F.when(F.col("role") == "user", "heading").otherwise("paragraph").alias("kind"),
@@ -258,7 +260,10 @@ def _resolve(spark, d):
     return site.resolve_links(*_part_links(spark, d)).select("id", "status", "rewritten_to")
 
 
-@query("dg03_link_diagnostics")
+@query("dg03_link_diagnostics", f"""WITH r AS ({ORACLES['jn01_jn13_resolve_links']}), x AS (SELECT r.*, l.target, l.anchor FROM r JOIN {_LINKS} l ON l.id=r.id)
+ SELECT CASE status WHEN 'missing-anchor' THEN 'DOC_MISSING_ANCHOR' ELSE 'DOC_BROKEN_LINK' END AS code, CASE status WHEN 'missing-page' THEN 'error' WHEN 'missing-anchor' THEN 'warning' ELSE 'info' END AS severity,
+  CASE status WHEN 'missing-page' THEN 'Link to "'||target||'" does not resolve.' WHEN 'missing-anchor' THEN 'Anchor "#'||anchor||'" not found on "'||target||'".' ELSE 'Link "'||target||'" refers to a renamed page; update to "'||rewritten_to||'".' END AS message, id AS subject
+ FROM x WHERE status IN ('missing-page','missing-anchor','renamed')""")
 def _link_findings(spark, d):
     return site.link_diagnostics(site.resolve_links(*_part_links(spark, d)), "id")
 
@@ -330,7 +335,7 @@ def _predicates(spark, d):
     return e.agg(F.count_if(chosen).alias("n"), F.count_if(~F.coalesce(F.col("event_type") == "error", F.lit(False))).alias("searchable"))
 
 
-@query("sk03_search_json")
+@query("sk03_search_json", """SELECT '{"page_id":'||page_id||',"url":"'||url||'"}' AS value FROM pages""")
 def _search_json(spark, d):
     return sinks.search_index(table(spark, d, "pages").select("page_id", "url"))
 

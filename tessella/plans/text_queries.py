@@ -194,7 +194,8 @@ def _small(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.language_from_info("o_orderpriority").alias("language"), X.clamp(F.col("o_totalprice") / 200000.0 - 0.5).alias("clamped"))
 
 
-@query("sf22_versions")
+@query("sf22_versions", """WITH v AS (SELECT p_partkey, p_size AS a, p_partkey%10 AS b FROM part) SELECT p_partkey, a||'.'||b||'.3' AS version, CASE WHEN (a, b, 3)<(25, 4, 3) THEN -1 ELSE 1 END AS "order",
+ a=25 AS caret, a=25 AND b=4 AS tilde, a>=30 AS least, a=7 AND b=7 AS exact, false AS wrong FROM v""")
 def _versions(spark, d):
     v = F.concat_ws(".", F.col("p_size"), F.col("p_partkey") % 10, F.lit(3))
     return table(spark, d, "part").select(
