@@ -248,12 +248,20 @@ def resolve_scope(uses: DataFrame, local: DataFrame, imports: DataFrame, exports
     names come first, then imports in order, then what the module exports or re-exports by name,
     then the scopes of the modules that it passes on whole.
     """
+    got = _resolve_marked(uses.select("module", F.concat(F.lit("s:"), "name").alias("name")), local, imports, exports, renames, stars)
+    return uses.join(got.select("module", F.substring("name", 3, 1 << 20).alias("name"), "id"), ["module", "name"], "left")
+
+
+def _resolve_marked(asked: DataFrame, local: DataFrame, imports: DataFrame, exports: DataFrame, renames: DataFrame, stars: DataFrame) -> DataFrame:
+    """Names (module, name) with a mark before them that lead to a symbol, and its ``id``.
+
+    Marks: ``s:`` in scope; ``x:`` as exported; ``e:`` as exported, but not over stars.
+    """
     marked = lambda df, mark: df.select("module", F.concat(F.lit(mark), "name").alias("name"), "id", "ordinal")
     ends = marked(local, "s:").unionByName(marked(exports, "e:")).unionByName(marked(exports, "x:"))
     far = lambda c: F.when(F.col(c) == STAR, F.col(c)).otherwise(F.concat(F.lit("x:"), c)).alias("target_name")
 
     def ways_of(keys: DataFrame) -> DataFrame:
-        # s: in scope; x: as exported; e: as exported, but not over stars
         k = keys.select("module", F.col("name").alias("full"), F.substring("name", 1, 2).alias("mode"), F.substring("name", 3, 1 << 20).alias("name"))
         made = lambda df, rank, ordinal, target, name: df.select("module", F.col("full").alias("name"), F.lit(rank).alias("rank"), ordinal.alias("ordinal"), target.alias("target"), name.alias("target_name"))
         scope, out = k.filter("mode = 's:'"), k.filter("mode <> 's:' and name <> 'default'")
@@ -263,8 +271,7 @@ def resolve_scope(uses: DataFrame, local: DataFrame, imports: DataFrame, exports
         passed = made(scope.unionByName(out.filter("mode = 'x:'")).join(stars, "module"), 2, F.col("ordinal"), F.col("target"), F.col("full"))
         return taken.unionByName(own).unionByName(renamed).unionByName(passed)
 
-    got = _resolve(uses.select("module", F.concat(F.lit("s:"), "name").alias("name")), ends, ways_of)
-    return uses.join(got.select("module", F.substring("name", 3, 1 << 20).alias("name"), "id"), ["module", "name"], "left")
+    return _resolve(asked, ends, ways_of)
 
 
 def resolve_dotted_scope(uses: DataFrame, symbols: DataFrame, **scope: DataFrame) -> DataFrame:
@@ -273,17 +280,25 @@ def resolve_dotted_scope(uses: DataFrame, symbols: DataFrame, **scope: DataFrame
     ``symbols``: id, parent (a symbol or a module), name, ordinal; the first member of a name counts.
     ``scope``: the tables of :func:`resolve_scope`.
     """
-    parts = F.split("name", r"\.")
-    u = uses.select("module", "name").distinct().withColumn("parts", parts)
-    heads = u.select("module", F.get("parts", F.lit(0)).alias("name")).distinct()
+    heads = uses.select("module", _part("name", 0).alias("name")).distinct()
     found = resolve_scope(heads, **scope).select("module", F.col("name").alias("head"), "id")
-    state = written(u.withColumn("head", F.get("parts", F.lit(0))).join(found, ["module", "head"], "left").select("module", "name", "parts", "id"))
+    return uses.join(_members(uses, found, symbols), ["module", "name"], "left")
+
+
+def _part(name: str, k: int) -> Column:
+    return F.get(F.split(name, r"\."), F.lit(k))
+
+
+def _members(uses: DataFrame, heads: DataFrame, symbols: DataFrame) -> DataFrame:
+    """module, name, id of dotted names from the symbols of their first parts (module, head, id)."""
+    u = uses.select("module", "name").distinct().select("module", "name", F.split("name", r"\.").alias("parts"), _part("name", 0).alias("head"))
+    state = written(u.join(heads, ["module", "head"], "left").select("module", "name", "parts", "id"))
     members = symbols.groupBy("parent", F.col("name").alias("part")).agg(F.min_by("id", "ordinal").alias("member"))
     longest = state.agg(F.max(F.size("parts"))).first()[0] or 0
     for k in range(1, longest):
         deep = state.filter(F.size("parts") > k).withColumns({"part": F.get("parts", F.lit(k)), "parent": F.col("id")}).join(members, ["parent", "part"], "left")
         state = written(state.filter(F.size("parts") <= k).unionByName(deep.select("module", "name", "parts", F.col("member").alias("id"))))
-    return uses.join(state.select("module", "name", "id"), ["module", "name"], "left")
+    return state.select("module", "name", "id")
 
 
 #: What a class or interface takes from a target of a kind.
@@ -318,10 +333,16 @@ def reference_edges(
         import_names.filter("target is not null").select(F.col("target").alias("module"), F.col("other_name").alias("name")), exported.select("module", "name"),
         aliases.select("module", F.col("local_name").alias("name")), renames.filter("target is not null").select(F.col("target").alias("module"), F.col("target_name").alias("name")),
     ]
-    asked = wanted[0]
-    for w in wanted[1:]:
-        asked = asked.unionByName(w)
-    got = written(resolve_exports(asked.filter(F.col("name") != STAR), own, renames, stars))
+    uses = top.filter("kind in ('class', 'interface')").select("module", "id", "kind", F.explode("heritage").alias("name"), F.lit("heritage").alias("use"))
+    uses = written(uses.unionByName(top.filter("kind = 'type-alias' and type_name is not null").select("module", "id", "kind", F.col("type_name").alias("name"), F.lit("type-use").alias("use"))))
+    asked = uses.select("module", F.concat(F.lit("s:"), _part("name", 0)).alias("name"))
+    for w in wanted:
+        asked = asked.unionByName(w.filter(F.col("name") != STAR).select("module", F.concat(F.lit("x:"), "name").alias("name")))
+    scope_imports = import_names.select("module", F.col("local_name").alias("name"), "ordinal", "target", F.col("other_name").alias("target_name"))
+    found = written(_resolve_marked(asked, local, scope_imports, own, renames, stars))
+    bare_name = F.substring("name", 3, 1 << 20)
+    got = found.filter(F.col("name").startswith("x:")).select("module", bare_name.alias("name"), "id")
+    heads = found.filter(F.col("name").startswith("s:")).select("module", bare_name.alias("head"), "id")
     at = lambda module, name: got.select(F.col("module").alias(module), F.col("name").alias(name), F.col("id").alias("to_id"))
     none = F.lit(None).cast("string")
 
@@ -333,10 +354,7 @@ def reference_edges(
     whole = lambda df, name: F.when(F.col(name) == STAR, F.col("target")).otherwise(F.col("to_id"))
     bare = imports.select("module", "specifier").distinct().filter(~F.col("specifier").rlike(r"^[./]")).withColumn("package", X.package_name("specifier"))
     known = bare.join(packages.select(F.col("name").alias("package"), "main", "workspace"), "package", "left")
-    uses = top.filter("kind in ('class', 'interface')").select("module", "id", "kind", F.explode("heritage").alias("name"), F.lit("heritage").alias("use"))
-    uses = uses.unionByName(top.filter("kind = 'type-alias' and type_name is not null").select("module", "id", "kind", F.col("type_name").alias("name"), F.lit("type-use").alias("use")))
-    scope_imports = import_names.select("module", F.col("local_name").alias("name"), "ordinal", "target", F.col("other_name").alias("target_name"))
-    led = resolve_dotted_scope(uses.select("module", "name").distinct(), symbols, local=local, imports=scope_imports, exports=own, renames=renames, stars=stars)
+    led = _members(uses, heads, symbols)
     met = written(uses.join(led.select("module", "name", F.col("id").alias("to_id")), ["module", "name"], "left").join(symbols.select(F.col("id").alias("to_id"), F.col("kind").alias("to_kind")), "to_id", "left"))
     special = F.coalesce(*[F.when(F.col("to_kind") == k, v) for k, v in HERITAGE.items()])
     edges = [
