@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import paths as P
 from tessella.functions import text as X
+from tessella.operators.similarity import sharing_pairs
 
 # Importance weights of a page.
 IMPORTANCE = {
@@ -90,17 +91,18 @@ def planner_relations(pages: DataFrame) -> DataFrame:
     has = lambda k: F.array_contains("kinds", k)
     edge = lambda df, src, dst, kind: df.select(src.alias("src"), dst.alias("dst"), F.lit(kind).alias("kind"))
     start = F.lit("getting-started")
-    first = edge(pages.filter((F.col("slug") != start) & (has("concept") | has("api"))), start, F.col("slug"), "prerequisite")
-    symbols = pages.select("slug", F.explode("symbols").alias("s"))
-    a, b = symbols.select(F.col("slug").alias("x"), "s"), symbols.select(F.col("slug").alias("y"), "s")
-    related = edge(a.join(b, "s").filter("x < y"), F.col("x"), F.col("y"), "related")
+    named = pages.filter("slug is not null")
+    known = named.select("slug").distinct()
+    # every end is a page's slug but for the start and what a page is split from, which are looked up
+    there = known.filter(F.col("slug") == start).select(F.lit(True).alias("there"))
+    first = edge(named.filter((F.col("slug") != start) & (has("concept") | has("api"))).join(F.broadcast(there)), start, F.col("slug"), "prerequisite")  # one row
+    related = edge(sharing_pairs(named.select(F.col("slug").alias("k"), F.explode("symbols").alias("e"))), F.col("a"), F.col("b"), "related")
     w = Window.partitionBy("split_from").orderBy("ordinal")
-    split = pages.filter("split_from is not null").withColumn("before", F.lag("slug").over(w))
+    split = pages.filter("split_from is not null").withColumn("before", F.lag("slug").over(w)).filter("slug is not null")
     step = edge(split.filter("before is not null"), F.col("before"), F.col("slug"), "next-step")
-    extends = edge(split, F.col("split_from"), F.col("slug"), "extends")
-    known = pages.select(F.col("slug").alias("src"))
-    out = first.unionByName(related).unionByName(step).unionByName(extends).distinct()
-    return out.join(known, "src", "left_semi").join(known.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst", "kind")
+    extends = edge(split.join(known.select(F.col("slug").alias("split_from")), "split_from", "left_semi"), F.col("split_from"), F.col("slug"), "extends")
+    # pairs of related pages come once
+    return first.distinct().unionByName(related).unionByName(step.distinct()).unionByName(extends.distinct())
 
 
 def breadcrumbs(tree: DataFrame) -> DataFrame:

@@ -147,3 +147,14 @@ def test_structure(spark):
     assert [(r.kind, r.target, r.valid, r.finding) for r in valid.orderBy("kind", "target").collect()] == [
         (None, "p", False, "unknown-kind"), ("anchor", "#x", True, None), ("api", None, False, "missing-api"), ("page", "p", True, None), ("page", "q", False, "missing-page"),
     ]
+
+
+def test_planner_relations_join_no_pairs_again(spark):
+    rows = [("getting-started", 0, ["overview"], ["s"], None), ("a", 1, ["api"], ["s", "t"], "g"), ("b", 2, ["api"], ["s", "t"], "g"), ("c", 3, ["x"], ["t"], "a"), (None, 4, ["api"], ["t"], "a")]
+    schema = "slug string, ordinal long, kinds array<string>, symbols array<string>, split_from string"
+    found = planning.planner_relations(spark.createDataFrame(rows + rows[1:2], schema))
+    related = [("a", "b", "related"), ("a", "c", "related"), ("a", "getting-started", "related"), ("b", "c", "related"), ("b", "getting-started", "related")]
+    assert sorted(map(tuple, found.collect())) == sorted([*related, ("getting-started", "a", "prerequisite"), ("getting-started", "b", "prerequisite"), ("a", "a", "next-step"), ("a", "b", "next-step"), ("a", "c", "extends")])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union")  # nothing gathers or joins the pairs again
+    assert planning.planner_relations(spark.createDataFrame(rows[1:], schema)).filter("kind = 'prerequisite'").count() == 0

@@ -163,3 +163,20 @@ def test_stream_classifies_and_windows(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_id", "class")) == [(1, "file-modified"), (2, "file-removed"), (3, "file-modified")]
     assert ev.windowed_counts(data, "ts", "event_type").count() == 3
     assert rows(ev.debounce(data.withColumn("u", F.lit(1)), "u", "ts", "40 minutes").select("n")) == [(1,), (2,)]
+
+
+def test_sharing_pairs_come_once_and_are_not_gathered(spark):
+    given = {"a": "pqr", "b": "pqrst", "c": "q", "d": "xyz", "e": "", "f": "uvwxyz", "g": "p"}
+    r = spark.createDataFrame([(k, e) for k, es in given.items() for e in es] + [("a", "p"), ("g", None), (None, "p")], "k string, e string")
+    n = {k: len(es) + (k == "g") for k, es in given.items()}
+    expected = sorted((a, b, n[a], n[b], len(set(given[a]) & set(given[b]))) for a in given for b in given if a < b and set(given[a]) & set(given[b]))
+    for listed in (0, 1, 3, 5, 256):  # all, some and none of the keys without a list
+        assert rows(similarity.sharing_pairs(r, listed)) == expected
+    lists = r.filter("k is not null").groupBy("k").agg(F.collect_set("e").alias("s")).select("k", F.size("s").alias("n"), "s", F.explode("s").alias("e"))
+    plan = similarity._listed_pairs(lists)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join")[0]
+
+
+def test_contained_sets(spark):
+    i = spark.createDataFrame([(1, ["p", "q"]), (2, ["q", "p", "p"]), (3, ["q"]), (4, ["q", "z"]), (5, []), (6, [None, "q"])], "k long, s array<string>")
+    assert rows(similarity.containment_pairs(i, "k", "s")) == [(1, 2, 2), (1, 3, 1), (2, 3, 1), (3, 4, 1), (3, 6, 1)]
