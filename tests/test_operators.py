@@ -180,3 +180,12 @@ def test_sharing_pairs_come_once_and_are_not_gathered(spark):
 def test_contained_sets(spark):
     i = spark.createDataFrame([(1, ["p", "q"]), (2, ["q", "p", "p"]), (3, ["q"]), (4, ["q", "z"]), (5, []), (6, [None, "q"])], "k long, s array<string>")
     assert rows(similarity.containment_pairs(i, "k", "s")) == [(1, 2, 2), (1, 3, 1), (2, 3, 1), (3, 4, 1), (3, 6, 1)]
+
+
+def test_subject_classes_do_not_expand_copies(spark):
+    given = [(k, "x", ["p", "q"] if k % 2 else ["q", "p", "p"]) for k in range(100)] + [(100, "x", ["p", "r"]), (101, "y", ["p"]), (102, "x", []), (103, "x", None), (104, None, ["p"])]
+    found = similarity.subject_classes(spark.createDataFrame(given, "k long, g string, t array<string>"), "k", ["g"], "t").collect()
+    pairs = {(r.a, r.b): r.similarity for r in found if not r.member}
+    assert pairs == {(0, 100): 0.5, (0, 102): 0.0, (0, 103): None, (100, 102): 0.0, (100, 103): None, (102, 103): None}
+    assert sorted((r.b, r.a) for r in found if r.member) == [(k, 0) for k in range(100)] + [(k, k) for k in range(100, 104)]
+    assert {r.similarity for r in found if r.member and r.b <= 101} == {1.0}
