@@ -37,3 +37,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` to be joined by sorting and merging and never broadcast.
+
+    Sizes of compressed files and of checkpoints are estimates far below the rows'
+    size, by which Spark would send a table that grows with the input through the
+    driver, in every round anew.
+    """
+    return df.hint("merge")

@@ -2,7 +2,7 @@
 
 Traversals are semi-naive: each round joins only the newest nodes with the edges,
 drops what is known, and checkpoints, so the lineage stays flat and a lost
-executor costs a round. Only counts come to the driver.
+executor costs a round. Only counts and small fronts come to the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.common import cut
+from tessella.operators.common import cut, spread
+
+#: Nodes of a round that may be broadcast.
+SMALL = 10_000
 
 # Kinds of relations and their inverses.
 INVERSE_KINDS = {
@@ -27,13 +30,16 @@ def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int = 10_000, inclu
 
     Seeds count only if they are reached again, unless ``include_seeds``.
     """
-    links = edges.select("src", "dst").distinct()
+    links = cut(edges.select("src", "dst").distinct())
     front = cut(seeds.select(F.col("node")).distinct())
+    size = front.count()
     known = front.select("node", F.lit(0).alias("depth")) if include_seeds else front.limit(0).select("node", F.lit(0).alias("depth"))
     for depth in range(1, max_depth + 1):
-        step = front.join(links, front["node"] == links["src"]).select(F.col("dst").alias("node")).distinct()
-        front = cut(step.join(known, "node", "left_anti"))
-        if front.isEmpty():
+        near = front.select(F.col("node").alias("src"))
+        step = links.join(F.broadcast(near) if size <= SMALL else spread(near), "src").select(F.col("dst").alias("node")).distinct()
+        front = cut(step.join(spread(known), "node", "left_anti"))
+        size = front.count()
+        if not size:
             return known
         known = cut(known.unionByName(front.select("node", F.lit(depth).alias("depth"))))
     return known
@@ -47,7 +53,7 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 def walked_edges(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges that a walk from the seeds follows: those whose source is a seed or reached."""
     nodes = reachable(edges, seeds, include_seeds=True).select(F.col("node").alias("src"))
-    return edges.join(nodes, "src", "left_semi")
+    return edges.join(spread(nodes), "src", "left_semi")
 
 
 def ancestors(parents: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -103,7 +109,7 @@ def mirror_inverse(relations: DataFrame) -> DataFrame:
 def dependency_edges(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """(dependency, dependent) pairs between known nodes, of the kinds that order pages."""
     kept = relations.filter(F.col("kind").isin(*DEPENDENCY_KINDS) & (F.col("src") != F.col("dst")))
-    kept = kept.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
+    kept = kept.join(spread(nodes.select(F.col("node").alias("src"))), "src", "left_semi").join(spread(nodes.select(F.col("node").alias("dst"))), "dst", "left_semi")
     return kept.select("src", "dst")
 
 
@@ -114,12 +120,12 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     done = left.limit(0).select("node", F.lit(0).alias("level"))
     level = 0
     while True:
-        blocked = links.join(left.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node"))
-        ready = cut(left.join(blocked, "node", "left_anti"))
+        blocked = links.join(spread(left.select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node"))
+        ready = cut(left.join(spread(blocked), "node", "left_anti"))
         if ready.isEmpty():
             return done.unionByName(left.select("node", F.lit(None).cast("int").alias("level")))
         done = cut(done.unionByName(ready.select("node", F.lit(level).alias("level"))))
-        left = cut(left.join(ready, "node", "left_anti"))
+        left = cut(left.join(spread(ready), "node", "left_anti"))
         level += 1
 
 
@@ -133,8 +139,8 @@ def cyclic_core(edges: DataFrame) -> DataFrame:
     left = cut(edges.filter("src <> dst").select("src", "dst").distinct())
     size = left.count()
     while size:
-        kept = left.join(left.select(F.col("dst").alias("src")), "src", "left_semi")
-        kept = cut(kept.join(kept.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        kept = left.join(spread(left.select(F.col("dst").alias("src"))), "src", "left_semi")
+        kept = cut(kept.join(spread(kept.select(F.col("src").alias("dst"))), "dst", "left_semi").select("src", "dst"))
         now = kept.count()
         if now == size:
             return kept
@@ -162,15 +168,15 @@ def elementary_cycles(edges: DataFrame, max_length: int = 200) -> DataFrame:
     Paths grow from their least node inside the cyclic core, so a cycle is found
     once and a path never leaves what can close.
     """
-    core = cut(cyclic_core(edges))
+    core = cyclic_core(edges)
     paths = core.filter("src < dst").select(F.col("src").alias("start"), F.array("src", "dst").alias("path"))
     step = core.select(F.col("src").alias("tail"), F.col("dst").alias("next"))
     found = None
     for _ in range(2, max_length + 1):
-        grown = paths.withColumn("tail", F.element_at("path", -1)).join(step, "tail").filter("next >= start")
+        grown = cut(paths.withColumn("tail", F.element_at("path", -1)).join(spread(step), "tail").filter("next >= start"))
         closed = grown.filter("next = start").select("path")
         found = closed if found is None else found.unionByName(closed)
-        paths = cut(grown.filter(~F.array_contains("path", F.col("next"))).select("start", F.concat("path", F.array("next")).alias("path")))
+        paths = grown.filter(~F.array_contains("path", F.col("next"))).select("start", F.concat("path", F.array("next")).alias("path"))
         if paths.isEmpty():
             break
     return found if found is not None else core.select(F.array("src", "dst").alias("path")).limit(0)

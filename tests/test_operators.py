@@ -189,3 +189,20 @@ def test_subject_classes_do_not_expand_copies(spark):
     assert pairs == {(0, 100): 0.5, (0, 102): 0.0, (0, 103): None, (100, 102): 0.0, (100, 103): None, (102, 103): None}
     assert sorted((r.b, r.a) for r in found if r.member) == [(k, 0) for k in range(100)] + [(k, k) for k in range(100, 104)]
     assert {r.similarity for r in found if r.member and r.b <= 101} == {1.0}
+
+
+def test_graph_rounds_broadcast_no_table(spark, monkeypatch):
+    from tessella.operators import structure
+
+    plans, cut = [], graph.cut
+    see = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(graph, "cut", lambda df: cut(see(df)))
+    monkeypatch.setattr(graph, "SMALL", 0)
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 5)], "src long, dst long")
+    n = spark.createDataFrame([(k,) for k in range(1, 6)], "node long")
+    assert rows(see(graph.walked_edges(e, n.filter("node = 2")))) == [(1, 2), (2, 3), (3, 1), (3, 4)]
+    needs = see(graph.dependency_edges(n, e.withColumn("kind", F.lit("extends"))))
+    assert rows(see(graph.topological_levels(n, needs.filter("dst <> 1"))).filter("node < 5")) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    kinds = e.withColumn("kind", F.lit("k")).withColumn("resolved", F.col("src") < 3)
+    assert rows(see(structure.typed_cycles(kinds))) == [("k", [1, 2, 3], False)]
+    assert len(plans) > 20 and not [p for p in plans if "Broadcast" in p]
