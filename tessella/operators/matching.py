@@ -16,6 +16,8 @@ from tessella.operators.similarity import rename_similarity
 SIMILAR = 0.6
 #: Pieces of names, under 100 bytes each, that may be broadcast.
 BROADCAST_PIECES = 200_000
+#: Pairs of an old and a new name, most of which never meet, that the probes of one task stand for, and the most tasks.
+TASK_PAIRS, TASKS = 2_000_000, 4_000
 
 
 def _grams(text: Column, n: int) -> Column:
@@ -93,10 +95,12 @@ def similar_names(old: DataFrame, new: DataFrame) -> DataFrame:
     a, b = written(named(old)), written(named(new))
     keys, shorter = ["size", "k", "piece"], F.length("old") < F.length("new")
     call = lambda df, name: df.withColumnRenamed("name", name)
+    # a table of names is a few small files, each read by one task, but a name meets the more pieces the more names there are
+    tasks = min(max(1, -(-a.count() * b.count() // TASK_PAIRS)), TASKS)
     p, q = written(_pieces(a)), written(_pieces(b))
     held = lambda df: F.broadcast(df) if df.count() <= BROADCAST_PIECES else df
-    met = call(_probes(b), "new").join(held(call(p, "old")), keys).select("old", "new")
-    met = met.unionByName(call(_probes(a), "old").join(held(call(q, "new")), keys).select("old", "new").filter(shorter))
+    met = call(_probes(b.repartition(tasks)), "new").join(held(call(p, "old")), keys).select("old", "new")
+    met = met.unionByName(call(_probes(a.repartition(tasks)), "old").join(held(call(q, "new")), keys).select("old", "new").filter(shorter))
     both = _parts(a.unionByName(b).distinct())
     met = met.unionByName(call(both.join(a, "name", "left_semi"), "old").join(call(both.join(b, "name", "left_semi"), "new"), "part").select("old", "new"))
     return met.distinct().withColumn("score", rename_similarity("old", "new")).filter(F.col("score") >= SIMILAR)

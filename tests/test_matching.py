@@ -90,3 +90,13 @@ def test_impact_rules(spark):
         ("deprecate", "k", None), ("create", "migration", None), ("regenerate", "c", None),
     }
     assert M.classify_impact(c.limit(0), p).count() == 0
+
+
+def test_probes_are_dealt_to_tasks(spark, monkeypatch):
+    seen, probes = [], M._probes
+    monkeypatch.setattr(M, "_probes", lambda df: seen.append(df.rdd.getNumPartitions()) or probes(df))
+    monkeypatch.setattr(M, "TASK_PAIRS", 10, raising=False)
+    names = lambda end: spark.createDataFrame([(f"some-name-{k}{end}",) for k in range(10)], "name string").coalesce(1)
+    found = M.similar_names(names("a"), names("b"))
+    assert seen == [10, 10]
+    assert found.count() == 100  # one letter and at most one digit apart
