@@ -75,14 +75,17 @@ def type_edges(symbols: DataFrame) -> DataFrame:
 def title_mentions(pages: DataFrame, key: str, title: str, text: str, least: int = 4) -> DataFrame:
     """Pairs (page, mentions) where a page's text has another's title between word boundaries.
 
-    Both sides meet on the title's first word, so not every pair is searched.
+    Both sides meet on the title's first word, so not every pair is searched, and
+    only texts that hold the title are searched for its boundaries.
     """
     word = r"[A-Za-z0-9_]+"
     titles = pages.filter(F.length(title) >= least).select(F.col(key).alias("mentions"), F.col(title).alias("_t"), F.regexp_extract(title, word, 0).alias("w"))
     words = pages.select(F.col(key).alias("page"), F.col(text).alias("_x"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(word), F.lit(0)))).alias("w"))
     quoted = F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), F.col("_t"), F.lit(r"\E(?![A-Za-z0-9_])"))
     other = F.col("page") != F.col("mentions")
-    return words.join(titles, "w").filter(other & F.regexp_like("_x", quoted)).select("page", "mentions").distinct()
+    # a plain search first: a pattern of its own for each pair is costly to build and slow over a long text
+    holds = F.contains("_x", F.col("_t"))
+    return words.join(titles, "w").filter(other & holds & F.regexp_like("_x", quoted)).select("page", "mentions").distinct()
 
 
 def affected_pages(changes: DataFrame, mentions: DataFrame) -> DataFrame:

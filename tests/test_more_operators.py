@@ -158,3 +158,11 @@ def test_planner_relations_join_no_pairs_again(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union")  # nothing gathers or joins the pairs again
     assert planning.planner_relations(spark.createDataFrame(rows[1:], schema)).filter("kind = 'prerequisite'").count() == 0
+
+
+def test_title_mentions_look_for_the_title_before_its_boundaries(spark):
+    p = spark.createDataFrame([(1, "Big red", "a Big red-1 one"), (2, "Big blue", "Big redder and xBig blue"), (3, None, "Big blue (Big red)"), (4, "Big", None)], "id long, title string, text string")
+    found = references.title_mentions(p, "id", "title", "text")
+    assert sorted(map(tuple, found.collect())) == [(3, 1), (3, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("Contains(") < plan.find("RLIKE")
