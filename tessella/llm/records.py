@@ -33,11 +33,9 @@ record and reads back as an empty table.
 
 from __future__ import annotations
 
-import array
 import functools
 import re
 import struct
-import sys
 import zlib
 
 import numpy as np
@@ -52,16 +50,15 @@ MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qBI")
 _TAIL = struct.Struct("<I")
-_SPACE = r"[^\S\x1c-\x1f]"  # U+001C..U+001F are no space to the tokenizer
-#: White space and a run of letters and digits, or white space and a run of other characters.
-#: A run of others that ends with an apostrophe takes the letters after it along, as in 's.
-_PIECE = re.compile(
-    rf"{_SPACE}*[^\W_]+|{_SPACE}*(?:_|[^\w\s]|[\x1c-\x1f])+(?:(?<=')[^\W_]+)?|{_SPACE}+"
-)
+#: Between a character that is no white space and one that is; no token spans such a place.
+#: U+001C..U+001F are no space to the tokenizer.
+_CUT = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")
+#: Characters that are cut to pieces at once; different pieces are looked up once in them.
+STRETCH = 1 << 21
 #: Bytes of text that one file is meant for.
 FILE_BYTES = 128 << 20
 #: Pieces that one generation of a worker's memory holds.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -70,66 +67,153 @@ def masked_crc(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
+@functools.cache
+def _character_classes() -> np.ndarray:
+    """Of each code point: 0 white space, 1 letter or digit, 2 another character, 3 the apostrophe."""
+    of = np.full(0x110000, 2, dtype=np.uint8)
+    for k in range(0x110000):
+        c = chr(k)
+        if c.isalnum():
+            of[k] = 1
+        elif c.isspace() and not 0x1C <= k <= 0x1F:
+            of[k] = 0
+    of[ord("'")] = 3
+    return of
+
+
+def pieces_of(texts: list[str]) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """All pieces of the texts in turn, and the number of pieces before each text and in all.
+
+    A piece is white space and a run of letters and digits, or white space and a run of
+    others; others that end with an apostrophe take the letters after it along, as in 's.
+    """
+    ends = np.cumsum([0, *map(len, texts)])
+    whole = "".join(texts)
+    points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+    classes, step = _character_classes(), 1 << 18  # in steps, because places of eight bytes are made of the points
+    of = np.concatenate([classes[:0], *[classes[points[k : k + step]] for k in range(0, len(points), step)]])
+    before, after = of[:-1], of[1:]
+    starts = np.zeros(len(points) + 1, dtype=bool)
+    starts[1:-1] = (after == 0) & (before != 0) | (before == 1) & (after >= 2) | (before == 2) & (after == 1)
+    starts[ends] = True
+    places = np.flatnonzero(starts)
+    raw, offsets = whole.encode(), places.astype(np.int64)
+    if len(raw) > len(points):
+        size = np.ones(len(points), dtype=np.uint8)
+        for least in (0x80, 0x800, 0x10000):
+            size += points >= least
+        offsets = np.concatenate([[0], np.cumsum(np.add.reduceat(size, places[:-1], dtype=np.int64))])
+    found = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
+    return found, np.searchsorted(places, ends)
+
+
 class PieceEncoder:
     """The tokenizers library behind a bounded memory of the pieces seen.
 
     No token spans the end of a piece, so a text's ids are those of its pieces in
     turn. The memory has two generations: when the young one is full it becomes
     the old one, from which pieces that are met again return. Pieces that it lacks
-    go to the library in one batch; long pieces are never remembered.
+    go to the library in one batch, joined by the special token where it has just one;
+    long pieces are never remembered.
     """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         # special tokens are cut out of a text before it is split to pieces
-        special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.special = special
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = sorted((t.content for t in added.values()), key=len, reverse=True)
         self.around = re.compile(f"({'|'.join(map(re.escape, special))})") if special else None
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = dict(zip(special, map(self._packed, self._ids_of(special)), strict=True))
+        self.joint = None
+        if len(added) == 1:
+            ((number, token),) = added.items()
+            name = token.content
+            apart = not any(name.startswith(name[k:]) for k in range(1, len(name)))  # never found across its own ends
+            if apart and not (token.lstrip or token.rstrip or token.single_word or token.normalized):
+                self.joint = name, number
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed in ``width`` bytes each, little-endian."""
-        pieces = [self.pieces(t) for t in texts]
-        packed = [list(map(self.young.get, p)) for p in pieces]
-        missing: set[str] = set()
-        for own, ids in zip(pieces, packed, strict=True):
-            if None in ids:
-                for k, found in enumerate(ids):
-                    if found is None:
-                        found = self.old.get(own[k])
-                        if found is None:
-                            missing.add(own[k])
-                        else:
-                            self.young[own[k]] = ids[k] = found
-        learnt = self._encode(list(missing)) if missing else {}
+        own = [self.stretches(t) for t in texts]
+        flat = [s for part in own for s in part]
+        packed: list[bytes | None] = [self.special.get(s) for s in flat]
+        group, size = [], 0
+        for k, s in enumerate(flat):
+            if packed[k] is None:
+                group.append(k)
+                size += len(s)
+            if group and (size >= STRETCH or k == len(flat) - 1):
+                for at, ids in zip(group, self._encode([flat[g] for g in group]), strict=True):
+                    packed[at] = ids
+                group, size = [], 0
+        turn = iter(packed)
+        return [b"".join(next(turn) for _ in part) for part in own]
+
+    def stretches(self, text: str) -> list[str]:
+        """A text in parts: special tokens, and what is between them, long parts cut where no piece reaches across."""
+        if not any(t in text for t in self.special):
+            parts = [text]
+        else:
+            parts = [p for p in self.around.split(text) if p]
+        if len(text) <= STRETCH:
+            return parts
         out = []
-        for own, ids in zip(pieces, packed, strict=True):
-            if None in ids:
-                ids = [learnt[p] if x is None else x for p, x in zip(own, ids, strict=True)]
-            out.append(b"".join(ids))
-        self.young.update((p, x) for p, x in learnt.items() if len(p) <= 64)
+        for part in parts:
+            start = 0
+            while len(part) - start > STRETCH and (cut := _CUT.search(part, start + STRETCH)):
+                out.append(part[start : cut.start()])
+                start = cut.start()
+            out.append(part[start:])
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without special tokens."""
+        pieces, ends = pieces_of(texts)
+        different = pieces.dictionary_encode()
+        names = different.dictionary.to_pylist()
+        ids = list(map(self.young.get, names))
+        missing = []
+        for k, found in enumerate(ids):
+            if found is None:
+                found = self.old.get(names[k])
+                if found is None:
+                    missing.append(k)
+                else:
+                    self.young[names[k]] = ids[k] = found
+        for k, found in zip(missing, self._learn([names[k] for k in missing]), strict=True):
+            ids[k] = found
+            if len(names[k]) <= 64:
+                self.young[names[k]] = found
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
+        taken = pa.array(ids, pa.large_binary()).take(different.indices)
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[ends].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [bytes(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by the library."""
+        if self.joint is None:
+            return list(map(self._packed, self._ids_of(pieces)))
+        (name, number), out = self.joint, []
+        for k in range(0, len(pieces), 1000):
+            (ids,) = self._ids_of([name.join(pieces[k : k + 1000])])
+            ids = np.array(ids, dtype=f"<u{self.width}")
+            ends = np.flatnonzero(ids == number)
+            raw, starts = ids.tobytes(), [0, *((ends + 1) * self.width).tolist()]
+            out += [raw[a:b] for a, b in zip(starts, [*(ends * self.width).tolist(), len(raw)], strict=True)]
         return out
 
-    def pieces(self, text: str) -> list[str]:
-        """The pieces of a text, special tokens as pieces of their own."""
-        if not any(t in text for t in self.special):
-            return _PIECE.findall(text)
-        parts = self.around.split(text)
-        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else _PIECE.findall(part))]
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
-        kind = {array.array(c).itemsize: c for c in "HIL"}[self.width]
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        packed = (array.array(kind, e.ids) for e in found)
-        if sys.byteorder == "big":
-            packed = (x for x in packed if x.byteswap() is None)
-        return {p: x.tobytes() for p, x in zip(pieces, packed, strict=True)}
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=f"<u{self.width}").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -196,13 +280,25 @@ def write_records(
     def run(batches):
         encoder = load_encoder(tokenizer_file)
         end = int(end_id).to_bytes(encoder.width, "little")
-        for batch in batches:
-            ids = encoder.encode_many(batch.column(1).to_pylist())
-            out = [frame(i, x + end, encoder.width) for i, x in zip(batch.column(0).to_pylist(), ids, strict=True)]
+        names: list[int | None] = []
+        texts: list[str] = []
+        size = 0
+
+        def framed() -> pa.RecordBatch:
+            out = [frame(i, x + end, encoder.width) for i, x in zip(names, encoder.encode_many(texts), strict=True)]
             # a frame's last byte is the line end that the text writer adds
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[:-1] for x in out], pa.binary())], names=["value"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array([x[:-1] for x in out], pa.binary())], names=["value"])
+
+        for batch in batches:
+            more = batch.column(1).to_pylist()
+            names += batch.column(0).to_pylist()
+            texts += more
+            size += sum(map(len, more))
+            if size >= STRETCH:
+                yield framed()
+                names, texts, size = [], [], 0
+        if names:
+            yield framed()
 
     ordered.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.text(
         f"{path}/data"

@@ -125,6 +125,31 @@ def test_records(spark, documents, tmp_path):
     assert [r.doc_id for r in records.layout(spark, str(tmp_path / "r")).orderBy("start").collect()] == [None, 1, 2]
 
 
+def test_pieces_of_texts_are_cut_at_once(monkeypatch):
+    import random
+    import re
+
+    from tokenizers import Tokenizer
+
+    space = r"[^\S\x1c-\x1f]"
+    plain = re.compile(rf"{space}*[^\W_]+|{space}*(?:_|[^\w\s]|[\x1c-\x1f])+(?:(?<=')[^\W_]+)?|{space}+")
+    rng, marks = random.Random(3), [*" \t\n\u3000\x1c\x1f\x85'_-.,aZ9é日①\u0301🙂", "'s", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(rng.choice(marks) for _ in range(rng.randrange(30))) for _ in range(500)]
+    found, ends = records.pieces_of(texts)
+    found = found.to_pylist()
+    assert [found[a:b] for a, b in zip(ends[:-1], ends[1:])] == [plain.findall(t) for t in texts]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for stretch in (1 << 23, 7):
+        monkeypatch.setattr(records, "STRETCH", stretch)
+        encoder = records.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+        assert encoder.joint and [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_many(texts)] == want
+        encoder = records.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+        encoder.joint = None  # as with no special token, or several
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode_many(texts)] == want
+    assert encoder.encode_many([]) == [] and encoder.encode_many(["", ""]) == [b"", b""]
+
+
 def test_damaged_record_is_found():
     whole = records.frame(7, b"\x01\x00\x02\x00", 2)
     ((at, size, doc_id, ids),) = records.frames(whole)
