@@ -39,6 +39,22 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of one Arrow batch where rows hold lists.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches, so that the lists a Python worker holds do not grow with the table.
+
+    Spark reads both settings when a plan is prepared, so they stay lowered; smaller ones are kept.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` to be joined by sorting and merging and never broadcast.
 

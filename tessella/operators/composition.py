@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions import text as X
+from tessella.operators.common import bound_batches
 
 LAYERS = ("generated", "previous", "user", "ai")
 _COLUMNS = ("slug", "layer", "ordinal", "kind", "level", "text")
@@ -113,6 +114,7 @@ _PLAN = T.StructType([T.StructField("entries", T.ArrayType(_ENTRY)), T.StructFie
 
 def _planned(layers: DataFrame, pages: DataFrame) -> DataFrame:
     """slug, title, ordinals of each layer in order, and the plan of its entries."""
+    bound_batches(layers.sparkSession)
     block = F.struct("ordinal", fingerprint().alias("fp"))
     packed = layers.groupBy("slug").agg(*[F.array_sort(F.collect_list(F.when(F.col("layer") == n, block))).alias(n) for n in LAYERS])
 
@@ -122,6 +124,7 @@ def _planned(layers: DataFrame, pages: DataFrame) -> DataFrame:
         entries = [[{"layer": layer, "rank": k, "ownership": own} for layer, k, own in e] for e, _ in made]
         return pd.DataFrame({"entries": entries, "conflict": pd.array([c for _, c in made], dtype="Int32")})
 
+    plan = plan.asNondeterministic()  # else Spark runs it once more, to drop empty plans before they are exploded
     of = lambda n, part: F.transform(F.coalesce(n, F.array().cast("array<struct<ordinal:bigint,fp:string>>")), lambda b: b[part])
     met = pages.select("slug", "protected", "user_title", "generated_title").join(packed, "slug", "left")
     title = F.coalesce(F.when(F.size("user") > 0, F.col("user_title")), F.when((F.size("generated") > 0) & ~(F.col("protected") & (F.size("user") > 0)), F.col("generated_title")), F.col("slug").cast("string"))

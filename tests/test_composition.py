@@ -96,3 +96,20 @@ def test_overrides_apply_in_order(spark):
     assert [(r.slug, r.title, r["index"], r.kind, r.text) for r in got] == [
         ("p", "New", 0, "paragraph", "b"), ("p", "New", 1, "heading", "New"), ("p", "New", 2, "heading", "Stay"), ("p", "New", 3, "code", "first"), ("p", "New", 4, "code", "c"), ("q", "Q", 0, "paragraph", "only"),
     ]
+
+
+def test_pages_are_planned_in_bounded_batches(spark):
+    rows = spark.range(0, 1300, 1, 1).selectExpr("cast(id as string) slug", "'user' layer", "id ordinal", "'code' kind", "cast(null as int) level", "'x' text")
+    known = rows.selectExpr("slug", "false protected", "cast(null as string) user_title", "cast(null as string) generated_title")
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set(keys[0], "10000")
+        spark.conf.set(keys[1], str(1 << 30))
+        assert C.composed_pages(rows, known).count() == 1300
+        seen = [int(str(spark.conf.get(k)).rstrip("b")) for k in keys]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, str(v).rstrip("b"))
+    assert seen[0] <= 500 and seen[1] <= 4 << 20
+    assert C.compose(rows, known)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
