@@ -39,6 +39,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Parts:
+    """A table in the shared folder that grows by a part a round; the parts before are not written again."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes ``df`` as the next part and gives that part."""
+        self.paths.append(f"{_shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}")
+        df.write.parquet(self.paths[-1])
+        self.reader = df.sparkSession.read.schema(df.schema)
+        return self.reader.parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        """All parts."""
+        return self.reader.parquet(*self.paths)
+
+
 #: Rows and bytes of one Arrow batch where rows hold lists.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 

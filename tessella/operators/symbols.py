@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators.common import written
+from tessella.operators.common import Parts, written
 
 # Kinds of symbols, by what they may contain.
 CALLABLE = ("function", "method", "constructor", "getter", "setter")
@@ -174,32 +174,29 @@ def _passed_on(keys: DataFrame, renames: DataFrame, stars: DataFrame | None) ->
 
 def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Follows names to the first terminal (module, name, id, ordinal) that their ways in order lead to."""
-    own = terminal.groupBy("module", "name").agg(F.min_by("id", "ordinal").alias("id"))
-    keys = written(wanted.select("module", "name").distinct())
-    front = keys
-    while True:  # the names that names lead to
-        step = ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null")
+    own = written(terminal.groupBy("module", "name").agg(F.min_by("id", "ordinal").alias("id")))
+    keys, steps = Parts(), Parts()
+    asked = front = keys.add(wanted.select("module", "name").distinct())
+    while True:  # the names that names lead to, and the ways there
+        step = steps.add(ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null"))
         led = step.filter(F.col("target_name") != STAR).select(F.col("target").alias("module"), F.col("target_name").alias("name")).distinct()
-        front = written(led.join(keys, ["module", "name"], "left_anti"))
+        front = keys.add(led.join(keys.all(), ["module", "name"], "left_anti"))
         if front.isEmpty():
             break
-        keys = written(keys.unionByName(front))
-    ways = ways_of(keys.join(own, ["module", "name"], "left_anti")).filter("target is not null")
-    order = Window.partitionBy("module", "name").orderBy("rank", "ordinal", "target", "target_name")
-    ways = written(ways.withColumn("way", F.row_number().over(order)))
-    ends = keys.join(own, ["module", "name"]).select("module", "name", "id")
+    ways = steps.all()
+    ends = keys.all().join(own, ["module", "name"]).select("module", "name", "id")
     # names that lead somewhere, from the ends back
-    open_ = written(ends.select("module", "name").unionByName(ways.filter(F.col("target_name") == STAR).select("module", "name")).distinct())
-    front = open_
+    lead = Parts()
+    front = lead.add(ends.select("module", "name").unionByName(ways.filter(F.col("target_name") == STAR).select("module", "name")).distinct())
     while True:
         back = front.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-        front = written(ways.join(back, ["target", "target_name"]).select("module", "name").distinct().join(open_, ["module", "name"], "left_anti"))
+        front = lead.add(ways.join(back, ["target", "target_name"]).select("module", "name").distinct().join(lead.all(), ["module", "name"], "left_anti"))
         if front.isEmpty():
             break
-        open_ = written(open_.unionByName(front))
-    lives = open_.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-    met = ways.join(lives.withColumn("alive", F.lit(True)), ["target", "target_name"], "left")
-    live = written(met.filter((F.col("target_name") == STAR) | F.col("alive")).select(*ways.columns))
+    lives = lead.all().select(F.col("module").alias("target"), F.col("name").alias("target_name"))
+    live = ways.filter(F.col("target_name") != STAR).join(lives, ["target", "target_name"], "left_semi").select(*ways.columns).unionByName(ways.filter(F.col("target_name") == STAR))
+    order = Window.partitionBy("module", "name").orderBy("rank", "ordinal", "target", "target_name")
+    live = written(live.select("module", "name", "target", "target_name", F.row_number().over(order).alias("way")))
     first = live.groupBy("module", "name").agg(F.min_by(F.struct("target", "target_name"), "way").alias("to"))
     named = F.col("to.target_name") == STAR
     state = first.select("module", "name", F.when(named, F.col("to.target")).alias("id"), F.when(~named, F.col("to.target")).alias("to_module"), F.when(~named, F.col("to.target_name")).alias("to_name"))
@@ -211,7 +208,6 @@ def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFram
         met = state.join(ahead, ["to_module", "to_name"], "left")
         state = written(met.select("module", "name", F.coalesce("id", "id2").alias("id"), F.when(F.col("id2").isNull(), F.col("m2")).alias("to_module"), F.when(F.col("id2").isNull(), F.col("n2")).alias("to_name")))
         left, before = state.filter("id is null").count(), left
-    asked = wanted.select("module", "name").distinct()
     found = state.filter("id is not null").select("module", "name", "id")
     if left:
         circling = written(state.filter("id is null").select("module", "name").join(asked, ["module", "name"], "left_semi"))
@@ -224,20 +220,19 @@ def _first_paths(starts: DataFrame, live: DataFrame, ends: DataFrame) -> DataFra
     """Ends of the first path from each start that visits no name twice."""
     key = F.concat_ws("\x00", "module", "name")
     paths = starts.select(F.struct("module", "name").alias("s"), "module", "name", F.array(key).alias("seen"), F.array().cast("array<int>").alias("turns"))
-    done = None
-    ends = ends.withColumnRenamed("id", "end")
+    stops = ends.select(F.col("module").alias("target"), F.col("name").alias("target_name"), F.col("id").alias("end"))
+    ways = live.join(stops, ["target", "target_name"], "left")
+    ways = written(ways.withColumn("end", F.when(F.col("target_name") == STAR, F.col("target")).otherwise(F.col("end"))))
+    best = None
     while True:
-        step = paths.join(live, ["module", "name"]).select("s", F.col("target").alias("module"), F.col("target_name").alias("name"), "seen", F.concat("turns", F.array("way")).alias("turns"))
-        step = step.filter(~F.array_contains("seen", key)).withColumn("seen", F.concat("seen", F.array(key)))
-        met = written(step.join(ends, ["module", "name"], "left").withColumn("end", F.when(F.col("name") == STAR, F.col("module")).otherwise(F.col("end"))))
-        hits = met.filter("end is not null").select("s", "turns", "end")
-        done = hits if done is None else done.unionByName(hits)
-        best = done.groupBy("s").agg(F.min("turns").alias("best"))
+        step = paths.join(ways, ["module", "name"]).select("s", F.col("target").alias("module"), F.col("target_name").alias("name"), "seen", F.concat("turns", F.array("way")).alias("turns"), "end")
+        met = written(step.filter(~F.array_contains("seen", key)).withColumn("seen", F.concat("seen", F.array(key))))
+        if best is not None and met.isEmpty():
+            return best.select("s.module", "s.name", F.col("best.end").alias("id"))
+        hits = met.filter("end is not null").groupBy("s").agg(F.min(F.struct("turns", "end")).alias("best"))
+        best = written(hits if best is None else best.unionByName(hits).groupBy("s").agg(F.min("best").alias("best")))
         # a path that parts from the best one on a later way cannot come first
-        paths = written(met.filter("end is null").drop("end").join(best, "s", "left").filter("best is null or turns < best").drop("best"))
-        if paths.isEmpty():
-            return done.groupBy("s").agg(F.min_by("end", "turns").alias("id")).select("s.module", "s.name", "id")
-        done = written(done)
+        paths = met.filter("end is null").drop("end").join(best, "s", "left").filter("best is null or turns < best.turns").drop("best")
 
 
 def resolve_scope(uses: DataFrame, local: DataFrame, imports: DataFrame, exports: DataFrame, renames: DataFrame, stars: DataFrame) -> DataFrame:

@@ -116,3 +116,19 @@ def test_scope_comes_before_exports(spark):
     uses = spark.createDataFrame([("a", n) for n in ("l", "i", "ns", "none", "z", "x", "secret", "nothing")], "module string, name string")
     got = {r.name: r.id for r in S.resolve_scope(uses, local, imports, exports, renames, stars).collect()}
     assert got == {"l": "a#l", "i": "b#x", "ns": "c", "none": None, "z": "c#y", "x": "b#x", "secret": "b#secret", "nothing": None}
+
+
+def test_rounds_of_a_chain_write_no_name_twice(spark, monkeypatch):
+    made = []
+
+    class Seen(S.Parts):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(S, "Parts", Seen)
+    known = tables(spark, [("m0", "a", "m0#a", 0)], [(f"m{k}", "a", 0, f"m{k - 1}", "a") for k in range(1, 4)], [("m9", 0, "m8")])
+    wanted = spark.createDataFrame([("m3", "a"), ("m9", "a")], "module string, name string")
+    assert [tuple(r) for r in S.resolve_exports(wanted, *known).collect()] == [("m3", "a", "m0#a")]
+    keys, steps, lead = made
+    assert [p.all().count() for p in made] == [p.all().distinct().count() for p in made] == [6, 4, 4]
