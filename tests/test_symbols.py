@@ -132,3 +132,21 @@ def test_rounds_of_a_chain_write_no_name_twice(spark, monkeypatch):
     assert [tuple(r) for r in S.resolve_exports(wanted, *known).collect()] == [("m3", "a", "m0#a")]
     keys, steps, lead = made
     assert [p.all().count() for p in made] == [p.all().distinct().count() for p in made] == [6, 4, 4]
+
+
+def test_rounds_of_scopes_write_no_name_twice(spark, monkeypatch):
+    made = []
+
+    class Seen(S.Parts):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(S, "Parts", Seen)
+    exports, renames, stars = tables(spark, [("m0", "a", "m0#a", 0)], [(f"m{k}", "a", 0, f"m{k - 1}", "a") for k in (1, 2)], [("m9", 0, "m8")])
+    local = spark.createDataFrame([("m9", "own", "m9#own", 0)], "module string, name string, id string, ordinal int")
+    imports = spark.createDataFrame([("m9", "i", 0, "m2", "a")], "module string, name string, ordinal int, target string, target_name string")
+    uses = spark.createDataFrame([("m9", n) for n in ("i", "own", "lost")], "module string, name string")
+    got = {r.name: r.id for r in S.resolve_scope(uses, local, imports, exports, renames, stars).collect()}
+    assert got == {"i": "m0#a", "own": "m9#own", "lost": None} and len(made) == 3
+    assert all(p.all().count() == p.all().distinct().count() for p in made)
