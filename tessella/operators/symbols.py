@@ -160,64 +160,82 @@ def resolve_exports(wanted: DataFrame, exports: DataFrame, renames: DataFrame, s
     id is its name. ``stars``: module, ordinal, target. A module's own export comes before named
     re-exports, these before stars, each in order. ``default`` is only ever a module's own.
     """
-    return _resolve(wanted, exports, lambda keys: _passed_on(keys, renames, stars))
+    named = renames.filter("name <> 'default'").select("module", "name", F.lit(0).alias("rank"), "ordinal", "target", "target_name")
+    passed = lambda keys: keys.filter("name <> 'default'").select("module", "name", F.lit(1).alias("rank"))
+    return _resolve(wanted, exports, named, stars, passed)
 
 
-def _passed_on(keys: DataFrame, renames: DataFrame, stars: DataFrame | None) -> DataFrame:
-    """Ways that exported names go on: module, name, rank, ordinal, target, target_name."""
-    keys = keys.filter("name <> 'default'")
-    ways = keys.join(renames, ["module", "name"]).select("module", "name", F.lit(0).alias("rank"), "ordinal", "target", "target_name")
-    if stars is None:
-        return ways
-    return ways.unionByName(keys.join(stars, "module").select("module", "name", F.lit(1).alias("rank"), "ordinal", "target", F.col("name").alias("target_name")))
+def _resolve(wanted: DataFrame, terminal: DataFrame, named: DataFrame, stars: DataFrame, passed: Callable[[DataFrame], DataFrame], own_ways: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Follows names to the first terminal (module, name, id, ordinal) that their ways in order lead to.
 
+    ``named``: ways of names (module, name, rank, ordinal, target, target_name). Names that go on
+    over ``stars`` (module, ordinal, target) are ``passed`` of names, with a rank; ``own_ways`` gives
+    the ways that names have by themselves.
 
-def _resolve(wanted: DataFrame, terminal: DataFrame, ways_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Follows names to the first terminal (module, name, id, ordinal) that their ways in order lead to."""
-    own = written(terminal.groupBy("module", "name").agg(F.min_by("id", "ordinal").alias("id")))
+    Each name is kept with its own id if it has one, so ends are not looked for again. Names known
+    before are told by a left join: Spark moves an anti join below the join that finds names, where
+    it would shuffle all ways once more a round.
+    """
+    name, aim = ["module", "name"], ["target", "target_name"]
+    own = written(terminal.groupBy(*name).agg(F.min_by("id", "ordinal").alias("id")))
+    named, stars = written(named.filter("target is not null")), stars.filter("target is not null")
+    fresh = lambda df, known: df.join(known.all().select(*name, F.lit(True).alias("known")), name, "left").filter("known is null").drop("known")
     keys, steps = Parts(), Parts()
-    asked = front = keys.add(wanted.select("module", "name").distinct())
+    asked = front = keys.add(wanted.select(*name).distinct().join(own, name, "left"))
     while True:  # the names that names lead to, and the ways there
-        step = steps.add(ways_of(front.join(own, ["module", "name"], "left_anti")).filter("target is not null"))
+        front = front.filter("id is null").select(*name)
+        step = front.join(named, name).select(*named.columns)
+        step = step.unionByName(passed(front).join(stars, "module").select("module", "name", "rank", "ordinal", "target", F.col("name").alias("target_name")))
+        if own_ways:
+            step = step.unionByName(own_ways(front))
+        step = steps.add(step)
         led = step.filter(F.col("target_name") != STAR).select(F.col("target").alias("module"), F.col("target_name").alias("name")).distinct()
-        front = keys.add(led.join(keys.all(), ["module", "name"], "left_anti"))
+        front = keys.add(fresh(led, keys).join(own, name, "left"))
         if front.isEmpty():
             break
     ways = steps.all()
-    ends = keys.all().join(own, ["module", "name"]).select("module", "name", "id")
+    ends = keys.all().filter("id is not null")
     # names that lead somewhere, from the ends back
     lead = Parts()
-    front = lead.add(ends.select("module", "name").unionByName(ways.filter(F.col("target_name") == STAR).select("module", "name")).distinct())
+    front = lead.add(ends.select(*name).unionByName(ways.filter(F.col("target_name") == STAR).select(*name)).distinct())
     while True:
         back = front.select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-        front = lead.add(ways.join(back, ["target", "target_name"]).select("module", "name").distinct().join(lead.all(), ["module", "name"], "left_anti"))
+        front = lead.add(fresh(ways.join(back, aim).select(*name).distinct(), lead))
         if front.isEmpty():
             break
-    lives = lead.all().select(F.col("module").alias("target"), F.col("name").alias("target_name"))
-    live = ways.filter(F.col("target_name") != STAR).join(lives, ["target", "target_name"], "left_semi").select(*ways.columns).unionByName(ways.filter(F.col("target_name") == STAR))
-    order = Window.partitionBy("module", "name").orderBy("rank", "ordinal", "target", "target_name")
-    live = written(live.select("module", "name", "target", "target_name", F.row_number().over(order).alias("way")))
-    first = live.groupBy("module", "name").agg(F.min_by(F.struct("target", "target_name"), "way").alias("to"))
-    named = F.col("to.target_name") == STAR
-    state = first.select("module", "name", F.when(named, F.col("to.target")).alias("id"), F.when(~named, F.col("to.target")).alias("to_module"), F.when(~named, F.col("to.target_name")).alias("to_name"))
+    lives = lead.all().select(F.col("module").alias("target"), F.col("name").alias("target_name"), F.lit(True).alias("lives"))
+    live = ways.join(lives, aim, "left").filter((F.col("target_name") == STAR) | F.col("lives"))
+    order = Window.partitionBy(*name).orderBy("rank", "ordinal", *aim)
+    live = written(live.select(*name, *aim, F.row_number().over(order).alias("way")))
+    first = live.filter("way = 1")
+    star = F.col("target_name") == STAR
+    state = first.select(*name, F.when(star, F.col("target")).alias("id"), F.when(~star, F.col("target")).alias("to_module"), F.when(~star, F.col("target_name")).alias("to_name"))
     none = F.lit(None).cast("string")
-    state = written(state.unionByName(ends.select("module", "name", "id", none.alias("to_module"), none.alias("to_name"))))
-    left, before = state.filter("id is null").count(), None
+    state = written(state.unionByName(ends.select(*name, "id", none.alias("to_module"), none.alias("to_name"))))
+    # chains are halved a round; what has ended is not written again
+    done, chains = state.filter("id is not null").select(*name, "id"), state.filter("id is null").select(*name, "to_module", "to_name")
+    left, before = chains.count(), None
     while left and left != before:  # a round that ends no chain leaves only circles and what leads into them
-        ahead = state.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), F.col("id").alias("id2"), F.col("to_module").alias("m2"), F.col("to_name").alias("n2"))
-        met = state.join(ahead, ["to_module", "to_name"], "left")
-        state = written(met.select("module", "name", F.coalesce("id", "id2").alias("id"), F.when(F.col("id2").isNull(), F.col("m2")).alias("to_module"), F.when(F.col("id2").isNull(), F.col("n2")).alias("to_name")))
-        left, before = state.filter("id is null").count(), left
-    found = state.filter("id is not null").select("module", "name", "id")
+        ahead = done.select(*name, "id", none.alias("m2"), none.alias("n2")).unionByName(chains.select(*name, none.alias("id"), F.col("to_module").alias("m2"), F.col("to_name").alias("n2")))
+        ahead = ahead.select(F.col("module").alias("to_module"), F.col("name").alias("to_name"), "id", "m2", "n2")
+        met = written(chains.join(ahead, ["to_module", "to_name"]).select(*name, "id", "m2", "n2"))
+        done = done.unionByName(met.filter("id is not null").select(*name, "id"))
+        chains = met.filter("id is null").select(*name, F.col("m2").alias("to_module"), F.col("n2").alias("to_name"))
+        left, before = chains.count(), left
+    found = done
     if left:
-        circling = written(state.filter("id is null").select("module", "name").join(asked, ["module", "name"], "left_semi"))
+        circling = written(asked.select(*name).join(chains.select(*name), name, "left_semi"))
         if not circling.isEmpty():
-            found = found.unionByName(_first_paths(circling, live, ends))
-    return asked.join(found, ["module", "name"])
+            found = found.unionByName(_first_paths(circling, live.join(chains.select(*name), name, "left_semi"), found))
+    return asked.select(*name).join(found, name)
 
 
 def _first_paths(starts: DataFrame, live: DataFrame, ends: DataFrame) -> DataFrame:
-    """Ends of the first path from each start that visits no name twice."""
+    """Ends of the first path from each start that visits no name twice.
+
+    ``live``: the ways of names that are in circles or lead into them; ``ends``: the names they
+    lead to outside, each with where its own first ways end, for these meet no name in a circle.
+    """
     key = F.concat_ws("\x00", "module", "name")
     paths = starts.select(F.struct("module", "name").alias("s"), "module", "name", F.array(key).alias("seen"), F.array().cast("array<int>").alias("turns"))
     stops = ends.select(F.col("module").alias("target"), F.col("name").alias("target_name"), F.col("id").alias("end"))
@@ -256,17 +274,13 @@ def _resolve_marked(asked: DataFrame, local: DataFrame, imports: DataFrame, expo
     ends = marked(local, "s:").unionByName(marked(exports, "e:")).unionByName(marked(exports, "x:"))
     far = lambda c: F.when(F.col(c) == STAR, F.col(c)).otherwise(F.concat(F.lit("x:"), c)).alias("target_name")
 
-    def ways_of(keys: DataFrame) -> DataFrame:
-        k = keys.select("module", F.col("name").alias("full"), F.substring("name", 1, 2).alias("mode"), F.substring("name", 3, 1 << 20).alias("name"))
-        made = lambda df, rank, ordinal, target, name: df.select("module", F.col("full").alias("name"), F.lit(rank).alias("rank"), ordinal.alias("ordinal"), target.alias("target"), name.alias("target_name"))
-        scope, out = k.filter("mode = 's:'"), k.filter("mode <> 's:' and name <> 'default'")
-        taken = made(scope.join(imports, ["module", "name"]), 0, F.col("ordinal"), F.col("target"), far("target_name"))
-        own = made(scope, 1, F.lit(0), F.col("module"), F.concat(F.lit("e:"), "name"))
-        renamed = made(out.join(renames, ["module", "name"]), 0, F.col("ordinal"), F.col("target"), far("target_name"))
-        passed = made(scope.unionByName(out.filter("mode = 'x:'")).join(stars, "module"), 2, F.col("ordinal"), F.col("target"), F.col("full"))
-        return taken.unionByName(own).unionByName(renamed).unionByName(passed)
-
-    return _resolve(asked, ends, ways_of)
+    way = lambda df, mark, rank: df.select("module", F.concat(F.lit(mark), "name").alias("name"), F.lit(rank).alias("rank"), "ordinal", "target", far("target_name"))
+    renamed = renames.filter("name <> 'default'")
+    named = way(imports, "s:", 0).unionByName(way(renamed, "e:", 0)).unionByName(way(renamed, "x:", 0))
+    scope = lambda keys: keys.filter(F.col("name").startswith("s:"))
+    passed = lambda keys: keys.filter("substring(name, 1, 2) <> 'e:' and name <> 'x:default'").select("module", "name", F.lit(2).alias("rank"))
+    own = lambda keys: scope(keys).select("module", "name", F.lit(1).alias("rank"), F.lit(0).alias("ordinal"), F.col("module").alias("target"), F.concat(F.lit("e:"), F.substring("name", 3, 1 << 20)).alias("target_name"))
+    return _resolve(asked, ends, named, stars, passed, own)
 
 
 def resolve_dotted_scope(uses: DataFrame, symbols: DataFrame, **scope: DataFrame) -> DataFrame:

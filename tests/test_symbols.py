@@ -150,3 +150,19 @@ def test_rounds_of_scopes_write_no_name_twice(spark, monkeypatch):
     got = {r.name: r.id for r in S.resolve_scope(uses, local, imports, exports, renames, stars).collect()}
     assert got == {"i": "m0#a", "own": "m9#own", "lost": None} and len(made) == 3
     assert all(p.all().count() == p.all().distinct().count() for p in made)
+
+
+def test_names_that_have_ended_are_not_written_again(spark, monkeypatch):
+    sizes, write = [], S.written
+
+    def seen(df):
+        out = write(df)
+        if len(out.columns) == 5 and "id" in out.columns:  # names with their ids or where they have got to
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(S, "written", seen)
+    known = tables(spark, [("m0", "a", "m0#a", 0)], [(f"m{k}", "a", 0, f"m{k - 1}", "a") for k in range(1, 5)], [("m9", 0, "m8")])
+    wanted = spark.createDataFrame([("m4", "a")], "module string, name string")
+    assert [tuple(r) for r in S.resolve_exports(wanted, *known).collect()] == [("m4", "a", "m0#a")]
+    assert sizes == [5, 4, 3, 1]
